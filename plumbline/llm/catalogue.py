@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import langid, license_scan, mixing, packing, pii
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op3_license_scan": license_scan.query,
+    "op4_pii": pii.query,
+    "op7_language_id": langid.query,
+    "op10_mixing": mixing.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_pii": pii.ORACLE_SQL,
+    "op10_mixing": mixing.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
 
 
 def queries() -> dict:

@@ -223,7 +223,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
         histogram[row["length"]] = row["n"]
     where = plan(histogram, window)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = common.small_side(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_rank")), 24, counts.count())
+    base = common.small_side(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_rank")), 160, counts.count())
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
