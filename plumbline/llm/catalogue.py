@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, license_scan, mixing, packing, pii
+from . import ann, jaccard_join, langid, license_scan, mixing, packing, pii, quality_rules
 
 QUERIES = {
     "op1_packing": packing.query,
     "op3_license_scan": license_scan.query,
     "op4_pii": pii.query,
+    "op5_jaccard_join": jaccard_join.query,
+    "op6_quality_rules": quality_rules.query,
     "op7_language_id": langid.query,
+    "op8_ann": ann.query,
     "op10_mixing": mixing.query,
 }
 ORACLE_SQL: dict[str, str] = {
