@@ -100,7 +100,7 @@ def _covers(rule: list[Condition], table: dict[str, np.ndarray]) -> np.ndarray:
     return out
 
 
-def grow(table: dict[str, np.ndarray], bad: np.ndarray, most: int, cuts: int) -> list[Condition]:
+def grow(table: dict[str, np.ndarray], bad: np.ndarray, most: int, cuts: int, barred: frozenset[str] = frozenset()) -> list[Condition]:
     """A conjunction that covers bad rows and few others: the condition of largest information gain at a time."""
     rule: list[Condition] = []
     inside = np.ones(len(bad), dtype=bool)
@@ -108,6 +108,8 @@ def grow(table: dict[str, np.ndarray], bad: np.ndarray, most: int, cuts: int) ->
         p, n = bad[inside].sum(), (~bad[inside]).sum()
         best, gain = None, 1e-9
         for feature in FEATURES:
+            if not rule and feature in barred:
+                continue
             x = table[feature][inside]
             edges = np.unique(np.quantile(x, np.linspace(0, 1, cuts + 1)[1:-1]))
             for above in (True, False):
@@ -135,32 +137,44 @@ def centred(rule: list[Condition], table: dict[str, np.ndarray]) -> list[Conditi
     return out
 
 
-def prune(rule: list[Condition], table: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
-    """The beginning of the rule that does best on rows it wasn't grown on: (bad - others) / covered."""
-
-    def worth(k: int) -> float:
+def prune(rule: list[Condition], table: dict[str, np.ndarray], bad: np.ndarray, precision: float, least: int) -> list[Condition]:
+    """The beginning of the rule that does best on rows it wasn't grown on, (bad - others) / covered, of those precise there."""
+    worth = {}
+    for k in range(1, len(rule) + 1):
         hit = _covers(rule[:k], table)
-        return (2 * bad[hit].sum() - hit.sum()) / max(1, hit.sum())
-
-    return rule[: max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))] if rule else rule
+        if hit.sum() >= least and bad[hit].mean() >= precision:
+            worth[k] = ((2 * bad[hit].sum() - hit.sum()) / hit.sum(), bad[hit].sum(), -k)
+    return rule[: max(worth, key=worth.get)] if worth else []
 
 
 def learn(table: dict[str, np.ndarray], bad: np.ndarray, *, most_rules: int = 12, most_conditions: int = 4, precision: float = 0.97, least: int = 3, cuts: int = 64) -> list[list[Condition]]:
-    """Sequential covering: rules for bad rows, in order.  Every third row is for pruning."""
+    """Sequential covering: rules for bad rows, in order.  Every third row is for pruning.
+
+    A rule that isn't precise, on the rows for pruning or on all that it covers, is dropped, and no further rule begins
+    with the feature that it began with until another rule has been found.
+    """
     check = np.arange(len(bad)) % 3 == 2
     left = np.ones(len(bad), dtype=bool)
     rules: list[list[Condition]] = []
-    for _ in range(most_rules):
+    barred: set[str] = set()
+    while len(rules) < most_rules and len(barred) < len(FEATURES):
         a, b = left & ~check, left & check
         if not bad[a].any() or not bad[b].any():
             break
         part = lambda mask: {k: v[mask] for k, v in table.items()}
-        rule = prune(grow(part(a), bad[a], most_conditions, cuts), part(b), bad[b])
-        hit = _covers(rule, table) & left
-        if not rule or (hit & b).sum() < least or bad[hit & b].mean() < precision or bad[hit].mean() < precision:
+        grown = grow(part(a), bad[a], most_conditions, cuts, frozenset(barred))
+        if not grown:
             break
+        rule = prune(grown, part(b), bad[b], precision, least)
+        if len(rule) < len(grown) and (not rule or bad[_covers(rule, table) & left].mean() < precision):
+            rule = grown  # the whole rule may be precise where its beginning is not
+        hit = _covers(rule, table) & left if rule else np.zeros(len(bad), dtype=bool)
+        if not hit.any() or bad[hit].mean() < precision:
+            barred.add(grown[0].feature)
+            continue
         rules.append(centred(rule, table))
         left &= ~hit
+        barred = set()
     return rules
 
 
