@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard_join, langid, license_scan, mixing, packing, pii, quality_rules
+from . import ann, jaccard_join, langid, license_scan, lm_scoring, mixing, packing, pii, quality_rules
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_quality_rules": quality_rules.query,
     "op7_language_id": langid.query,
     "op8_ann": ann.query,
+    "op9_lm_scoring": lm_scoring.query,
     "op10_mixing": mixing.query,
 }
 ORACLE_SQL: dict[str, str] = {
