@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import ann, jaccard_join, langid, license_scan, lm_scoring, mixing, packing, pii, quality_rules
 
 QUERIES = {
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_ann": ann.query,
     "op9_lm_scoring": lm_scoring.query,
     "op10_mixing": mixing.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_pii": pii.ORACLE_SQL,

@@ -211,10 +211,10 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     found = link(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, share=share)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).where("n_shingles > 0")
-    stays = stays.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows"))
+    stays = common.stored(stays.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows")))
     empty = F.length(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")) == 0
     blank = docs.where(empty)
-    kept = docs.where(~empty).join(stays, F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
+    kept = docs.where(~empty).join(common.small_side(stays, 64), F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
     once = kept.where("__rows = 1").drop("__rows").union(kept.where("__rows > 1").drop("__rows").dropDuplicates([id_col]))
     return once.union(blank)
 
