@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import ann, jaccard_join, langid, license_scan, lm_scoring, mixing, packing, pii, quality_rules
+from . import ann, jaccard_join, kn_quality, langid, license_scan, lm_scoring, mixing, packing, pii, quality_rules
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_quality_classifier": kn_quality.query,
     "op3_license_scan": license_scan.query,
     "op4_pii": pii.query,
     "op5_jaccard_join": jaccard_join.query,
