@@ -122,17 +122,19 @@ def pooled(jobs: list[tuple[str, Callable[[], Any]]], workers: int | None, limit
     if not jobs:
         return out
 
+    context = spark.sparkContext
     tagged = [f"{tag}-{i}" for i in range(len(jobs))]
     began: dict[int, float] = {}
     clock = time.monotonic
 
     def one(i: int) -> Any:
         began[i] = clock()
-        spark.addTag(tagged[i])
+        context.addJobTag(tagged[i])
+        context.setInterruptOnCancel(True)
         try:
             return jobs[i][1]()
         finally:
-            spark.removeTag(tagged[i])
+            context.removeJobTag(tagged[i])
 
     pool = ThreadPoolExecutor(max(1, int(workers or 1)), thread_name_prefix="plumbline")
     pending: dict[Future, int] = {pool.submit(inherited(spark, one), i): i for i in range(len(jobs))}
@@ -145,7 +147,7 @@ def pooled(jobs: list[tuple[str, Callable[[], Any]]], workers: int | None, limit
             if limit:
                 for f, i in list(pending.items()):
                     if i in began and clock() - began[i] > limit:
-                        spark.interruptTag(tagged[i])
+                        context.cancelJobsWithTag(tagged[i])
                         out[i] = TimeoutError(f"over {limit:g} seconds")
                         del pending[f]
     finally:
@@ -155,11 +157,11 @@ def pooled(jobs: list[tuple[str, Callable[[], Any]]], workers: int | None, limit
 
 def inherited(spark: SparkSession, f: Callable) -> Callable:
     """f with the calling thread's Spark tags, so that interrupting a table interrupts its checks."""
-    tags = set(spark.getTags())
+    tags = set(spark.sparkContext.getJobTags())
 
     def run(*args):
         for t in tags:
-            spark.addTag(t)
+            spark.sparkContext.addJobTag(t)
         return f(*args)
 
     return run
