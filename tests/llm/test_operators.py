@@ -1,0 +1,415 @@
+"""The training-data operators against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables
+and clashing columns."""
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.llm import ann, common, jaccard_join, kn_quality, langid, license_scan, lm_scoring, mixing, packing, pii, quality_rules
+
+SCHEMA = "doc_id long, text string, lang string, source string, score double, kind string, n long, copy int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(text):
+    return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+
+
+def prose(rng, n, syllables="an the or ing tion re st er ly ou".split()):
+    return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Columns that the operators don't read carry names that they use themselves."""
+    rng = random.Random(1)
+    texts = [prose(rng, rng.randint(1, 120)) for _ in range(40)]
+    texts += [None, "", "   \n\t ", "word", "a  b\tc\n\nd", "ünï çödé 𝄞 text", "<|endoftext|> x", "x" * 3000, " ".join(["very"] * 5000), prose(rng, 3000)]
+    texts += texts[:6] + [texts[3]] * 5
+    rows = [(i, t, ("en", "fr", None)[i % 3], f"s{i % 3 if i % 2 else 0}" if i % 7 else None, 0.5, "k", 1, 2) for i, t in enumerate(texts)]
+    rows += [(None, texts[0], None, None, 0.5, "k", 1, 2), (5, texts[5], "fr", "s1", 0.5, "k", 1, 2)]
+    return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_packing(docs, none):
+    tokenizers = pytest.importorskip("tokenizers")
+    t = tokenizers.Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    want = Counter((r["doc_id"], tuple(t.encode(r["text"] or "", add_special_tokens=False).ids + [0])) for r in docs.collect())
+    window = 64
+    pieces = packing.pack(docs, window=window).collect()
+    by_sequence: dict[int, list] = {}
+    for p in pieces:
+        by_sequence.setdefault(p["sequence_id"], []).append(p)
+        assert len(p["ids"]) == 4 * p["length"]
+    for s in by_sequence.values():
+        s.sort(key=lambda p: p["offset"])
+        assert [p["offset"] for p in s] == [sum(q["length"] for q in s[:i]) for i in range(len(s))]
+        assert sum(p["length"] for p in s) <= window
+    assert sum(sum(p["length"] for p in s) < window for s in by_sequence.values()) <= 1
+    # every document's ids again: pieces of one row chain up by start; equal rows are interchangeable
+    slots: dict = {}
+    for p in pieces:
+        slots.setdefault((p["doc_id"], p["doc_tokens"]), []).append(p)
+    got = 0
+    for (doc, n), ps in slots.items():
+        for ids, times in ((k[1], v) for k, v in want.items() if k[0] == doc and len(k[1]) == n):
+            mine = [p for p in ps if np.frombuffer(p["ids"], "<u4").tolist() == list(ids[p["start"] : p["start"] + p["length"]])]
+            assert sum(p["length"] for p in mine) >= n * times
+            got += n * times
+    assert got == sum(len(k[1]) * v for k, v in want.items()) == sum(p["length"] for p in pieces)
+    assert packing.pack(none, window=window).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_plan(seed):
+    rng = np.random.default_rng(seed)
+    window = 128
+    h = np.bincount(rng.integers(1, window + 1, 900), minlength=window + 1)
+    h[100] += 600  # a length that a large part has
+    plan = packing.plan(h, window)
+    used = np.zeros((window * 2000,), dtype=int)
+    for one in range(1, window + 1):
+        rank = np.arange(h[one])
+        s, o = plan.place(np.full(len(rank), one), rank)
+        for a, b in zip(s, o, strict=True):
+            used[a * window + b : a * window + b + one] += 1
+    assert used.max() == 1 and used.sum() == (h * np.arange(window + 1)).sum()
+    assert np.flatnonzero(used).max() + 1 == used.sum()  # no gaps but at the very end
+    assert len(packing.plan(np.zeros(window + 1, dtype=int), window).keys) == 0
+
+
+def test_license_scan(spark, docs, none):
+    rng = random.Random(2)
+    mit = license_scan.TEMPLATES["mit-permission"]
+    changed = mit.split()
+    changed[3], changed[9] = "xx", "yy"
+    half = " ".join(mit.split()[:12])
+    texts = [prose(rng, 50) + "\n" + mit + " " + prose(rng, 20), prose(rng, 9) + " " + " ".join(changed), half, "MIT License. the MIT-license and GNU General Public License", None, "", "cc by cc by", "é cc  BY-nc"]
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert got[0]["labels"] == "mit-permission" and got[0]["score"] == 1.0 and got[0]["base_labels"] == ""
+    assert got[1]["labels"] == "mit-permission" and 0.9 <= got[1]["score"] < 1
+    assert got[2]["labels"] == "" and got[2]["score"] == 0.0
+    assert (got[3]["n_base"], got[3]["first_word"], got[3]["last_word"], got[3]["base_labels"], got[3]["score"]) == (3, 0, 6, "gpl,mit", 1.0)
+    assert got[4]["n_words"] == 0 and got[4]["first_word"] is None and got[5]["n_base"] == 0
+    assert (got[6]["n_base"], got[6]["last_word"]) == (2, 2) and got[7]["first_word"] == 1
+    assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(none).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_license_index_against_all_blocks(seed):
+    rng = random.Random(seed)
+    templates = {f"t{i}": " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for i in range(4)}
+    vocabulary = sorted({w for t in templates.values() for w in license_scan.words(t)})
+    rng.shuffle(vocabulary)
+    index = license_scan.Index(templates, 0.7, {w: i for i, w in enumerate(vocabulary)})
+    found = [rng.choice("abcdefghxyz").encode() for _ in range(60)]
+    want = set()
+    for label, t in templates.items():
+        span, members = len(t.split()), set(license_scan.words(t))
+        for k in range(0, len(found), span):
+            share = len(members & set(found[k : k + 2 * span])) / len(members)
+            if share >= 0.7 - 1e-9:
+                want.add((label, k, round(share, 9)))
+    assert {(m[0], m[1], round(m[3], 9)) for m in index.matches(found)} == want
+
+
+def plain_spans(text):
+    def luhn(d):
+        v = [int(c) * 2 if i % 2 else int(c) for i, c in enumerate(reversed(d))]
+        return sum(x - 9 if x > 9 else x for x in v) % 10 == 0
+
+    only = lambda m: re.sub("[^0-9]", "", m)
+    tests = {"email": lambda m: True, "ip": lambda m: all(int(p) <= 255 for p in m.split(".")), "card": lambda m: 16 <= len(only(m)) <= 19 and luhn(only(m)), "phone": lambda m: 8 <= len(only(m)) <= 15}
+    return [f"{k.name}:{m.start()}:{m.end()}" for k in pii.KINDS if k.base for m in re.finditer(k.plain, text or "") if tests[k.name](m.group())]
+
+
+def test_pii(spark, docs, none):
+    rng = random.Random(3)
+    alphabet = ["a", "B", "@", ".", "-", " ", "1", "4", "9", "0", "+", "(", ")", "_", "é", "𝄞", "\n", "a@b.co", "10.0.0.1", "4111111111111111", "+1 (386) 555-3733"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    texts += [None, "1 " * 20000, "a" * 20000, "a@b.c " * 2000, "+1" + "1 " * 9000, "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432 GB82WEST12345698765433", "ssn 123-45-6789", "no 123-45-6789"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(df)).collect()}
+    for i, t in enumerate(texts):
+        want = plain_spans(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), (t or "")[:80]
+        assert [got[i][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(w.startswith(k) for w in want) for k in ("email", "ip", "card", "phone")]
+    n = len(texts)
+    assert (got[n - 4]["spans"], got[n - 3]["spans"], got[n - 2]["spans"], got[n - 1]["spans"]) == ("iban:0:27", "iban:0:22", "national_id:4:15", "")
+    clean = pii.redact(df)
+    assert all(r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in pii.digest(pii.find(clean)).where("doc_id >= 300").collect())
+    assert clean.where("doc_id = 308").first()["text"] == "ssn <NATIONAL_ID>" and clean.where("text is null").count() == 1
+    assert pii.find(docs).count() == docs.count() and pii.find(none).count() == 0
+    assert pii.redact(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_join(spark, seed):
+    """Chains and clusters of edited texts, a passage that many share, exact copies, short texts."""
+    rng = random.Random(seed)
+    passage = prose(rng, 12)
+    texts = [None, "", " ", "One", "one", "one two", "one two"]
+    for _ in range(6):
+        seed_text = prose(rng, rng.randint(20, 60)).split()
+        for _ in range(rng.randint(1, 9)):
+            words = list(seed_text)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = prose(rng, 1)
+            if rng.random() < 0.3:
+                seed_text = words  # a chain goes on from here
+            texts.append(" ".join(words) + (" " + passage if rng.random() < 0.3 else ""))
+    texts += texts[-3:]
+    ids = rng.sample(range(1000), len(texts))
+    k, (num, den) = 3, (70, 100)
+    sets = []
+    for t in texts:
+        w = lower(t).encode().split()
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    smallest: dict[int, int] = {}
+    for i in range(len(texts)):
+        smallest[find(i)] = min(smallest.get(find(i), 1 << 60), ids[i])
+    df = spark.createDataFrame([(a, b, 7) for a, b in zip(ids, texts, strict=True)], "doc_id long, text string, n long")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(df, shingle_words=k, share=(num, den)).collect()}
+    assert got == {ids[i]: (len(sets[i]), smallest[find(i)]) for i in range(len(texts))}
+    kept = sorted(r["doc_id"] for r in jaccard_join.one_of_each(df, shingle_words=k, share=(num, den)).collect())
+    assert kept == sorted({smallest[find(i)] for i in range(len(texts))})
+
+
+def test_jaccard_join_edges(spark, docs, none):
+    found = jaccard_join.link(docs)
+    assert found.count() == docs.count()
+    assert jaccard_join.link(none).count() == 0 and jaccard_join.one_of_each(none).columns == none.columns
+    twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, ""), (2, ""), (None, None)], "doc_id long, text string")
+    assert jaccard_join.one_of_each(twice).count() == 4  # of equal rows with words one stays; texts without words all stay
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    roots = {r["vertex"]: r["root"] for r in jaccard_join.components(links).collect()}
+    assert {roots[i] for i in range(41)} == {0} and roots[101] == 100 and len(roots) == 43
+
+
+def plain_statistics(x):
+    w = WORD.findall(x or "")
+    g = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+    c = Counter(g)
+    covered = {j for i, y in enumerate(g) if c[y] > 1 for j in (i, i + 1, i + 2)}
+    seen, dup = set(), 0
+    for line in (x or "").split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in x or ""), dup, len(covered)
+
+
+def test_quality_statistics(spark, docs, none):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "b", "c", " ", " ", "\n", "#", "é", "\x0b", "a b c "]) for _ in range(rng.randint(0, 80))) for _ in range(200)] + [None, "", "a b c a b c", "a a a a", "a a a"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    for r in quality_rules.statistics(df).collect():
+        assert tuple(r[n] for n in names) == plain_statistics(texts[r["doc_id"]]), texts[r["doc_id"]]
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    out = quality_rules.judge(docs, labels)
+    assert out.count() == docs.count() and out.where("kept and n_words < 50").count() == 0
+    assert quality_rules.judge(none, labels).count() == 0
+
+
+def test_quality_rules(spark):
+    rng = random.Random(6)
+    clean = [prose(rng, 80) for _ in range(150)]
+    junk = [" ".join(w + "###" for w in prose(rng, 80).split()) for _ in range(40)] + [prose(rng, 80).upper() for _ in range(40)]
+    rows = [(i, t, int(i < 150)) for i, t in enumerate(clean + junk)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    labels = df.select("doc_id", "quality", F.lit(1).alias("text"), F.lit(2).alias("n_words")).where("doc_id % 2 = 0").union(spark.createDataFrame([(9999, 0, 1, 1), (None, 1, 1, 1), (4, None, 1, 1)], "doc_id long, quality int, text int, n_words int"))
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df, labels).collect()}
+    assert sum(got[i] for i in range(150)) >= 147
+    assert sum(got[i] for i in range(150, 230)) <= 4
+
+
+def test_language_id(spark, docs, none):
+    rng = random.Random(7)
+    kinds = {"xx": "an the or ing tion".split(), "yy": "zu über ß und ach".split()}
+    rows = [(i, prose(rng, rng.randint(3, 60), kinds[k]), k) for i, k in enumerate(list(kinds) * 60)] + [(900, None, "xx"), (901, "123 ... !", "yy"), (902, "the ing", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = common.crc_fold("doc_id", 4) == 2
+    got = {r["doc_id"]: r for r in langid.identify(df, held_out=held).collect()}
+    assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i in got)
+    assert all(got[i]["lang_pred"] == k for i, _, k in rows[:120]) and all(0 <= r["score"] <= 1 for r in got.values())
+    assert got[900]["lang_pred"] == got[901]["lang_pred"] == "und" and got[902]["lang_pred"] == "xx"
+    kept = langid.identify(docs, keep=docs.columns)
+    assert kept.count() == docs.count() and kept.columns[4:] == docs.columns
+    assert langid.identify(none).count() == 0
+    # a very long text is counted in pieces, to the same counts
+    text = prose(rng, 3000)
+    whole = langid.bucket_counts(text)
+    chunk, langid.CHUNK = langid.CHUNK, 101
+    try:
+        pieces = langid.bucket_counts(text)
+    finally:
+        langid.CHUNK = chunk
+    assert (whole[0] == pieces[0]).all() and (whole[1] == pieces[1]).all()
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((900, 16)) * rng.uniform(0.5, 2, (900, 1))
+    x[100:140] = x[60]  # ties: the smaller id goes first
+    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)]
+    x = np.array([r[1] for r in rows])
+    bad = [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] + [1.0] * 15), (2060, []), (2080, [None] + [1.0] * 15), (2100, [1.0, 2.0])]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=10, shard_rows=300, query_rows=20).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 900, 20))
+    hits = 0
+    for q, found in got.items():
+        s = (x * x[q]).sum(axis=1)
+        want = [i for i in np.lexsort((np.arange(900), -s)) if i != q][:10]
+        hits += len({v for v, _ in found} & set(want))
+        assert len(found) == 10 and q not in {v for v, _ in found}
+        assert all(abs(s[v] - sc) < 1e-12 for v, sc in found)
+        assert found == sorted(found, key=lambda f: (-f[1], f[0]))
+    assert hits >= 0.95 * 10 * len(got)
+    few = ann.search(df.where("vec_id < 4"), F.col("vec_id") == 0, k=10)
+    assert [r["rank"] for r in few.orderBy("rank").collect()] == [1, 2, 3]
+    assert ann.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_lm_scoring(spark, docs, none):
+    held = common.crc_fold("doc_id", 7) == 2
+    few, lm_scoring.FREQUENT_WORDS, steps, lm_scoring.LEAST_STEPS = lm_scoring.FREQUENT_WORDS, 40, lm_scoring.LEAST_STEPS, 3
+    try:
+        got = lm_scoring.score(docs, held_out=held).collect()
+        assert lm_scoring.score(none).count() == 0
+    finally:
+        lm_scoring.FREQUENT_WORDS, lm_scoring.LEAST_STEPS = few, steps
+    rows = docs.collect()
+    words = lambda t: [*lower(t).encode().split(), None]
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    c = Counter(w for r in rows if not out(r["doc_id"]) for w in words(r["text"]))
+    total, distinct = sum(c.values()), len(c)
+    key = lambda *v: (str(v[0]), *(round(x, 6) if isinstance(x, float) else x for x in v[1:]))
+    want = sorted(key(r["doc_id"], out(r["doc_id"]), len(words(r["text"])), sum(c[w] > 0 for w in words(r["text"])), total, sum(math.log10((c[w] + 1) / (total + distinct + 1)) for w in words(r["text"]))) for r in rows)
+    assert sorted(key(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got) == want
+    assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in got)
+
+
+def test_attention_model():
+    rng = np.random.default_rng(9)
+    w = {k: rng.standard_normal(s) * 0.5 for k, s in lm_scoring.SHAPES.items()}
+    b = lm_scoring.BLOCK
+    x, y = rng.integers(0, lm_scoring.BUCKETS, (6, b)), rng.integers(0, lm_scoring.CLASSES, (6, b))
+    follows = np.array([False, True, True, False, True, True])
+    counted = rng.random((6, b)) < 0.9
+    loss = lambda: -(np.take_along_axis(lm_scoring.forward(w, x, follows)["logp"], y[:, :, None], 2)[:, :, 0] * counted).sum() / counted.sum()
+    g = lm_scoring.backward(w, lm_scoring.forward(w, x, follows), x, follows, y, counted)
+    for k in w:
+        at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
+        up, e = w[k].copy(), 1e-5
+        w[k][at] += e
+        high = loss()
+        w[k][at] -= 2 * e
+        assert abs((high - loss()) / (2 * e) - g[k][at]) < 1e-5 * max(1, abs(g[k][at]))
+        w[k] = up
+    w32 = {k: v.astype(np.float32) for k, v in w.items()}
+    full = np.take_along_axis(lm_scoring.forward(w32, x, follows)["logp"], y[:, :, None], 2)[:, :, 0]
+    assert np.abs(full - lm_scoring.class_logs(w32, x, follows, y)).max() < 1e-3
+    # causal, and blind beyond the block before
+    z = x.copy()
+    z[2, 5:] = 0
+    z[3:] = 0
+    assert np.allclose(lm_scoring.forward(w, z, follows)["logp"][2, :5], lm_scoring.forward(w, x, follows)["logp"][2, :5])
+    # classes and shares add up to 1
+    lex = lm_scoring.lexicon(rng.integers(0, 50, lm_scoring.VOCABULARY))
+    assert np.allclose(np.bincount(lex.class_of, np.exp(lex.log_within)), 1)
+
+
+def test_scores_of_long_texts():
+    rng = random.Random(10)
+    path = common.tokenizer_path("byte_bpe_50k.tiktoken")
+    text = prose(rng, 800)
+    ids = lm_scoring.subwords(text, path)
+    lex = lm_scoring.lexicon(np.bincount(ids[1:], minlength=lm_scoring.VOCABULARY))
+    scorer = lm_scoring.Scorer(lm_scoring.fresh(), lex, path)
+    whole = scorer([text, None, "x"])
+    old, lm_scoring.AT_ONCE = lm_scoring.AT_ONCE, 5 * lm_scoring.BLOCK
+    try:
+        assert np.allclose(scorer([text, None, "x"]), whole, rtol=1e-4)
+    finally:
+        lm_scoring.AT_ONCE = old
+
+
+def test_mixing(spark, docs, none):
+    from plumbline.llm.mixing import ORACLE_SQL
+
+    duckdb = pytest.importorskip("duckdb")
+    plain = docs.drop("score", "kind", "n", "copy").withColumn("n_chars", F.length("text").cast("long")).where("doc_id is null or doc_id <> 5")
+    documents = plain.toPandas()  # noqa: F841  DuckDB reads it by name
+    documents["doc_id"] = documents["doc_id"].astype("Int64")
+    want = sorted(map(str, duckdb.sql(ORACLE_SQL).select("shuffle_key, doc_id, source, copy").fetchall()))
+    got = mixing.mix(plain)
+    assert sorted(str((r["shuffle_key"], r["doc_id"], r["source"], r["copy"])) for r in got.collect()) == want
+    assert mixing.mix(docs).columns == [c for c in docs.columns if c != "copy"] + ["copy", "shuffle_key"]
+    assert mixing.mix(docs, weights={"s1": 2, "s2": 0}).where("source = 's2' or source is null").count() == 0
+    assert mixing.mix(none).count() == 0
+
+
+def test_poisson(spark):
+    draws = spark.range(4000).select(mixing.poisson(F.lit(3.5), mixing.uniform(F.col("id"))).alias("k")).agg(F.avg("k").alias("m"), F.var_pop("k").alias("v")).first()
+    assert abs(draws["m"] - 3.5) < 0.15 and abs(draws["v"] - 3.5) < 0.4
+
+
+def test_kneser_ney(spark, docs, none):
+    rng = random.Random(11)
+    sample = spark.createDataFrame([(prose(rng, 30),) for _ in range(40)] + [(None,)], "text string")
+    model = kn_quality.fit(sample)
+    words = sorted({w for r in sample.collect() for w in (r["text"] or "").split()})
+    # the probabilities of all known words, the end and one unknown word add up to 1, after seen and unseen contexts
+    for context in (f"{words[0]} {words[1]}", " ".join(sample.first()["text"].split()[:2]), "never heard"):
+        stem = model.log_probabilities([context])[0][0]
+        end = 10**stem
+        before = kn_quality.Model.log_probabilities(model, [f"{context} {w}" for w in [*words, "unheard"]])[0]
+        grams = [kn_quality.grams(f"{context} {w}") for w in [*words, "unheard"]]
+        last = np.array([model.share3.get(g[0])[2] + model.weight3.get(g[1])[2] * (model.share2.get(g[2])[2] + model.weight2.get(g[3])[2] * (model.share1.get(g[4])[2] + model.unknown)) for g in grams])
+        stop = kn_quality.grams(context)
+        last_stop = model.share3.get(stop[0])[2] + model.weight3.get(stop[1])[2] * (model.share2.get(stop[2])[2] + model.weight2.get(stop[3])[2] * (model.share1.get(stop[4])[2] + model.unknown))
+        assert abs(last.sum() + last_stop - 1) < 1e-3 and end > 0 and len(before) == len(words) + 1
+    trusted = docs.select("doc_id", F.lit(1).alias("text")).where("doc_id < 40")
+    out = kn_quality.classify(docs, trusted)
+    assert out.count() == docs.count() and out.where("kept and n_tokens = 1").count() == 0
+    assert kn_quality.classify(none, trusted).count() == 0
+    assert kn_quality.classify(docs, trusted.where("false")).where("not kept and n_tokens > 1").count() == 0
+
+
+def test_kneser_ney_rejects_noise(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 60), "xx") for i in range(240)] + [(1000 + i, " ".join("".join(rng.choice("qwzxk") for _ in range(6)) for _ in range(60)), "xx") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["kept"] for r in kn_quality.classify(df, df.where("doc_id < 200").select("doc_id")).collect()}
+    assert sum(got[i] for i in range(200, 240)) >= 38 and not any(got[1000 + i] for i in range(20))
