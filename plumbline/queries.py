@@ -228,16 +228,18 @@ def rowdiff_extra(spark, sf_dir):
     return _rowdiff(spark, sf_dir).extra()
 
 
-@query(f"""WITH {JOINED} SELECT sk AS o_orderkey, 'o_orderstatus' AS "column", ss AS source, ts AS target FROM j WHERE ss <> ts""")
+@query(f"""WITH {JOINED} SELECT sk AS o_orderkey, 'o_orderstatus' AS "column", ss AS source, ts AS target FROM j WHERE ss <> ts
+UNION ALL SELECT sk, 'o_totalprice', CAST(CAST(sp AS DECIMAL(18,2)) AS VARCHAR), CAST(CAST(tp AS DECIMAL(18,2)) AS VARCHAR) FROM j WHERE CAST(sp AS DECIMAL(18,2)) <> CAST(tp AS DECIMAL(18,2))""")
 def rowdiff_cells(spark, sf_dir):
-    return _rowdiff(spark, sf_dir).cells().where(F.col("column") == "o_orderstatus")
+    s, t = (x.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(18,2)")) for x in sides(spark, sf_dir))
+    return rows.RowDiff(s, t, ["o_orderkey"], ["o_orderstatus", "o_totalprice"]).cells()
 
 
-@query(f"""WITH {TGT}, s AS (SELECT nullif(o_orderkey, 5) AS k, o_orderstatus AS v FROM orders WHERE o_orderkey < 2000), t AS (SELECT nullif(o_orderkey, 5) AS k, o_orderstatus AS v FROM tgt WHERE o_orderkey < 2000),
+@query(f"""WITH {TGT}, s AS (SELECT nullif(o_orderkey, 5) AS k, o_orderstatus AS v FROM orders), t AS (SELECT nullif(o_orderkey, 5) AS k, o_orderstatus AS v FROM tgt),
 j AS (SELECT s.k AS sk, t.k AS tk, s.v AS sv, t.v AS tv, s.v IS NOT NULL AS ins, t.v IS NOT NULL AS int FROM s FULL JOIN t ON s.k IS NOT DISTINCT FROM t.k)
 SELECT count(*) FILTER (WHERE NOT int) AS missing_count_on_target, count(*) FILTER (WHERE NOT ins) AS extra_count_on_target, count(*) FILTER (WHERE sv <> tv) AS mismatch_rows FROM j""")
 def rowdiff_null_keys(spark, sf_dir):
-    s, t = (x.where("o_orderkey < 2000").selectExpr("nullif(o_orderkey, 5) AS k", "o_orderstatus AS v") for x in sides(spark, sf_dir))
+    s, t = (x.selectExpr("nullif(o_orderkey, 5) AS k", "o_orderstatus AS v") for x in sides(spark, sf_dir))
     return rows.RowDiff(s, t, ["k"], ["v"]).summary().select("missing_count_on_target", "extra_count_on_target", "mismatch_rows")
 
 
