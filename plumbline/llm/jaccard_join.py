@@ -7,9 +7,9 @@ Documents with the same set are one unit, and units with the same prefix and siz
 groups that share a prefix shingle and pass the length and position filters.  Group pairs are expanded to pairs of units,
 which are verified on the whole sets.
 
-Links only matter for the components, so candidates come in two rounds.  In the first, each shingle's groups are paired
-with the smallest of them alone, which joins near copies, however many, in a number of pairs in proportion to their
-number.  In the second, only units that are still in different components are paired.  No pair between components is
+Links only matter for the components, so candidates come in two rounds.  In the first, each of a shingle's groups is
+paired with the smallest of them and the next smaller one alone, which joins near copies, however many, in a number of
+pairs in proportion to their number.  In the second, only units that are still in different components are paired.  No pair between components is
 left out, so the components are those of all links.
 """
 
@@ -26,6 +26,8 @@ from .shingling import shingle_set
 
 #: log2 of the number of counters for shingles.
 SKETCH_BITS = 18
+#: Buckets of the bound on intersections, and the largest count in one; a count at the largest bounds nothing.
+SPREAD, MOST_SPREAD = 256, 32_767
 #: A shingle that more documents hold than this is dealt to several tasks in the first round.
 SPLIT = 200_000
 
@@ -37,9 +39,9 @@ def shingle_classes(docs: DataFrame, text_col: str, k: int, bits: int = SKETCH_B
     def run(batches):
         counts = np.zeros(1 << bits, dtype=np.int64)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = shingle_set(text, k)
-                np.add.at(counts, (found >> np.uint64(64 - bits)).astype(np.int64), 1)
+            found = [shingle_set(text, k) for text in batch.column(0).to_pylist()]
+            if found:
+                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["bucket", "n"])
 
@@ -52,8 +54,16 @@ def shingle_classes(docs: DataFrame, text_col: str, k: int, bits: int = SKETCH_B
     return counts, np.where(excess > 0, 1 + np.log2(np.maximum(excess, 1)).astype(np.int64), 0).astype(np.uint8)
 
 
+def spread(found: np.ndarray) -> np.ndarray:
+    """How many of a set's members fall in each of SPREAD hash buckets, up to what 16 bits hold.
+
+    Two sets have no more members in common than the sum of the smaller counts (of any bound above it, if one is cut off).
+    """
+    return np.minimum(np.bincount(((found >> np.uint64(8)) % np.uint64(SPREAD)).astype(np.int64), minlength=SPREAD), MOST_SPREAD).astype(np.int16)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, share: tuple[int, int], bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n, fp (of the set), gid (of prefix and size), prefix, salts.
+    """doc_id, n, fp (of the set), gid (of prefix and size), spread (members by hash bucket), prefix, salts.
 
     prefix is empty but in the first row of a group within a task, so that copies cost nothing further.
     """
@@ -71,21 +81,22 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, share: tuple
                 found = shingle_set(text, k)
                 n = len(found)
                 if not n:
-                    rows.append((0, b"", 0, [], []))
+                    rows.append((0, b"", 0, None, [], []))
                     continue
                 bucket = (found >> np.uint64(64 - bits)).astype(np.int64)
                 first = n - -(-num * n // den) + 1
-                order = np.lexsort((found, ranks[bucket]))[:first]
+                # found is sorted, so a stable sort by class alone orders by class and hash
+                order = np.argsort(ranks[bucket], kind="stable")[:first]
                 prefix = found[order].view(np.int64)
                 gid = xxhash.xxh3_64_intdigest(prefix.tobytes(), n & 0xFFFFFFFF)
                 new = gid not in seen
                 seen.add(gid)
-                rows.append((n, xxhash.xxh3_128_digest(found.tobytes()), gid - (1 << 64) if gid >> 63 else gid, prefix if new else [], (gid >> 2) % split[bucket[order]] if new else []))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n", "fp", "gid", "prefix", "salts"])
+                rows.append((n, xxhash.xxh3_128_digest(found.tobytes()), gid - (1 << 64) if gid >> 63 else gid, spread(found), prefix if new else [], (gid >> 2) % split[bucket[order]] if new else []))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n", "fp", "gid", "spread", "prefix", "salts"])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n long, fp binary, gid long, prefix array<long>, salts array<long>")
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n long, fp binary, gid long, spread array<smallint>, prefix array<long>, salts array<long>")
 
 
 def passes(n1, n2, p1, p2, share: tuple[int, int]):
@@ -106,6 +117,7 @@ def components(links: DataFrame) -> DataFrame:
     while not links.isEmpty():
         both = links.union(links.select("b", "a"))
         step = common.stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
+        step = common.small_side(step, 128)  # sent to all tasks if its counted rows are few, else shuffled
         if roots is None:
             roots = step.select(F.col("u").alias("vertex"), F.col("m").alias("root"))
         else:
@@ -125,20 +137,33 @@ class Join:
         self.signed = common.stored(signatures(docs, id_col, text_col, k, share))
         some = self.signed.where("n > 0")
         self.units = common.stored(some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid"), F.min("n").alias("n")))
+        self.compared = None
 
     def shared_postings(self) -> DataFrame:
-        """token, gid, n, pos of prefix shingles that two groups or more share, with the smallest group (pivot)."""
+        """token, gid, n, pos of prefix shingles that two groups or more share, with the smallest group (pivot) and the next smaller one (prev)."""
         exploded = self.signed.where("size(prefix) > 0").select("gid", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "x"))
         postings = exploded.select(F.col("x.prefix").alias("token"), F.col("x.salts").alias("salt"), "gid", "n", F.col("pos").cast("long").alias("pos"))
         order = Window.partitionBy("token", "salt").orderBy("n", "gid")
-        near = postings.select("*", F.first(F.struct("gid", "n", "pos")).over(order).alias("pivot"), F.lead("gid").over(order).alias("next"))
+        this = F.struct("gid", "n", "pos")
+        near = postings.select("*", F.first(this).over(order).alias("pivot"), F.lag(this).over(order).alias("prev"), F.lead("gid").over(order).alias("next"))
         # a token dealt to several tasks may be alone in one of them and is kept
         return common.stored(near.where("gid <> pivot.gid or next <> gid or salt > 0").drop("next", "salt"))
 
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose sets can have enough members in common, by the sums of their smaller bucket counts."""
+        num, den = self.share
+        spreads = self.signed.where("n > 0").select("fp", "n", "spread")
+        wanted = common.stored(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct())
+        spreads = common.stored(spreads.join(common.small_side(wanted, 64), "fp", "left_semi").dropDuplicates(["fp"]))
+        both = pairs.join(spreads.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("spread").alias("sa")), "a").join(spreads.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("spread").alias("sb")), "b")
+        most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda x, y: x + y)
+        cut = F.exists("sa", lambda x: x == MOST_SPREAD) | F.exists("sb", lambda x: x == MOST_SPREAD)
+        return both.where((most * (num + den) >= (F.col("na") + F.col("nb")) * num) | cut).select("a", "b")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of sets, by fp, whose similarity reaches the threshold."""
         num, den = self.share
-        pairs = common.stored(pairs)
+        pairs = common.stored(self.possible(pairs))
         wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
         ids = common.stored(self.units.join(wanted, "fp", "left_semi").select(F.col("rep").alias("__rep")).distinct())
         docs = self.docs.select(F.col(self.id_col).alias("doc_id"), F.col(self.text_col).cast("string").alias("text"))
@@ -156,7 +181,9 @@ class Join:
         return common.stored(both.where(same * (num + den) >= (F.size("ma") + F.size("mb")) * num).select("a", "b").distinct())
 
     def first_round(self, shared: DataFrame) -> DataFrame:
-        pairs = shared.where("gid <> pivot.gid").where(passes(F.col("n"), F.col("pivot.n"), F.col("pos"), F.col("pivot.pos"), self.share)).select(F.col("gid").alias("g1"), F.col("pivot.gid").alias("g2")).distinct()
+        close = lambda x: (F.col("gid") != F.col(f"{x}.gid")) & passes(F.col("n"), F.col(f"{x}.n"), F.col("pos"), F.col(f"{x}.pos"), self.share)
+        both = F.array_compact(F.array(*[F.when(close(x), F.col(f"{x}.gid")) for x in ("pivot", "prev")]))
+        pairs = shared.select(F.col("gid").alias("g1"), F.explode(both).alias("g2")).distinct()
         heads = self.units.groupBy("gid").agg(F.min("fp").alias("head"), F.count("*").alias("members"))
         across = pairs.join(heads.select(F.col("gid").alias("g1"), F.col("head").alias("a")), "g1").join(heads.select(F.col("gid").alias("g2"), F.col("head").alias("b")), "g2").select("a", "b")
         within = self.units.join(heads.where("members > 1"), "gid").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
@@ -164,7 +191,7 @@ class Join:
 
     def second_round(self, shared: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
         """Pairs of units that share a prefix shingle or a group, are in different components and weren't compared."""
-        named = self.units.select("fp", "gid").join(roots.select(F.col("vertex").alias("fp"), "root"), "fp", "left").select("fp", "gid", F.coalesce("root", "fp").alias("root"))
+        named = self.units.select("fp", "gid").join(common.small_side(roots.select(F.col("vertex").alias("fp"), "root"), 128), "fp", "left").select("fp", "gid", F.coalesce("root", "fp").alias("root"))
         within = named.groupBy("gid").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("gid")
         by_group = named.join(within, "gid", "left_semi").select(F.col("gid").alias("token"), F.lit(0).alias("n"), F.lit(0).alias("pos"), "fp", "root", F.lit(True).alias("grouped"))
         by_token = shared.select("token", "gid", "n", "pos").distinct().join(named, "gid")
@@ -184,7 +211,7 @@ class Join:
         more = self.verified(self.second_round(shared, roots, pairs))
         if not more.isEmpty():
             roots = components(links.union(more))
-        named = self.units.join(roots.select(F.col("vertex").alias("fp"), "root"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+        named = self.units.join(common.small_side(roots.select(F.col("vertex").alias("fp"), "root"), 128), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
         smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
         by_set = named.join(smallest, "root").select("fp", "component_id")
         linked = self.signed.where("n > 0").select("doc_id", "n", "fp").join(by_set, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "fp")
