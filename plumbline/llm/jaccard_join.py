@@ -9,7 +9,7 @@ which are verified on the whole sets.
 
 Links only matter for the components, so candidates come in two rounds.  In the first, each of a shingle's groups is
 paired with the smallest of them and the next smaller one alone, which joins near copies, however many, in a number of
-pairs in proportion to their number.  In the second, only units that are still in different components are paired.  No pair between components is
+pairs in proportion to their number, and then with the one that shares most.  In the second, only units that are still in different components are paired.  No pair between components is
 left out, so the components are those of all links.
 """
 
@@ -189,6 +189,26 @@ class Join:
         within = self.units.join(heads.where("members > 1"), "gid").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
         return across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
+    def hub_round(self, shared: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+        """Pairs of each shingle's groups with its most connected group, where they are in different components.
+
+        The original of many near copies shares its whole prefix with them, while each copy's begins with what is its own;
+        so the original has the most groups to its shingles.  Pairs are in proportion to the shared shingles.
+        """
+        rows = shared.select("token", "gid", "n", "pos").distinct()
+        sizes = rows.groupBy("token").agg(F.count("*").alias("groups"))
+        joined = common.stored(rows.join(sizes, "token").where("groups > 1"))
+        weight = joined.groupBy("gid").agg(F.sum("groups").alias("weight"))
+        weighed = joined.join(common.small_side(weight, 64), "gid")
+        hubs = weighed.groupBy("token").agg(F.max(F.struct("weight", "gid", "n", "pos")).alias("hub"))
+        heads = self.units.groupBy("gid").agg(F.min("fp").alias("head"))
+        heads = heads.join(common.small_side(roots.select(F.col("vertex").alias("head"), "root"), 128), "head", "left").select("gid", "head", F.coalesce("root", "head").alias("root"))
+        heads = common.stored(heads)
+        near = joined.join(hubs, "token").where((F.col("gid") != F.col("hub.gid")) & passes(F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos"), self.share))
+        pairs = near.select(F.col("gid").alias("g1"), F.col("hub.gid").alias("g2")).distinct()
+        pairs = pairs.join(heads.select(F.col("gid").alias("g1"), F.col("head").alias("a"), F.col("root").alias("ra")), "g1").join(heads.select(F.col("gid").alias("g2"), F.col("head").alias("b"), F.col("root").alias("rb")), "g2").where("ra <> rb")
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+
     def second_round(self, shared: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
         """Pairs of units that share a prefix shingle or a group, are in different components and weren't compared."""
         named = self.units.select("fp", "gid").join(common.small_side(roots.select(F.col("vertex").alias("fp"), "root"), 128), "fp", "left").select("fp", "gid", F.coalesce("root", "fp").alias("root"))
@@ -208,7 +228,12 @@ class Join:
         pairs = common.stored(self.first_round(shared))
         links = self.verified(pairs)
         roots = components(links)
-        more = self.verified(self.second_round(shared, roots, pairs))
+        hubs = common.stored(self.hub_round(shared, roots, pairs))
+        found = self.verified(hubs)
+        if not found.isEmpty():
+            links = links.union(found)
+            roots = components(links)
+        more = self.verified(self.second_round(shared, roots, pairs.union(hubs)))
         if not more.isEmpty():
             roots = components(links.union(more))
         named = self.units.join(common.small_side(roots.select(F.col("vertex").alias("fp"), "root"), 128), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
