@@ -26,42 +26,53 @@ HALF, GROW = 1.0, 1.15
 #: Collisions that make a candidate, as a share of the lines.
 THRESHOLD = 0.63
 #: Candidates that end the widening: ten for each result wanted, and this share of the shard's rows.
-ENOUGH = 0.2
+ENOUGH = 0.16
 
 
 class Shard:
-    """Sorted projections of a shard's rows; rows have to be scaled to norms of at most 1."""
+    """Sorted projections of a shard's rows; rows have to be scaled to norms of at most 1.
+
+    All lines' sorted values lie in one array, each line's moved by its own offset, so that one search finds the ends of a
+    query's windows on all lines.
+    """
 
     def __init__(self, rows: np.ndarray, lines: int = LINES, seed: int = 11):
         self.lines = np.random.default_rng(seed).standard_normal((rows.shape[1] + 1, lines)).astype(np.float32)
         rest = np.sqrt(np.maximum(0.0, 1.0 - (rows * rows).sum(axis=1)))
         values = np.concatenate([rows, rest[:, None]], axis=1).astype(np.float32) @ self.lines
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int64).copy()
-        self.values = np.sort(values, axis=0).T.copy()
-
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows with enough collisions, for a query of norm 1."""
-        m, n = self.order.shape
-        centre = query.astype(np.float32) @ self.lines[:-1]
-        wanted, needed = min(n, 10 * k + int(ENOUGH * n)), int(np.ceil(THRESHOLD * m))
-        counts = np.zeros(n, dtype=np.int64)
-        low = np.array([np.searchsorted(v, c) for v, c in zip(self.values, centre, strict=True)])
-        high = low.copy()
-        half = HALF * 0.5
+        self.n, self.m = values.shape
+        self.offsets = np.arange(self.m) * (4.0 * np.abs(values).max(initial=1.0) + 64.0)
+        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32).ravel()
+        self.values = (np.sort(values, axis=0).T.astype(np.float64) + self.offsets[:, None]).ravel()
+        self.first = np.arange(self.m) * self.n
+        self.begin = HALF / 16
+        # how wide windows are to begin with: two steps short of what the narrowest of a few rows needs
+        few = [self._widen(r.astype(np.float32) @ self.lines[:-1], 0)[1] for r in rows[:: max(1, self.n // 8)]]
+        self.begin = min(few, default=self.begin) / GROW**2
+
+    def _widen(self, centre: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+        wanted, needed = min(self.n, 10 * k + int(ENOUGH * self.n)), int(np.ceil(THRESHOLD * self.m))
+        centre = centre.astype(np.float64) + self.offsets
+        counts = np.zeros(self.n, dtype=np.int64)
+        half, low, high = self.begin, None, None
         while True:
-            news = []
-            for j in range(m):
-                a = np.searchsorted(self.values[j], centre[j] - half, side="left")
-                b = np.searchsorted(self.values[j], centre[j] + half, side="right")
-                a, b = min(a, low[j]), max(b, high[j])
-                news += [self.order[j, a : low[j]], self.order[j, high[j] : b]]
-                low[j], high[j] = a, b
-            counts += np.bincount(np.concatenate(news), minlength=n)
+            a = np.maximum(np.searchsorted(self.values, centre - half, side="left"), self.first)
+            b = np.minimum(np.searchsorted(self.values, centre + half, side="right"), self.first + self.n)
+            if low is None:
+                news = [self.order[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+            else:  # only what the windows have grown by
+                news = [self.order[i:j] for i, j in zip(a.tolist(), low.tolist(), strict=True)] + [self.order[i:j] for i, j in zip(high.tolist(), b.tolist(), strict=True)]
+            low, high = a, b
+            counts += np.bincount(np.concatenate(news), minlength=self.n)
             found = np.flatnonzero(counts >= needed)
-            if len(found) >= wanted or (low == 0).all() and (high == n).all():
-                return found
+            if len(found) >= wanted or (low == self.first).all() and (high == self.first + self.n).all():
+                return found, half
             half *= GROW
 
+    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
+        """Rows with enough collisions, for a query of norm 1."""
+        return self._widen(query.astype(np.float32) @ self.lines[:-1], k)[0]
+
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     values = column.combine_chunks()
@@ -95,8 +106,10 @@ def search(data: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_c
         out: list[list] = [[], [], []]
         if rows.num_rows and asked.num_rows:
             x, q = matrix(rows["v"]), matrix(asked["q"])
-            ids = np.array([(2**63 - 1) if i is None else i for i in rows["vec_id"].to_pylist()], dtype=np.int64)
             null = np.array([i is None for i in rows["vec_id"].to_pylist()])
+            ids = np.array([(2**63 - 1) if i is None else i for i in rows["vec_id"].to_pylist()], dtype=np.int64)
+            order = np.lexsort((*x.T[:4], ids))
+            x, ids, null = x[order], ids[order], null[order]
             shard = Shard(x / norm)
             for query_id, one in zip(asked["query_id"].to_pylist(), q, strict=True):
                 found = shard.candidates(one / np.linalg.norm(one), k)
