@@ -17,7 +17,7 @@ broadcast.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,10 +28,12 @@ from pyspark.sql import functions as F
 
 from . import common
 from .packing import encoder
-from .shingling import MOST_WORDS, word_hashes
+from .shingling import word_hashes
 
 #: Words whose counts are sent to every task, at most.
 FREQUENT_WORDS = 1 << 19
+#: Words that a task holds before it counts them.
+MOST_HELD = 4_000_000
 #: Tokens of a block; a token sees its block and the one before.
 BLOCK = 16
 WIDTH, CLASSES, BUCKETS, SHARED = 16, 32, 1024, 64
@@ -40,8 +42,8 @@ RATE = 64
 ROUNDS, BATCH, STEP = 3, 64, 5e-3
 #: A task's training in a round goes over its windows once, or again and again up to so many steps.
 LEAST_STEPS = 150
-#: Tokens that are scored at a time.
-AT_ONCE = 1 << 15
+#: Tokens that are scored at a time; what they need fits a core's cache.
+AT_ONCE = 1 << 13
 END_OF_TEXT = 50256
 VOCABULARY = 50257
 #: The end of a text, as a word.
@@ -53,7 +55,10 @@ WORD, TOKEN, WINDOW = 0, 1, 2
 def subwords(text: str | None, path: str) -> np.ndarray:
     """The subword ids of the text with A-Z lower-cased, between two end-of-text ids."""
     lowered = (text or "").encode().translate(common.LOWER_TABLE).decode()
-    return np.array([END_OF_TEXT, *encoder(path)(lowered), END_OF_TEXT], dtype=np.int32)
+    ids = array("i", (END_OF_TEXT,))
+    ids.extend(encoder(path)(lowered))
+    ids.append(END_OF_TEXT)
+    return np.frombuffer(ids, dtype=np.int32)
 
 
 def signed(values: np.ndarray) -> np.ndarray:
@@ -67,23 +72,23 @@ def gather(docs: DataFrame, path: str, rate: int = RATE) -> DataFrame:
     """
 
     def run(batches):
-        words: Counter = Counter()
+        words: list[np.ndarray] = []
+        held = 0
         tokens = np.zeros(VOCABULARY, dtype=np.int64)
 
         def rows(kind, keys, n, ids=None):
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int8)), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(ids if ids is not None else [None] * len(keys), pa.binary())], names=["kind", "key", "n", "ids"])
 
         def flush():
-            keys = np.fromiter(words.keys(), np.uint64, len(words))
-            out = rows(WORD, signed(keys), np.fromiter(words.values(), np.int64, len(words)))
+            keys, n = np.unique(np.concatenate(words), return_counts=True)
             words.clear()
-            return out
+            return rows(WORD, signed(keys), n)
 
         for batch in batches:
             windows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.update(word_hashes(text).tolist())
-                words[int(END_WORD)] += 1
+                words.append(np.append(word_hashes(text), END_WORD))
+                held += len(words[-1])
                 ids = subwords(text, path)
                 tokens += np.bincount(ids[1:], minlength=VOCABULARY)
                 span = 2 * BLOCK
@@ -93,8 +98,9 @@ def gather(docs: DataFrame, path: str, rate: int = RATE) -> DataFrame:
                         piece = ids[start : start + span + 1]
                         window[: len(piece)] = piece
                         windows.append(window.tobytes())
-                if len(words) > MOST_WORDS:
+                if held > MOST_HELD:
                     yield flush()
+                    held = 0
             if windows:
                 yield rows(WINDOW, np.zeros(len(windows), np.int64), np.ones(len(windows), np.int64), windows)
         if words:
@@ -190,7 +196,10 @@ def class_logs(w: dict[str, np.ndarray], buckets: np.ndarray, follows: np.ndarra
     s = qkv[:, :, :WIDTH] @ kv2[:, :, :WIDTH].transpose(0, 2, 1)
     s += np.where(BACK >= 0, w["near"][np.maximum(BACK, 0)], np.float32(-1e9))
     s[~follows, :, :BLOCK] = -1e9
-    s -= s.max(axis=2, keepdims=True)
+    q, k = qkv[:, :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH]
+    most = math.sqrt(float(np.einsum("msd,msd->ms", q, q).max(initial=0)) * float(np.einsum("msd,msd->ms", k, k).max(initial=0))) + float(np.abs(w["near"]).max())
+    if most > 60:  # else no score can overflow, nor can all of a row's vanish
+        s -= s.max(axis=2, keepdims=True)
     np.exp(s, out=s)
     a = s @ kv2[:, :, WIDTH:]
     a /= s.sum(axis=2, keepdims=True)
