@@ -65,7 +65,8 @@ def spread(found: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, share: tuple[int, int], bits: int = SKETCH_BITS) -> DataFrame:
     """doc_id, n, fp (of the set), gid (of prefix and size), spread (members by hash bucket), prefix, salts.
 
-    prefix is empty but in the first row of a group within a task, so that copies cost nothing further.
+    prefix is empty but in the first row of a group within a task, so that copies cost nothing further.  salts has the
+    task that a prefix shingle's group is dealt to, or -1 where the shingle is not dealt to several.
     """
     num, den = share
     counts, classes = shingle_classes(docs, text_col, k, bits)
@@ -91,7 +92,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, share: tuple
                 gid = xxhash.xxh3_64_intdigest(prefix.tobytes(), n & 0xFFFFFFFF)
                 new = gid not in seen
                 seen.add(gid)
-                rows.append((n, xxhash.xxh3_128_digest(found.tobytes()), gid - (1 << 64) if gid >> 63 else gid, spread(found), prefix if new else [], (gid >> 2) % split[bucket[order]] if new else []))
+                rows.append((n, xxhash.xxh3_128_digest(found.tobytes()), gid - (1 << 64) if gid >> 63 else gid, spread(found), prefix if new else [], np.where(split[bucket[order]] > 1, (gid >> 2) % split[bucket[order]], -1) if new else []))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n", "fp", "gid", "spread", "prefix", "salts"])
@@ -146,8 +147,8 @@ class Join:
         order = Window.partitionBy("token", "salt").orderBy("n", "gid")
         this = F.struct("gid", "n", "pos")
         near = postings.select("*", F.first(this).over(order).alias("pivot"), F.lag(this).over(order).alias("prev"), F.lead("gid").over(order).alias("next"))
-        # a token dealt to several tasks may be alone in one of them and is kept
-        return common.stored(near.where("gid <> pivot.gid or next <> gid or salt > 0").drop("next", "salt"))
+        # a group of a token dealt to several tasks may be alone in any of them, the first too, and is kept
+        return common.stored(near.where("gid <> pivot.gid or next <> gid or salt >= 0").drop("next", "salt"))
 
     def possible(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose sets can have enough members in common, by the sums of their smaller bucket counts."""

@@ -199,6 +199,19 @@ def test_jaccard_join(spark, seed):
     assert kept == sorted({smallest[find(i)] for i in range(len(texts))})
 
 
+def test_jaccard_join_of_split_shingles(spark, monkeypatch):
+    """Shingles dealt to several tasks lose no posting and no link, though a group be alone in any of them."""
+    monkeypatch.setattr(jaccard_join, "SPLIT", 1)
+    words = prose(random.Random(4), 60).split()
+    df = spark.createDataFrame([(i, " ".join([*words[:-1], f"end{i}"])) for i in range(20)], "doc_id long, text string")
+    join = jaccard_join.Join(df, "doc_id", "text", 4, (80, 100))
+    rows = {(r["token"], r["gid"]) for r in join.signed.select("gid", F.explode("prefix").alias("token")).collect()}
+    groups = Counter(token for token, _ in rows)
+    want = {row for row in rows if groups[row[0]] > 1}
+    assert want and want <= {(r["token"], r["gid"]) for r in join.shared_postings().collect()}
+    test_jaccard_join(spark, 1)
+
+
 def test_jaccard_join_edges(spark, docs, none):
     found = jaccard_join.link(docs)
     assert found.count() == docs.count()
