@@ -1,10 +1,11 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in numpy, beside a word unigram base.
 
-One pass over all training documents counts words (by 64-bit hash) and subword ids and takes training windows at a fixed
-rate from every document.  Subword ids fall into classes of equal mass; the model gives a token's class from the tokens
+One pass over all training documents counts words (by 64-bit hash) and subword ids and cuts every document
+into training windows.  Subword ids fall into classes of equal mass; the model gives a token's class from the tokens
 before it, and the counts give the token within its class, so that the probabilities of all ids add up to 1.  The model is
-trained by rounds of local training in each task over its windows and averaging of the weights; what returns to the
-driver is one set of weights.
+trained by rounds of local training in each task over its windows and averaging of the weights; each round takes its
+share of the windows, so that all rounds together are one pass over all of them.  What returns to the driver is one set
+of weights.
 
 Scoring reads whole texts in blocks.  A block of tokens sees itself causally and the whole block before it: windows
 overlap by half, and each token is scored once, in batches of blocks with one masked attention.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import math
 from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,12 +38,12 @@ FREQUENT_WORDS = 1 << 19
 MOST_HELD = 4_000_000
 #: Tokens of a block; a token sees its block and the one before.
 BLOCK = 16
-WIDTH, CLASSES, BUCKETS, SHARED = 16, 32, 1024, 64
-#: One in so many windows of the training documents is trained on.
-RATE = 64
+WIDTH, CLASSES, BUCKETS, SHARED = 16, 64, 1024, 64
 ROUNDS, BATCH, STEP = 3, 64, 5e-3
 #: A task's training in a round goes over its windows once, or again and again up to so many steps.
 LEAST_STEPS = 150
+#: Windows that a task holds, and brings into random order, at a time.
+MIXED = 1 << 14
 #: Tokens that are scored at a time; what they need fits a core's cache.
 AT_ONCE = 1 << 13
 END_OF_TEXT = 50256
@@ -65,10 +67,19 @@ def signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
 
 
-def gather(docs: DataFrame, path: str, rate: int = RATE) -> DataFrame:
-    """kind, key, n, ids: partial counts of words and subword ids, and training windows (2 * BLOCK + 1 ids each).
+def windows_of(ids: np.ndarray) -> np.ndarray:
+    """The windows (n x 2 * BLOCK + 1 ids, -1 beyond the text's end) whose targets are all of a text's ids but the first."""
+    span = 2 * BLOCK
+    n = -(-(len(ids) - 1) // span)
+    padded = np.full(n * span + 1, -1, dtype=np.int32)
+    padded[: len(ids)] = ids
+    return padded[np.arange(n)[:, None] * span + np.arange(span + 1)]
 
-    docs: doc_id as text, and text.
+
+def gather(docs: DataFrame, path: str) -> DataFrame:
+    """kind, key, n, ids: partial counts of words and subword ids, and all training windows (key: the round that takes it).
+
+    docs: doc_id as text, and text.  A document's windows are dealt to the rounds in turn.
     """
 
     def run(batches):
@@ -84,25 +95,32 @@ def gather(docs: DataFrame, path: str, rate: int = RATE) -> DataFrame:
             words.clear()
             return rows(WORD, signed(keys), n)
 
+        def windows(cut, turns):
+            cut, turns = np.concatenate(cut), np.concatenate(turns)
+            for at in range(0, len(cut), MIXED):
+                some = cut[at : at + MIXED]
+                yield rows(WINDOW, turns[at : at + MIXED], np.ones(len(some), np.int64), [w.tobytes() for w in some])
+
         for batch in batches:
-            windows = []
+            cut: list[np.ndarray] = []
+            turns: list[np.ndarray] = []
+            waiting = 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words.append(np.append(word_hashes(text), END_WORD))
                 held += len(words[-1])
                 ids = subwords(text, path)
                 tokens += np.bincount(ids[1:], minlength=VOCABULARY)
-                span = 2 * BLOCK
-                for start in range(0, len(ids) - 1, span):
-                    if xxhash.xxh3_64_intdigest(f"{doc_id}:{start}") % rate == 0:
-                        window = np.full(span + 1, -1, dtype=np.int32)
-                        piece = ids[start : start + span + 1]
-                        window[: len(piece)] = piece
-                        windows.append(window.tobytes())
+                cut.append(windows_of(ids))
+                turns.append((np.arange(len(cut[-1])) + xxhash.xxh3_64_intdigest(str(doc_id)) % ROUNDS) % ROUNDS)
+                waiting += len(cut[-1])
+                if waiting >= MIXED:
+                    yield from windows(cut, turns)
+                    cut, turns, waiting = [], [], 0
                 if held > MOST_HELD:
                     yield flush()
                     held = 0
-            if windows:
-                yield rows(WINDOW, np.zeros(len(windows), np.int64), np.ones(len(windows), np.int64), windows)
+            if cut:
+                yield from windows(cut, turns)
         if words:
             yield flush()
         used = np.flatnonzero(tokens)
@@ -220,9 +238,10 @@ def backward(w: dict[str, np.ndarray], f: dict[str, np.ndarray], buckets: np.nda
     i, j = np.indices(targets.shape)
     dz[i, j, targets] -= 1
     dz *= (counted / max(1, counted.sum())).astype(np.float32)[:, :, None]
-    g = {"out": np.einsum("msd,msc->dc", f["h"], dz), "bias": dz.sum(axis=(0, 1))}
+    flat_ = lambda x: x.reshape(-1, x.shape[-1])
+    g = {"out": flat_(f["h"]).T @ flat_(dz), "bias": dz.sum(axis=(0, 1))}
     d = (dz @ w["out"].T) * (1 - f["h"] ** 2)
-    g["o"] = np.einsum("msd,mse->de", f["a"], d)
+    g["o"] = flat_(f["a"]).T @ flat_(d)
     da = d @ w["o"].T
     dp, dv2 = da @ f["v2"].transpose(0, 2, 1), f["p"].transpose(0, 2, 1) @ da
     ds = f["p"] * (dp - (dp * f["p"]).sum(axis=2, keepdims=True))
@@ -237,20 +256,25 @@ def backward(w: dict[str, np.ndarray], f: dict[str, np.ndarray], buckets: np.nda
 
     dx = d.copy()
     for name, grad in (("q", dq), ("k", back(dk2)), ("v", back(dv2))):
-        g[name] = np.einsum("msd,mse->de", f["x"], grad)
+        g[name] = flat_(f["x"]).T @ flat_(grad)
         dx += grad @ w[name].T
-    g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], buckets.ravel(), dx.reshape(-1, WIDTH))
+    cells = buckets.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
+    g["embed"] = np.bincount(cells.ravel(), dx.ravel(), minlength=BUCKETS * WIDTH).reshape(BUCKETS, WIDTH)
     return g
 
 
-def local_training(w: dict[str, np.ndarray], windows: np.ndarray, words: Lexicon, seed: int) -> dict[str, np.ndarray]:
-    """Adam over the windows (n x 2 * BLOCK + 1 ids, -1 beyond a text's end)."""
+def local_training(w: dict[str, np.ndarray], parts: Iterable[np.ndarray], words: Lexicon, seed: int) -> tuple[dict[str, np.ndarray], int]:
+    """Adam over parts of the windows (n x 2 * BLOCK + 1 ids, -1 beyond a text's end), and how many windows there were.
+
+    Every window is trained on; only windows for less than LEAST_STEPS are held and gone over again.
+    """
     rng = np.random.default_rng(seed)
     w = {k: v.copy() for k, v in w.items()}
     m, s = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
-    t = 0
-    for _ in range(max(1, -(-LEAST_STEPS * BATCH // max(len(windows), BATCH)))):
+    t = n = 0
+
+    def go_over(windows: np.ndarray) -> None:
+        nonlocal t
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             ids = windows[order[at : at + BATCH]]
@@ -265,28 +289,51 @@ def local_training(w: dict[str, np.ndarray], windows: np.ndarray, words: Lexicon
                 m[k] += 0.1 * (g[k] - m[k])
                 s[k] += 0.01 * (g[k] ** 2 - s[k])
                 w[k] -= (STEP * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
-    return w
-
 
-def train(windows: DataFrame, words: Lexicon, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Rounds of local training and averaging, weighted by windows."""
+    few: list[np.ndarray] = []
+    for windows in parts:
+        go_over(windows)
+        n += len(windows)
+        few = [*few, windows] if n < LEAST_STEPS * BATCH else []
+    if few:
+        windows = np.concatenate(few)
+        for _ in range(-(-LEAST_STEPS * BATCH // max(n, BATCH)) - 1):
+            go_over(windows)
+    return w, n
+
+
+def mixed_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """The windows of the batches, about MIXED at a time."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int32).reshape(-1, 2 * BLOCK + 1))
+            n += batch.num_rows
+        if n >= MIXED:
+            yield np.concatenate(held)
+            held, n = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def train(windows: DataFrame, words: Lexicon) -> dict[str, np.ndarray]:
+    """Rounds of local training and averaging, weighted by windows.  windows: key (the round that takes it) and ids."""
     w = fresh()
     spark = windows.sparkSession
-    for turn in range(rounds):
+    for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((w, words, turn))
 
         def run(batches):
             start, lexicon_, turn_ = shared.value
-            rows = [np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int32).reshape(-1, 2 * BLOCK + 1) for batch in batches if batch.num_rows]
-            if rows:
-                mine = np.concatenate(rows)
-                values = flat(local_training(start, mine, lexicon_, turn_)).astype(np.float64) * len(mine)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), float(len(mine))))], names=["i", "wx", "weight"])
+            trained, n = local_training(start, mixed_parts(batches), lexicon_, turn_)
+            if n:
+                values = flat(trained).astype(np.float64) * n
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), float(n)))], names=["i", "wx", "weight"])
 
-        summed = windows.mapInArrow(run, "i int, wx double, weight double").groupBy("i").agg((F.sum("wx") / F.sum("weight")).alias("x"))
+        summed = windows.where(F.col("key") == turn).select("ids").mapInArrow(run, "i int, wx double, weight double").groupBy("i").agg((F.sum("wx") / F.sum("weight")).alias("x"))
         got = summed.toArrow()  # one row a weight
-        if not got.num_rows:
-            return w
+        if not got.num_rows:  # few windows: none for this round
+            continue
         values = np.empty(got.num_rows)
         values[got["i"].to_numpy()] = got["x"].to_numpy()
         w = unflat(values)
@@ -362,7 +409,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     for row in seen.where(F.col("kind") == TOKEN).groupBy("key").agg(F.sum("n").alias("n")).collect():  # at most VOCABULARY rows
         tokens[row["key"]] = row["n"]
     words = lexicon(tokens)
-    weights = train(seen.where(F.col("kind") == WINDOW).select("ids"), words)
+    weights = train(seen.where(F.col("kind") == WINDOW).select("key", "ids"), words)
 
     # the most frequent words: from the smallest count on that leaves no more than FREQUENT_WORDS
     by_size = counts.groupBy(F.floor(F.log2("c") * 16).alias("size")).agg(F.count("*").alias("words"), F.min("c").alias("least"))

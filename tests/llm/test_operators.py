@@ -363,6 +363,35 @@ def test_attention_model():
     assert np.allclose(np.bincount(lex.class_of, np.exp(lex.log_within)), 1)
 
 
+def test_all_windows_are_trained_on(spark, docs, none, monkeypatch):
+    """Every subword id of every training document is the target of one window, and each window is trained on once."""
+    path = common.tokenizer_path("byte_bpe_50k.tiktoken")
+    narrow = docs.select(F.col("doc_id").cast("string"), "text")
+    seen = lm_scoring.gather(narrow, path).cache()
+    cut = seen.where(F.col("kind") == lm_scoring.WINDOW).collect()
+    want = Counter()
+    for r in docs.collect():
+        want.update(lm_scoring.subwords(r["text"], path)[1:].tolist())
+    got = Counter()
+    for r in cut:
+        got.update(i for i in np.frombuffer(r["ids"], np.int32)[1:].tolist() if i >= 0)
+    assert got == want and {r["key"] for r in cut} == set(range(lm_scoring.ROUNDS))
+    words = lm_scoring.lexicon(np.bincount(list(want.elements()), minlength=lm_scoring.VOCABULARY))
+    all_windows = np.stack([np.frombuffer(r["ids"], np.int32) for r in cut])
+    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 0)
+    steps = []
+    backward = lm_scoring.backward
+    monkeypatch.setattr(lm_scoring, "backward", lambda *a: steps.append(int(a[5].sum())) or backward(*a))
+    _, n = lm_scoring.local_training(lm_scoring.fresh(), np.array_split(all_windows, 5), words, 1)
+    assert n == len(cut) and sum(steps) == want.total()
+    # one short text has one window, which reaches the model whatever its id
+    monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 3)
+    for i in range(2):
+        one = spark.createDataFrame([(str(i), "a b c")], "doc_id string, text string")
+        window = lm_scoring.gather(one, path).where(F.col("kind") == lm_scoring.WINDOW).select("key", "ids")
+        assert not np.array_equal(lm_scoring.train(window, words)["bias"], lm_scoring.fresh()["bias"])
+
+
 def test_scores_of_long_texts():
     rng = random.Random(10)
     path = common.tokenizer_path("byte_bpe_50k.tiktoken")
