@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from . import common
 from .shingling import shingle_set
@@ -239,13 +240,14 @@ class Join:
             roots = components(links.union(more))
         named = self.units.join(common.small_side(roots.select(F.col("vertex").alias("fp"), "root"), 128), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
         smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-        by_set = named.join(smallest, "root").select("fp", "component_id")
-        linked = self.signed.where("n > 0").select("doc_id", "n", "fp").join(by_set, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "fp")
-        return linked.union(self.signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "fp"))
+        by_set = named.join(smallest, "root").select("fp", "component_id", "root")
+        linked = self.signed.where("n > 0").select("doc_id", "n", "fp").join(by_set, "fp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "fp", "root")
+        return linked.union(self.signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "fp", F.lit(None).cast("binary").alias("root")))
 
 
 def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """doc_id, n_shingles, component_id and fp (fingerprint of the shingle set) of every document.
+    """doc_id, n_shingles, component_id, fp (fingerprint of the shingle set) and root (one fp of the component, which tells
+    components apart where ids are null or repeat; null without shingles) of every document.
 
     Documents link when 100 * intersection >= share * union of their shingle sets (A-Z lower-cased, words parted by ASCII
     white space; a text of fewer words is one shingle).  component_id is the smallest doc_id reachable by links.
@@ -260,16 +262,34 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shi
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """docs without all but one document of each component: the one with the smallest id stays.
 
-    Of several rows with that id in a component one stays.  Documents without shingles all stay.
+    Of several rows with that id in a component one stays, in each component, whatever null or repeated ids others have.
+    Documents without shingles all stay.
     """
-    found = link(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, share=share)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).where("n_shingles > 0")
-    stays = common.stored(stays.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__rows")))
+    found = link(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, share=share).where("n_shingles > 0")
+    found = common.stored(found.select("doc_id", "component_id", "fp", "root"))
+    heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root")
+    heads = common.stored(heads.agg(F.min("doc_id").alias("__id"), F.min("fp").alias("__fp")).select("__id", "__fp"))  # one row a component
+    # an id of one row names its row; null and repeated ids do so only together with the set
+    several = found.groupBy(F.col("doc_id").alias("__many")).agg(F.count("*").alias("__rows")).where("__rows > 1").select("__many")
+    several = common.small_side(common.stored(several), 64)
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     empty = F.length(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "[\\x20\\x09-\\x0D]+", "")) == 0
-    blank = docs.where(empty)
-    kept = docs.where(~empty).join(common.small_side(stays, 64), F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
-    once = kept.where("__rows = 1").drop("__rows").union(kept.where("__rows > 1").drop("__rows").dropDuplicates([id_col]))
-    return once.union(blank)
+    texts, blank = docs.where(~empty), docs.where(empty)
+    once = heads.join(several, same("__id", "__many"), "left_anti").select("__id")
+    kept = texts.join(common.small_side(common.stored(once), 64), same(id_col, "__id")).drop("__id").union(blank)
+    picked = common.stored(heads.join(several, same("__id", "__many"), "left_semi"))
+    if picked.isEmpty():
+        return kept
+
+    def run(batches):
+        for batch in batches:
+            fps = [xxhash.xxh3_128_digest(shingle_set(text, shingle_words).tobytes()) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.binary())], names=[*batch.schema.names[:-1], "__set"])
+
+    unclear = texts.join(several, same(id_col, "__many"), "left_semi").withColumn("__text", F.col(text_col).cast("string"))
+    unclear = unclear.mapInArrow(run, StructType([*docs.schema.fields, StructField("__set", BinaryType())]))
+    unclear = unclear.join(common.small_side(picked, 64), same(id_col, "__id") & (F.col("__set") == F.col("__fp")))
+    return kept.union(unclear.dropDuplicates([id_col, "__set"]).drop("__id", "__fp", "__set"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

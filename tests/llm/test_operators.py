@@ -220,6 +220,19 @@ def test_jaccard_join_edges(spark, docs, none):
     assert jaccard_join.one_of_each(twice).count() == 4  # of equal rows with words one stays; texts without words all stay
 
 
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    """One row of every component stays though ids are null or repeat: unrelated texts of an id stay, near copies go."""
+    rng = random.Random(8)
+    a, b, c, d, e, f = (prose(rng, 40) for _ in range(6))
+    near = lambda t: t + " more"
+    rows = [(None, a), (None, b), (None, near(b)), (5, c), (5, d), (5, d), (7, e), (None, near(e)), (9, near(f)), (8, f), (9, prose(rng, 40)), (None, ""), (1, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in jaccard_join.one_of_each(df).collect())
+    of_b = [t for i, t in got if t in (b, near(b))]
+    assert len(of_b) == 1
+    assert got == Counter([(None, a), (None, of_b[0]), (5, c), (5, d), (7, e), (8, f), rows[10], (None, ""), (1, "x y z")])
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     roots = {r["vertex"]: r["root"] for r in jaccard_join.components(links).collect()}
