@@ -88,6 +88,23 @@ def sample_chunk_top(spark, sf_dir):
     return sampling.mismatch_ranges(s, t, "o_orderkey", "o_orderkey", sampling.Sampling("chunk", chunk_size=1000, max_scan_chunks=20)).top(5)
 
 
+#: sample_chunk and sample_chunk_top scan the first 20 chunks alone; these scan the whole id range.
+WHOLE_CHUNKS = CHUNKS.replace("WHERE k < 20 ", "")
+WHOLE = sampling.Sampling("chunk", chunk_size=1000, max_scan_chunks=1 << 64)
+
+
+@query(f"WITH {WHOLE_CHUNKS} SELECT * FROM r")
+def sample_chunk_whole(spark, sf_dir):
+    s, t = sides(spark, sf_dir)
+    return sampling.mismatch_ranges(s, t, "o_orderkey", "o_orderkey", WHOLE).df
+
+
+@query(f"WITH {WHOLE_CHUNKS} SELECT * FROM r ORDER BY abs(diff) DESC, range_start LIMIT 5")
+def sample_chunk_whole_top(spark, sf_dir):
+    s, t = sides(spark, sf_dir)
+    return sampling.mismatch_ranges(s, t, "o_orderkey", "o_orderkey", WHOLE).top(5)
+
+
 @query(f"""WITH RECURSIVE {TGT}, b AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM tgt)),
 halves AS (
   SELECT lo, hi, 1 AS depth, (SELECT count(*) FROM orders WHERE o_orderkey BETWEEN lo AND hi) AS s, (SELECT count(*) FROM tgt WHERE o_orderkey BETWEEN lo AND hi) AS t FROM b
