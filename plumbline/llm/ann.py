@@ -4,7 +4,7 @@ Vectors are scaled by the largest norm and given one more component so that all
 then the nearest by inner product.  A shard of rows is projected on random lines, and each line's values are kept sorted.
 A query's windows on all lines are centred at its own projections and widened together, step by step (virtual rehashing),
 while each row's collisions, the windows it lies in, are counted.  Rows with enough collisions are candidates; the windows
-grow until there are enough candidates, all of which are verified exactly.
+grow until there are enough candidates, all of which are verified exactly.  Counting works on bit sets of rows, 64 at once.
 
 Rows are dealt to shards of a bounded size and queries to blocks of a bounded size; each pair of them is one group.  Every
 row is indexed.  The best of each pair are merged by a ranking per query.
@@ -12,6 +12,8 @@ row is indexed.  The best of each pair are merged by a ranking per query.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,19 +23,68 @@ from . import common
 
 SHARD_ROWS, QUERY_ROWS = 8192, 4096
 LINES = 128
-#: A window's half-width for a radius of 1, and by how much windows grow in a step.
-HALF, GROW = 1.0, 1.15
+#: The steps that a line's sorted values are kept by, a window's first half-width, and by how much windows grow in a step.
+GRID, HALF, GROW = 1 / 16, 1 / 4, 1.06
 #: Collisions that make a candidate, as a share of the lines.
 THRESHOLD = 0.63
 #: Candidates that end the widening: ten for each result wanted, and this share of the shard's rows.
-ENOUGH = 0.16
+ENOUGH = 0.2
+#: Queries that are counted at a time; what they need fits a core's cache.
+AT_ONCE = 64
+
+
+def added(sets) -> list[np.ndarray]:
+    """How many of the bit sets hold each row: the binary digits of the counts, lowest first, as bit sets (a tree of adders)."""
+    held: list[list[np.ndarray]] = [[]]
+
+    def put(x: np.ndarray, digit: int) -> None:
+        if digit == len(held):
+            held.append([])
+        held[digit].append(x)
+
+    for x in sets:
+        put(x, 0)
+        digit = 0
+        while len(held[digit]) == 3:
+            a, b, c = held[digit]
+            u = a ^ b
+            held[digit] = [u ^ c]
+            put((a & b) | (u & c), digit + 1)
+            digit += 1
+    digit = 0
+    while digit < len(held):
+        if len(held[digit]) == 2:
+            a, b = held[digit]
+            held[digit] = [a ^ b]
+            put(a & b, digit + 1)
+        digit += 1
+        if digit < len(held) and len(held[digit]) == 3:
+            a, b, c = held[digit]
+            u = a ^ b
+            held[digit] = [u ^ c]
+            put((a & b) | (u & c), digit + 1)
+    return [x[0] for x in held]
+
+
+def reaching(digits: list[np.ndarray], least: int) -> np.ndarray:
+    """The rows whose counts are ``least`` at least, as bit sets."""
+    if least >> len(digits):
+        return np.zeros_like(digits[0])
+    more, equal = np.zeros_like(digits[0]), np.full_like(digits[0], ~np.uint64(0))
+    for i in range(len(digits) - 1, -1, -1):
+        if least >> i & 1:
+            equal &= digits[i]
+        else:
+            more |= equal & digits[i]
+            equal &= ~digits[i]
+    return more | equal
 
 
 class Shard:
     """Sorted projections of a shard's rows; rows have to be scaled to norms of at most 1.
 
-    All lines' sorted values lie in one array, each line's moved by its own offset, so that one search finds the ends of a
-    query's windows on all lines.
+    A line's sorted array is kept as the sets of rows up to each step of a grid, so that the rows in a window are the
+    difference of two sets and collisions are counted for 64 rows at once.
     """
 
     def __init__(self, rows: np.ndarray, lines: int = LINES, seed: int = 11):
@@ -41,37 +92,63 @@ class Shard:
         rest = np.sqrt(np.maximum(0.0, 1.0 - (rows * rows).sum(axis=1)))
         values = np.concatenate([rows, rest[:, None]], axis=1).astype(np.float32) @ self.lines
         self.n, self.m = values.shape
-        self.offsets = np.arange(self.m) * (4.0 * np.abs(values).max(initial=1.0) + 64.0)
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32).ravel()
-        self.values = (np.sort(values, axis=0).T.astype(np.float64) + self.offsets[:, None]).ravel()
-        self.first = np.arange(self.m) * self.n
-        self.begin = HALF / 16
-        # how wide windows are to begin with: two steps short of what the narrowest of a few rows needs
-        few = [self._widen(r.astype(np.float32) @ self.lines[:-1], 0)[1] for r in rows[:: max(1, self.n // 8)]]
-        self.begin = min(few, default=self.begin) / GROW**2
-
-    def _widen(self, centre: np.ndarray, k: int) -> tuple[np.ndarray, float]:
-        wanted, needed = min(self.n, 10 * k + int(ENOUGH * self.n)), int(np.ceil(THRESHOLD * self.m))
-        centre = centre.astype(np.float64) + self.offsets
-        counts = np.zeros(self.n, dtype=np.int64)
-        half, low, high = self.begin, None, None
-        while True:
-            a = np.maximum(np.searchsorted(self.values, centre - half, side="left"), self.first)
-            b = np.minimum(np.searchsorted(self.values, centre + half, side="right"), self.first + self.n)
-            if low is None:
-                news = [self.order[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-            else:  # only what the windows have grown by
-                news = [self.order[i:j] for i, j in zip(a.tolist(), low.tolist(), strict=True)] + [self.order[i:j] for i, j in zip(high.tolist(), b.tolist(), strict=True)]
-            low, high = a, b
-            counts += np.bincount(np.concatenate(news), minlength=self.n)
-            found = np.flatnonzero(counts >= needed)
-            if len(found) >= wanted or (low == self.first).all() and (high == self.first + self.n).all():
-                return found, half
-            half *= GROW
-
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
-        """Rows with enough collisions, for a query of norm 1."""
-        return self._widen(query.astype(np.float32) @ self.lines[:-1], k)[0]
+        self.low = float(values.min(initial=0.0)) - GRID
+        steps = np.maximum(1, np.ceil((values - self.low) / GRID)).astype(np.uint16)
+        self.top = int(steps.max(initial=1))
+        edges = np.arange(self.top + 1, dtype=np.uint16)[:, None]
+        if self.top < 256:  # narrow numbers are compared faster
+            steps, edges = steps.astype(np.uint8), edges.astype(np.uint8)
+        steps = np.ascontiguousarray(steps.T)
+        words = -(-self.n // 64)
+        self.upto = np.zeros((self.m, self.top + 1, words), dtype=np.uint64)
+        for line in range(self.m):
+            bits = np.packbits(steps[line] <= edges, axis=1, bitorder="little")
+            self.upto[line].view(np.uint8)[:, : bits.shape[1]] = bits
+        self.begin = HALF
+        # how wide windows are to begin with: a step short of what the narrowest of a few rows needs
+        few = rows[:: max(1, self.n // 8)]
+        self.begin = max(HALF, min((half for _, half in self._widen(few, 0)), default=HALF) / GROW)
+
+    def _colliding(self, centres: np.ndarray, half: float) -> np.ndarray:
+        ends = lambda x: np.clip(np.rint((x - self.low) / GRID), 0, self.top).astype(np.int64)
+        a, b = ends(centres - half), ends(centres + half)
+        digits = added(self.upto[i, b[:, i]] ^ self.upto[i, a[:, i]] for i in range(self.m))
+        return reaching(digits, int(np.ceil(THRESHOLD * self.m)))
+
+    def _widen(self, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, float]]:
+        """Of each query the rows found, and the window's half-width."""
+        wanted = min(self.n, 10 * k + int(ENOUGH * self.n))
+        centres = queries.astype(np.float32) @ self.lines[:-1]
+        out: list = [None] * len(queries)
+        for at in range(0, len(queries), AT_ONCE):
+            asking, half = np.arange(at, min(at + AT_ONCE, len(queries))), self.begin
+            while len(asking):
+                found = self._colliding(centres[asking], half)
+                over = np.bitwise_count(found).sum(axis=1) >= wanted
+                if half > (self.top + 1) * GRID + np.abs(centres[asking]).max():
+                    over[:] = True  # the windows hold everything
+                for i in np.flatnonzero(over):
+                    out[asking[i]] = np.flatnonzero(np.unpackbits(found[i].view(np.uint8), count=self.n, bitorder="little")), half
+                asking, half = asking[~over], half * GROW
+        return out
+
+    def candidates(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """Of each query, of norm 1, the rows with enough collisions."""
+        return [found for found, _ in self._widen(queries, k)]
+
+
+def best_of(x: np.ndarray, x32: np.ndarray, found: np.ndarray, ids: np.ndarray, one: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of the rows found, and their inner products in double precision, nearest first, ties to smaller ids.
+
+    Single precision leaves out those that its error cannot bring among the k best.
+    """
+    if len(found) > k:
+        rough = x32[found] @ one.astype(np.float32)
+        error = 1e-6 * x.shape[1] * np.linalg.norm(one) * (np.abs(x32).max() * math.sqrt(x.shape[1]))
+        found = found[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - error]
+    scores = (x[found] * one).sum(axis=1)
+    best = np.lexsort((ids[found], -scores))[:k]
+    return found[best], scores[best]
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -111,14 +188,13 @@ def search(data: DataFrame, queries: Column, *, id_col: str = "vec_id", vector_c
             order = np.lexsort((*x.T[:4], ids))
             x, ids, null = x[order], ids[order], null[order]
             shard = Shard(x / norm)
-            for query_id, one in zip(asked["query_id"].to_pylist(), q, strict=True):
-                found = shard.candidates(one / np.linalg.norm(one), k)
-                found = found[(ids[found] != query_id) | null[found]]
-                scores = (x[found] * one).sum(axis=1)
-                best = np.lexsort((ids[found], -scores))[:k]
-                out[0] += [query_id] * len(best)
-                out[1] += [None if null[i] else int(ids[i]) for i in found[best]]
-                out[2] += scores[best].tolist()
+            x32 = x.astype(np.float32)
+            near = shard.candidates(q / np.linalg.norm(q, axis=1, keepdims=True), k)
+            for query_id, one, found in zip(asked["query_id"].to_pylist(), q, near, strict=True):
+                found, scores = best_of(x, x32, found[(ids[found] != query_id) | null[found]], ids, one, k)
+                out[0] += [query_id] * len(found)
+                out[1] += [None if null[i] else int(ids[i]) for i in found]
+                out[2] += scores.tolist()
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
 
     left = left.toDF("l_dim", "vec_id", "v", "l_shard", "l_block")
