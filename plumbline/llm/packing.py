@@ -34,7 +34,7 @@ class Encoder:
     """ids of the byte-level BPE in ``path``: the ids that the tokenizers library gives, by a faster route.
 
     The vocabulary's own split rule needs a look-ahead only where white space follows white space; texts without such
-    places are split by a rule without it.  Special-token strings in a text are ordinary text.
+    places are split by a rule without it.  Special-token strings in a text are ordinary text here.
     """
 
     def __init__(self, path: str):
@@ -57,13 +57,41 @@ class Encoder:
         return (self.whole if self.runs.search(text) else self.simple).encode_ordinary(text)
 
 
-_encoders: dict[str, Encoder] = {}
+class Library:
+    """ids of a tokenizer's JSON file as the tokenizers library gives them, without special tokens at the ends.
+
+    Strings of added tokens in a text are those tokens.  Texts without any take the faster route of Encoder, where the
+    same vocabulary's ranks lie beside the file.
+    """
+
+    def __init__(self, path: str):
+        import json
+        import re
+        from pathlib import Path
+
+        import tokenizers
+
+        self.whole = tokenizers.Tokenizer.from_file(path)
+        self.whole.no_padding()
+        self.whole.no_truncation()
+        added = [t["content"] for t in json.loads(Path(path).read_text(encoding="utf-8"))["added_tokens"]]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        ranks = Path(path).with_suffix(".tiktoken")
+        self.ordinary = encoder(str(ranks)) if ranks.exists() else None
+
+    def __call__(self, text: str) -> list[int]:
+        if self.ordinary is not None and not self.added.search(text):
+            return self.ordinary(text)
+        return self.whole.encode(text, add_special_tokens=False).ids
+
+
+_encoders: dict[str, Encoder | Library] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a Python worker and file."""
+def encoder(path: str) -> Encoder | Library:
+    """One encoder a Python worker and file: the library's for JSON files, one of ordinary text for ranks."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Library(path) if path.endswith(".json") else Encoder(path)
     return _encoders[path]
 
 
@@ -181,7 +209,7 @@ def tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
 
     local_rank counts the pieces of a length within the task (part).  ids are unsigned little-endian 32-bit numbers.
     """
-    path = tokenizer or common.tokenizer_path("byte_bpe_50k.tiktoken")
+    path = tokenizer or common.tokenizer_path("byte_bpe_50k.json")
     common.small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = TOKEN_SCHEMA.format(id=narrow.schema["doc_id"].dataType.simpleString())
