@@ -20,7 +20,7 @@ class HashPolicy:
     null_token: str = ""
     delimiter: str = "|"
     case: str = "upper"
-    #: The type that floating-point values pass through; engines print them differently otherwise.
+    #: The type whose text floating-point values have where it holds them exactly; engines print them differently otherwise.
     number_type: str = "decimal(38,6)"
 
     def __post_init__(self):
@@ -30,10 +30,20 @@ class HashPolicy:
             raise ValueError(f"unknown case {self.case!r}; one of {', '.join(CASES)}")
 
 
+def number_text(column: Column, data_type: T.DataType, number_type: str) -> Column:
+    """A floating-point value's text: that of number_type if the value comes back from it unchanged; else NaN, Infinity,
+    -Infinity, or the shortest digits that give the value back, with an exponent as in 1.5e-8.  Unequal values have unequal
+    texts, but for 0.0 and -0.0."""
+    fixed = column.try_cast(number_type)
+    text = column.cast("string")
+    digits = F.regexp_replace(F.regexp_replace(text, "\\.0(E|$)", "$1"), "E", "e")
+    return F.when(fixed.cast(data_type) == column, fixed.cast("string")).when(F.isnan(column) | (F.abs(column) == float("inf")), text).otherwise(digits)
+
+
 def token(column: Column, data_type: T.DataType, policy: HashPolicy) -> Column:
     """A value's text: NULL becomes the null token, then the case is folded."""
     if isinstance(data_type, (T.DoubleType, T.FloatType)):
-        column = column.cast(policy.number_type)
+        column = number_text(column, data_type, policy.number_type)
     text = F.coalesce(column.cast("string"), F.lit(policy.null_token))
     return {"none": lambda c: c, "lower": F.lower, "upper": F.upper}[policy.case](text)
 
