@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime
 from typing import Any
 
 from pyspark.sql import Column
@@ -26,23 +25,23 @@ def highest(*levels: str | None) -> str | None:
 
 @dataclass(frozen=True)
 class SeverityRule:
-    """Bounds that all have to hold; condition is only a label."""
+    """Bounds that all have to hold; condition is only a label.  Fixed values: the names, which configurations use."""
 
     severity: str
     condition: str | None = None
-    age_days_older_than: float | None = None
-    age_days_newer_than: float | None = None
-    pct_diff_gte: float | None = None
-    pct_diff_lt: float | None = None
-    abs_diff_gte: float | None = None
-    abs_diff_lt: float | None = None
+    older_than_days: float | None = None
+    newer_than_days: float | None = None
+    tolerance_pct_exceeded_gte: float | None = None
+    tolerance_pct_exceeded_lt: float | None = None
+    tolerance_abs_exceeded_gte: float | None = None
+    tolerance_abs_exceeded_lt: float | None = None
     reason: str | None = None
 
     def clauses(self) -> list[tuple[str, str, Any]]:
         pairs = (
-            ("age_days", ">=", self.age_days_older_than), ("age_days", "<=", self.age_days_newer_than),
-            ("pct_diff", ">=", self.pct_diff_gte), ("pct_diff", "<", self.pct_diff_lt),
-            ("abs_diff", ">=", self.abs_diff_gte), ("abs_diff", "<", self.abs_diff_lt),
+            ("age_days", ">=", self.older_than_days), ("age_days", "<=", self.newer_than_days),
+            ("pct_diff", ">=", self.tolerance_pct_exceeded_gte), ("pct_diff", "<", self.tolerance_pct_exceeded_lt),
+            ("abs_diff", ">=", self.tolerance_abs_exceeded_gte), ("abs_diff", "<", self.tolerance_abs_exceeded_lt),
             ("reason", "=", self.reason),
         )
         return [p for p in pairs if p[2] is not None]
@@ -96,26 +95,12 @@ class AdaptiveRule:
         if (self.hours if self.when == "last_hours" else self.days) is None:
             raise ValueError(f"{self.when} needs {'hours' if self.when == 'last_hours' else 'days'}")
 
-    def holds(self, age_seconds: float) -> bool:
-        return age_seconds <= self.hours * 3600 if self.when == "last_hours" else age_seconds >= self.days * 86400
-
     def column(self, age_seconds: Column) -> Column:
         return age_seconds <= self.hours * 3600 if self.when == "last_hours" else age_seconds >= self.days * 86400
 
 
-def adaptive_tolerances(*, period_start: datetime | None, run_timestamp: datetime, base_abs: float | None, base_pct: float | None, rules: list[AdaptiveRule]) -> tuple[float | None, float | None]:
-    """Tolerances of the first rule that holds for the period's age; what it leaves unset falls back to the base."""
-    if period_start is None or not rules:
-        return base_abs, base_pct
-    age = max(0.0, (run_timestamp - period_start).total_seconds())
-    rule = next((r for r in rules if r.holds(age)), None)
-    if rule is None:
-        return base_abs, base_pct
-    return (base_abs if rule.tolerance_abs is None else rule.tolerance_abs, base_pct if rule.tolerance_pct is None else rule.tolerance_pct)
-
-
 def adaptive_columns(age_seconds: Column, base_abs: float | None, base_pct: float | None, rules: list[AdaptiveRule]) -> tuple[Column, Column]:
-    """adaptive_tolerances() over a column of ages (NULL: no period)."""
+    """Tolerances by age (NULL: no period): those of the first rule that holds; what it leaves unset falls back to the base."""
 
     def one(base: float | None, name: str) -> Column:
         value = F.lit(base).cast("double")
@@ -123,7 +108,7 @@ def adaptive_columns(age_seconds: Column, base_abs: float | None, base_pct: floa
         for rule in rules:
             own = getattr(rule, name)
             v = value if own is None else F.lit(float(own))
-            holds = F.coalesce(rule.column(F.greatest(age_seconds, F.lit(0.0))), F.lit(False))
+            holds = F.coalesce(rule.column(F.when(age_seconds.isNotNull(), F.greatest(age_seconds, F.lit(0.0)))), F.lit(False))
             out = F.when(holds, v) if out is None else out.when(holds, v)
         return out.otherwise(value) if out is not None else value
 

@@ -39,15 +39,19 @@ class RowDiff:
     """Full outer join of two aligned sides on their keys; NULL keys match each other and duplicate keys multiply.
 
     ``source`` and ``target`` hold the key columns (same names) and the compared columns.  A column's tolerance replaces
-    the default wholly.
+    the default wholly.  ``order`` names further columns of both sides, which order what missing(), extra() and cells()
+    give; DESC may follow a name.  Rows that agree leave the plan right after the join, so whoever persists ``differing``
+    gets the summary and all listings from one join.
     """
 
-    def __init__(self, source: DataFrame, target: DataFrame, keys: list[str], columns: list[str], default: Tolerance | None = None, tolerances: dict[str, Tolerance] | None = None):
+    def __init__(self, source: DataFrame, target: DataFrame, keys: list[str], columns: list[str], default: Tolerance | None = None, tolerances: dict[str, Tolerance] | None = None, order: list[str] | None = None):
         if not keys:
             raise ValueError("join keys are required")
         self.keys, self.columns = keys, columns
-        s = source.select(*[F.col(k).alias(f"s_{k}") for k in keys], *[F.col(c).alias(f"s__{c}") for c in columns], F.lit(True).alias("in_source"))
-        t = target.select(*[F.col(k).alias(f"t_{k}") for k in keys], *[F.col(c).alias(f"t__{c}") for c in columns], F.lit(True).alias("in_target"))
+        by = [o.split()[0] for o in order or []]
+        self.order = [F.col(f"by{i}").desc() if o.split()[1:] and o.split()[1].lower() == "desc" else F.col(f"by{i}").asc() for i, o in enumerate(order or [])]
+        s = source.select(*[F.col(k).alias(f"s_{k}") for k in keys], *[F.col(c).alias(f"s__{c}") for c in columns], *[F.col(o).alias(f"s_by{i}") for i, o in enumerate(by)], F.lit(True).alias("in_source"))
+        t = target.select(*[F.col(k).alias(f"t_{k}") for k in keys], *[F.col(c).alias(f"t__{c}") for c in columns], *[F.col(o).alias(f"t_by{i}") for i, o in enumerate(by)], F.lit(True).alias("in_target"))
         on = reduce(lambda a, b: a & b, [F.col(f"s_{k}").eqNullSafe(F.col(f"t_{k}")) for k in keys])
         joined = s.join(t, on, "full_outer")
         equals = []
@@ -59,22 +63,28 @@ class RowDiff:
         cells = [F.when(~e, F.struct(F.lit(c).alias("column"), F.col(f"s__{c}").cast("string").alias("source"), F.col(f"t__{c}").cast("string").alias("target"))) for c, e in zip(columns, equals, strict=True)]
         cells = F.array_compact(F.array(*cells)) if cells else F.array()
         key_cols = [F.when(F.col("in_source").isNotNull(), F.col(f"s_{k}")).otherwise(F.col(f"t_{k}")).alias(k) for k in keys]
-        self.joined = joined.select(*key_cols, F.col("in_source").isNotNull().alias("in_source"), F.col("in_target").isNotNull().alias("in_target"), F.when(both, cells).alias("cells"))
+        by_cols = [F.when(F.col("in_source").isNotNull(), F.col(f"s_by{i}")).otherwise(F.col(f"t_by{i}")).alias(f"by{i}") for i in range(len(by))]
+        self.joined = joined.select(*key_cols, *by_cols, F.col("in_source").isNotNull().alias("in_source"), F.col("in_target").isNotNull().alias("in_target"), F.when(both, cells).alias("cells"))
+        self.differing = self.joined.where(~F.col("in_source") | ~F.col("in_target") | (F.size("cells") > 0))
+
+    def _listed(self, rows: DataFrame, *columns) -> DataFrame:
+        return (rows.orderBy(*self.order, *self.keys) if self.order else rows).select(*self.keys, *columns)
 
     def missing(self) -> DataFrame:
-        return self.joined.where(~F.col("in_target")).select(*self.keys)
+        return self._listed(self.differing.where(~F.col("in_target")))
 
     def extra(self) -> DataFrame:
-        return self.joined.where(~F.col("in_source")).select(*self.keys)
+        return self._listed(self.differing.where(~F.col("in_source")))
 
     def cells(self) -> DataFrame:
         """A row a differing cell: the keys, column, and both values as text."""
-        return self.joined.where("in_source and in_target").select(*self.keys, F.explode("cells").alias("x")).select(*self.keys, "x.*")
+        rows = self.differing.where("in_source and in_target")
+        return self._listed(rows.withColumn("x", F.explode("cells")), "x.*")
 
     def summary(self) -> DataFrame:
         """One row: missing, extra, rows with a differing cell, differing cells, status."""
         differing = F.col("in_source") & F.col("in_target") & (F.size("cells") > 0)
-        out = self.joined.agg(
+        out = self.differing.agg(
             F.count_if(~F.col("in_target")).alias("missing_count_on_target"), F.count_if(~F.col("in_source")).alias("extra_count_on_target"),
             F.count_if(differing).alias("mismatch_rows"), F.coalesce(F.sum(F.when(differing, F.size("cells"))), F.lit(0)).alias("mismatch_total"),
         )

@@ -7,6 +7,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import periods
 from ..functions.compare import EPS, equal_stat
@@ -36,13 +37,22 @@ class Metric:
         return {"distinct_count": F.count_distinct, "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[self.method](F.expr(self.column))
 
 
+def _number(df: DataFrame, metric: Metric):
+    """What makes a number of a metric's value."""
+    if metric.method in ("min", "max") and isinstance(df.select(F.expr(metric.column)).schema[0].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.cast("timestamp_ntz")) / 1e6
+    return lambda c: c
+
+
 def period_stats(df: DataFrame, time_column: str, granularity: str, metrics: list[Metric]) -> DataFrame:
     """A row a period and metric: period_start, period_end, period_key, metric_name, column_name, metric_value, row_count.
 
-    All metrics come from one aggregation.  Rows without a time are left out.
+    All metrics come from one aggregation.  Rows without a time are left out.  The least and largest dates and times count
+    as seconds since 1970.
     """
     start = periods.start_of(granularity, F.expr(time_column))
-    rows = df.withColumn("__start", start).where("__start is not null").groupBy("__start").agg(F.count(F.lit(1)).alias("__rows"), *[m.aggregate().cast("double").alias(f"__m{i}") for i, m in enumerate(metrics)])
+    number = {m: _number(df, m) for m in metrics}
+    rows = df.withColumn("__start", start).where("__start is not null").groupBy("__start").agg(F.count(F.lit(1)).alias("__rows"), *[number[m](m.aggregate()).cast("double").alias(f"__m{i}") for i, m in enumerate(metrics)])
     cells = F.explode(F.array(*[F.struct(F.lit(m.label).alias("metric_name"), F.lit(None if m.column == "*" else m.column).cast("string").alias("column_name"), F.col(f"__m{i}").alias("metric_value")) for i, m in enumerate(metrics)])).alias("x")
     s = F.col("__start")
     return rows.select(s, "__rows", cells).select(s.alias("period_start"), periods.end_of(granularity, s).alias("period_end"), periods.key_of(granularity, s).alias("period_key"), "x.*", F.col("__rows").alias("row_count"))
@@ -128,8 +138,3 @@ def worst(compared: DataFrame, n: int = 10) -> DataFrame:
     """The failing periods: those with a side missing first, then by size of the difference."""
     return compared.where(~F.col("pass")).orderBy(F.col("diff").isNull().desc(), F.abs("diff").desc(), "metric_name", "period_key").limit(n)
 
-
-def latest_stats(stats: DataFrame) -> DataFrame:
-    """The last computed row for each table, side, granularity, period and metric."""
-    w = Window.partitionBy("table_name", "side", "period_granularity", "period_key", "metric_name").orderBy(F.desc("computed_at"))
-    return stats.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")

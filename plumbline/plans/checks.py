@@ -5,6 +5,7 @@ Plans end in verdicts and bounded samples; nothing else is collected.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -19,7 +20,7 @@ from ..operators import columns, counts, custom_sql, expectations, rows, stats
 from ..operators.sampling import mismatch_ranges
 from ..sinks.artifacts import Artifacts
 from ..sinks.persistence import append, read_stats
-from ..sources.sides import Source, align
+from ..sources.sides import Source, align, split_list
 from .config import CheckConfig, ConfigError, Storage, TableConfig, take
 from .results import FAIL, PASS, RECORDED, SKIP, CheckResult
 
@@ -95,9 +96,26 @@ class Context:
 
 
 def preview(df: DataFrame, n: int) -> list[dict[str, Any]]:
+    """The first n rows in the order of df."""
     return [r.asDict(recursive=True) for r in df.limit(n).collect()]
 
 
+def _orders(x: Context, found) -> tuple[list[str], list[str], list[str]]:
+    """How previews are ordered: names, and each side's expressions.  order_by_source and order_by_target go before
+    order_by, which names aligned columns, and that before the sides' own order_by; rows are ordered by keys last."""
+    listed = lambda v: split_list(v) if isinstance(v, str) else list(v or [])
+    c = x.config
+    by = {n: (s, t) for n, s, t in zip(found.names, found.source, found.target, strict=True)}
+    parts = lambda v: re.fullmatch(r"(?is)(.*?)(?:\s+(asc|desc))?\s*", v).groups()
+    named = [(parts(o)[1], by.get(parts(o)[0], (parts(o)[0],) * 2)) for o in listed(c.get("order_by"))]
+    s = [parts(o) for o in listed(c.get("order_by_source"))] or [(e[0], d) for d, e in named] or [parts(o) for o in listed(x.table.source.order_by)]
+    t = [parts(o) for o in listed(c.get("order_by_target"))] or [(e[1], d) for d, e in named] or [parts(o) for o in listed(x.table.target.order_by)]
+    n = max(len(s), len(t))
+    pad = lambda v: v + [("NULL", None)] * (n - len(v))
+    names = [f"by__{i} {a[1] or b[1] or 'asc'}" for i, (a, b) in enumerate(zip(pad(s), pad(t), strict=True))]
+    return names, [e for e, _ in pad(s)], [e for e, _ in pad(t)]
+
+
 @check("row_count")
 def row_count(x: Context) -> CheckResult:
     """Tolerances are shown but not applied."""
@@ -175,16 +193,26 @@ def join_rowdiff(x: Context) -> CheckResult:
         raise ConfigError("join_rowdiff: join_keys needs as many source as target expressions")
     found = x.aligned()
     names = [f"k{i}" for i in range(1, len(s_keys) + 1)]
-    pick = lambda df, k, e: df.select(*[F.expr(a).alias(n) for a, n in zip(k, names, strict=True)], *[F.expr(a).alias(n) for a, n in zip(e, found.names, strict=True)])
+    order, s_order, t_order = _orders(x, found)
+    pick = lambda df, k, e, o: df.select(*[F.expr(a).alias(n) for a, n in zip(k, names, strict=True)], *[F.expr(a).alias(n) for a, n in zip(e, found.names, strict=True)], *[F.expr(a).alias(f"by__{i}") for i, a in enumerate(o)])
     own = {r.get("column") or r.get("col"): rows.Tolerance(r.get("tolerance_abs"), r.get("tolerance_pct")) for r in x.config.get("rules", default=[])}
-    diff = rows.RowDiff(pick(x.source, s_keys, found.source), pick(x.target, t_keys, found.target), names, found.names, rows.Tolerance(x.config.get("tolerance_abs"), x.config.get("tolerance_pct")), own)
+    diff = rows.RowDiff(pick(x.source, s_keys, found.source, s_order), pick(x.target, t_keys, found.target, t_order), names, found.names, rows.Tolerance(x.config.get("tolerance_abs"), x.config.get("tolerance_pct")), own, order)
+    diff.differing = diff.differing.persist()  # the rows that differ alone: one join gives the summary and all previews
+    try:
+        return _reported(x, diff, found)
+    finally:
+        diff.differing.unpersist()
+
+
+def _reported(x: Context, diff: rows.RowDiff, found) -> CheckResult:
     row = diff.summary().first()
     details = {"canonical": found.names, "missing_count_on_target": row["missing_count_on_target"], "extra_count_on_target": row["extra_count_on_target"], "mismatch_total_estimate": row["mismatch_total"]}
     if row["status"] != PASS:
         n = int(x.variables.get("max_rows_preview") or 1000)
         for name, count, df in (("missing_on_target", row["missing_count_on_target"], diff.missing), ("extra_on_target", row["extra_count_on_target"], diff.extra), ("mismatch_sample", row["mismatch_total"], diff.cells)):
             if count:
-                details[name] = preview(df(), n)
+                listed = df()
+                details[name] = preview(listed if diff.order else listed.orderBy(*diff.keys), n)
     return x.result(row["status"], **details)
 
 

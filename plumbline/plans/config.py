@@ -11,6 +11,7 @@ from ..operators.sampling import Sampling
 from ..operators.stats import Metric, StatsWindow
 from ..sources.sides import Query
 
+STORAGE_BACKENDS = ("parquet", "table", "bigquery")
 PARTITION_MODES = ("none", "rolling_days", "rolling_hours", "range")
 
 
@@ -58,16 +59,20 @@ class Partitions:
 
 @dataclass(frozen=True)
 class Storage:
-    """Where rows are kept: backend parquet (table is a path) or table (a catalogue table)."""
+    """Where rows are kept: backend parquet (table is a path), table (a catalogue table) or bigquery (with a project)."""
 
     table: str
     backend: str = "parquet"
     project: str | None = None
 
+    def __post_init__(self):
+        if self.backend not in STORAGE_BACKENDS:
+            raise ConfigError(f"unknown storage backend {self.backend!r}; one of {', '.join(STORAGE_BACKENDS)}")
+
 
 @dataclass(frozen=True)
 class MismatchCsv:
-    """Files of differing ranges: backend local or hadoop (any path that Spark writes to)."""
+    """Files of differing ranges: backend local, gcs (a bucket's name or address) or hadoop (any path that Spark writes to)."""
 
     enabled: bool = False
     backend: str = "local"
@@ -137,7 +142,6 @@ class Config:
     connections: Connections
     tables: list[TableConfig]
     hashing: HashPolicy = HashPolicy()
-    thresholds: dict[str, Any] = field(default_factory=dict)
     partitions: Partitions = Partitions()
     results: ResultsStorage = ResultsStorage()
     routes: list[dict[str, Any]] = field(default_factory=list)
@@ -158,6 +162,12 @@ def check_config(raw: dict, where: str) -> CheckConfig:
     return CheckConfig(str(kind), options)
 
 
+def _switched(raw: dict | None, where: str) -> Storage | None:
+    """A store that is written to only if enabled is true."""
+    raw = dict(raw or {})
+    return take(Storage, raw, where) if raw.pop("enabled", False) else None
+
+
 def config_of(raw: dict) -> Config:
     known = {"connections", "tables", "defaults", "results_storage", "planning", "alerts"}
     if unknown := sorted(map(str, set(raw) - known)):
@@ -178,7 +188,7 @@ def config_of(raw: dict) -> Config:
     defaults, storage = raw.get("defaults") or {}, raw.get("results_storage") or {}
     kept = ResultsStorage(
         take(MismatchCsv, storage.get("mismatch_csv"), "results_storage.mismatch_csv"),
-        *(take(Storage, storage[k], f"results_storage.{k}") if storage.get(k) else None for k in ("runs", "checks")),
+        *(_switched(storage.get(k), f"results_storage.{k}") for k in ("runs", "checks")),
     )
     partitions = take(Partitions, (raw.get("planning") or {}).get("partitions"), "planning.partitions")
-    return Config(take(Connections, raw["connections"], "connections"), tables, take(HashPolicy, defaults.get("hashing"), "defaults.hashing"), defaults.get("thresholds") or {}, partitions, kept, list((raw.get("alerts") or {}).get("routes") or []))
+    return Config(take(Connections, raw["connections"], "connections"), tables, take(HashPolicy, defaults.get("hashing"), "defaults.hashing"), partitions, kept, list((raw.get("alerts") or {}).get("routes") or []))

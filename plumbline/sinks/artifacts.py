@@ -45,11 +45,17 @@ class Artifacts:
         if c is None or not c.enabled:
             return None
         name = file_name(run_id, f"{variables.get('run_label') or 'run'}-{label}")
+        local = Path(os.environ.get("PLUMBLINE_ARTIFACTS_DIR", "artifacts")) / c.base_path / name
         if c.backend == "local":
-            path = Path(os.environ.get("PLUMBLINE_ARTIFACTS_DIR", "artifacts")) / c.base_path / name
-            return write_csv(df.toLocalIterator(), path)
-        path = f"{c.bucket.rstrip('/')}/{c.base_path}/{name}" if c.bucket else f"{c.base_path}/{name}"
-        df.coalesce(1).write.option("header", True).csv(path)
+            return write_csv(df.toLocalIterator(), local)
+        bucket = (c.bucket or "").rstrip("/")
+        if bucket and c.backend == "gcs" and "://" not in bucket:
+            bucket = f"gs://{bucket}"
+        path = f"{bucket}/{c.base_path}/{name}" if bucket else f"{c.base_path}/{name}"
+        try:
+            df.coalesce(1).write.option("header", True).csv(path)
+        except Exception:  # noqa: BLE001  the store is out of reach: the file is kept beside the driver
+            return write_csv(df.toLocalIterator(), local)
         return f"{c.public_url_prefix.rstrip('/')}/{c.base_path}/{name}" if c.public_url_prefix else path
 
 

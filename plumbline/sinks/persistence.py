@@ -13,6 +13,10 @@ if TYPE_CHECKING:
 
 
 def append(df: DataFrame, storage: Any, partition_by: str | None = None) -> None:
+    if storage.backend == "bigquery":
+        project = {"parentProject": storage.project} if storage.project else {}
+        df.write.mode("append").format("bigquery").options(writeMethod="direct", **project).save(storage.table)
+        return
     writer = df.write.mode("append")
     writer = writer.partitionBy(partition_by) if partition_by else writer
     if storage.backend == "parquet":
@@ -30,9 +34,13 @@ def read_stats(spark: SparkSession, storage: Any) -> DataFrame | None:
     try:
         if storage.backend == "table":
             return spark.table(storage.table)
+        if storage.backend == "bigquery":
+            return spark.read.format("bigquery").load(storage.table)
         return spark.read.schema(STATS_SCHEMA.replace(" NOT NULL", "")).parquet(storage.table)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND"):
+            return None
+        raise
 
 
 def persist_run(spark: SparkSession, storage: Any, run: RunResult, *, run_id: str, env: str | None, run_label: str | None, started: datetime, finished: datetime, log: Any) -> None:

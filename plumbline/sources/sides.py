@@ -9,17 +9,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .uri import FILES, engine_of, jdbc_url, path_of
+from .uri import FILES, PLUGINS, bigquery_options, engine_of, jdbc_url, path_of
 
 
 @dataclass(frozen=True)
 class Query:
-    """What a side reads: query goes before table and select; filters are equalities (a list: any of its members)."""
+    """What a side reads: query goes before table and select; filters are equalities (a list: any of its members).
+
+    order_by, one expression or a list, orders previews of the side's rows.
+    """
 
     table: str | None = None
     select: str | None = None
     query: str | None = None
-    order_by: str | None = None
+    order_by: str | list | None = None
     filters: dict = field(default_factory=dict)
 
 
@@ -47,6 +50,28 @@ def split_list(select: str) -> list[str]:
     return [x for x in [*out, select[start:].strip()] if x]
 
 
+def ordering(order_by: str | list | None) -> list[Column]:
+    """Sort columns of SQL expressions, which may end in ASC or DESC."""
+    out = []
+    for text in split_list(order_by) if isinstance(order_by, str) else order_by or []:
+        m = re.fullmatch(r"(?is)(.*?)(?:\s+(asc|desc))?\s*", text)
+        out.append(F.expr(m[1]).desc() if (m[2] or "").lower() == "desc" else F.expr(m[1]).asc())
+    return out
+
+
+def connector(engine: str):
+    """Registers a class of connections under an engine's name, which is its scheme too.
+
+    It is made with (spark, uri, options) and has table(name) and sql(query), both giving DataFrames.
+    """
+
+    def add(cls):
+        PLUGINS[engine] = cls
+        return cls
+
+    return add
+
+
 class Source:
     """A connection: reads tables, files and queries as DataFrames.
 
@@ -55,8 +80,11 @@ class Source:
 
     def __init__(self, spark: SparkSession, uri: str, declared: str | None = None, options: dict[str, str] | None = None):
         self.spark, self.uri, self.engine, self.options = spark, uri, engine_of(uri, declared), options or {}
+        self.plugin = PLUGINS[self.engine](spark, uri, self.options) if self.engine in PLUGINS else None
 
     def table(self, name: str | None) -> DataFrame:
+        if self.plugin is not None:
+            return self.plugin.table(name)
         if self.engine in FILES:
             path = path_of(name) if name and ("/" in name or name.lower().endswith((".csv", ".parquet"))) else path_of(self.uri)
             if self.engine.endswith("parquet") or path.lower().endswith((".parquet", ".pq")):
@@ -67,11 +95,16 @@ class Source:
         return self.spark.table(name) if self.engine == "spark" else self._jdbc(dbtable=name)
 
     def _jdbc(self, **what: str) -> DataFrame:
+        if self.engine == "bigquery":
+            what = {"table": what["dbtable"]} if "dbtable" in what else {"query": what["query"], "viewsEnabled": "true"}
+            return self.spark.read.format("bigquery").options(**bigquery_options(self.uri), **self.options, **what).load()
         url, login = jdbc_url(self.uri, self.engine)
         return self.spark.read.format("jdbc").options(url=url, **login, **self.options, **what).load()
 
     def sql(self, query: str) -> DataFrame:
         """A query, verbatim; for files, the connection's file is the view ``source_file``."""
+        if self.plugin is not None:
+            return self.plugin.sql(query)
         if self.engine in FILES or self.engine == "spark":
             if self.engine in FILES and re.search(r"\bsource_file\b", query):
                 self.table(None).createOrReplaceTempView("source_file")
