@@ -13,7 +13,9 @@ from .functions.severity import AdaptiveRule, SeverityRule
 from .operators import columns, counts, custom_sql, expectations, rows, sampling, stats
 from .operators.counts import Rule
 from .operators.stats import Metric, StatsCompare, StatsWindow
-from .sources.sides import latest_per_key
+from .plans import loading, results
+from .plans.config import CheckConfig, Partitions, TableConfig
+from .sources.sides import Query, Source, latest_per_key
 
 AS_OF = datetime(2024, 2, 1)
 
@@ -70,37 +72,22 @@ def row_count_mismatch(spark, sf_dir):
     return counts.row_count(*sides(spark, sf_dir))
 
 
+#: Chunks over the whole range of ids, however many.
+WHOLE = sampling.Sampling("chunk", chunk_size=1000, max_scan_chunks=1 << 64)
 CHUNKS = f"""{TGT}, b AS (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM (SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM tgt)),
 c AS (SELECT (o_orderkey - lo) // 1000 AS k, s FROM (SELECT o_orderkey, 1 AS s FROM orders UNION ALL SELECT o_orderkey, 0 FROM tgt), b),
-g AS (SELECT k, CAST(sum(s) AS BIGINT) AS source_count, CAST(sum(1 - s) AS BIGINT) AS target_count FROM c WHERE k < 20 GROUP BY k),
+g AS (SELECT k, CAST(sum(s) AS BIGINT) AS source_count, CAST(sum(1 - s) AS BIGINT) AS target_count FROM c GROUP BY k),
 r AS (SELECT lo + k * 1000 AS range_start, least(hi, lo + k * 1000 + 999) AS range_end, source_count, target_count, source_count - target_count AS diff FROM g, b WHERE source_count <> target_count)"""
 
 
 @query(f"WITH {CHUNKS} SELECT * FROM r")
 def sample_chunk(spark, sf_dir):
     s, t = sides(spark, sf_dir)
-    return sampling.mismatch_ranges(s, t, "o_orderkey", "o_orderkey", sampling.Sampling("chunk", chunk_size=1000, max_scan_chunks=20)).df
+    return sampling.mismatch_ranges(s, t, "o_orderkey", "o_orderkey", WHOLE).df
 
 
 @query(f"WITH {CHUNKS} SELECT * FROM r ORDER BY abs(diff) DESC, range_start LIMIT 5")
 def sample_chunk_top(spark, sf_dir):
-    s, t = sides(spark, sf_dir)
-    return sampling.mismatch_ranges(s, t, "o_orderkey", "o_orderkey", sampling.Sampling("chunk", chunk_size=1000, max_scan_chunks=20)).top(5)
-
-
-#: sample_chunk and sample_chunk_top scan the first 20 chunks alone; these scan the whole id range.
-WHOLE_CHUNKS = CHUNKS.replace("WHERE k < 20 ", "")
-WHOLE = sampling.Sampling("chunk", chunk_size=1000, max_scan_chunks=1 << 64)
-
-
-@query(f"WITH {WHOLE_CHUNKS} SELECT * FROM r")
-def sample_chunk_whole(spark, sf_dir):
-    s, t = sides(spark, sf_dir)
-    return sampling.mismatch_ranges(s, t, "o_orderkey", "o_orderkey", WHOLE).df
-
-
-@query(f"WITH {WHOLE_CHUNKS} SELECT * FROM r ORDER BY abs(diff) DESC, range_start LIMIT 5")
-def sample_chunk_whole_top(spark, sf_dir):
     s, t = sides(spark, sf_dir)
     return sampling.mismatch_ranges(s, t, "o_orderkey", "o_orderkey", WHOLE).top(5)
 
@@ -140,6 +127,11 @@ def agg_datetime_tolerance(spark, sf_dir):
     return found.select("rule_idx", "method", "source_text", "target_text", "pass")
 
 
+@query(f"WITH {TGT} SELECT 0 AS rule_idx, 'avg' AS method, avg(o_custkey) AS source, (SELECT avg(o_custkey) FROM tgt) AS target, avg(o_custkey) = (SELECT avg(o_custkey) FROM tgt) AS pass FROM orders")
+def agg_avg(spark, sf_dir):
+    return counts.aggregations(*sides(spark, sf_dir), [Rule("avg", "o_custkey", "o_custkey")]).select("rule_idx", "method", "source", "target", "pass")
+
+
 def _groups(aggregate: str, ok: str) -> str:
     return f"""WITH {TGT}, s AS (SELECT o_orderpriority AS p, CAST({aggregate} AS DOUBLE) AS v FROM orders GROUP BY 1), t AS (SELECT o_orderpriority AS p, CAST({aggregate} AS DOUBLE) AS v FROM tgt GROUP BY 1)
 SELECT coalesce(s.p, t.p) AS p, s.v AS source, t.v AS target, coalesce({ok}, false) AS pass FROM s FULL JOIN t ON s.p IS NOT DISTINCT FROM t.p"""
@@ -163,6 +155,13 @@ def partitions_month(spark, sf_dir):
     return counts.partitions(*sides(spark, sf_dir), month, month).where("not pass").select("p", "source", "target")
 
 
+@query(f"""WITH {TGT}, s AS (SELECT o_custkey AS p, count(*) AS v FROM orders GROUP BY 1), t AS (SELECT o_custkey AS p, count(*) AS v FROM tgt GROUP BY 1)
+SELECT CAST(coalesce(s.p, t.p) AS BIGINT) AS p, CAST(s.v AS DOUBLE) AS source, CAST(t.v AS DOUBLE) AS target FROM s FULL JOIN t ON s.p = t.p WHERE s.v IS DISTINCT FROM t.v ORDER BY 1 LIMIT 5""")
+def group_top_n(spark, sf_dir):
+    groups = counts.group_aggregations(*sides(spark, sf_dir), [Rule("count")], "o_custkey", "o_custkey")
+    return counts.differing(groups, 5).select("p", "source", "target")
+
+
 def _hash_sql(algorithm: str, case: str = "upper", null: str = "", price: str = "o_totalprice") -> str:
     fold = {"upper": "upper({})", "lower": "lower({})", "none": "{}"}[case]
     text = [fold.format(f"coalesce(CAST({c} AS VARCHAR), '{null}')") for c in ("o_orderkey", "o_orderpriority", f"CAST({price} AS DECIMAL(38,6))", "o_orderdate")]
@@ -191,6 +190,28 @@ _hash_query("hash_case_lower", HashPolicy("md5_row", null_token="<NULL>", case="
 _hash_query("hash_case_none", HashPolicy("md5_row", case="none"))
 
 
+#: Doubles that no decimal(38,6) holds, beside one that it does.
+ODD = "CASE CAST(o_orderkey % 8 AS INT) WHEN 0 THEN {c}1e-8{d} WHEN 1 THEN {c}2e-7{d} WHEN 2 THEN {c}1e40{d} WHEN 3 THEN {c}'NaN'{d} WHEN 4 THEN {c}'Infinity'{d} WHEN 5 THEN {c}'-Infinity'{d} WHEN 6 THEN NULL ELSE {c}1.25{d} END"
+ODD = ODD.format(c="CAST(", d=" AS DOUBLE)")
+_TEXT_OF_ODD = "CASE WHEN v IS NULL THEN '' WHEN isnan(v) THEN 'NAN' WHEN isinf(v) AND v > 0 THEN 'INFINITY' WHEN isinf(v) THEN '-INFINITY' WHEN CAST(TRY_CAST(v AS DECIMAL(38,6)) AS DOUBLE) = v THEN CAST(CAST(v AS DECIMAL(38,6)) AS VARCHAR) ELSE upper(regexp_replace(regexp_replace(CAST(v AS VARCHAR), 'e([-+])0*', 'e\\1'), '\\+', '')) END"
+
+
+@query(f"SELECT o_orderkey, md5(concat_ws('|', md5(CAST(o_orderkey AS VARCHAR)), md5({_TEXT_OF_ODD}))) AS h FROM (SELECT o_orderkey, {ODD} AS v FROM orders)")
+def hash_odd_doubles(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(ODD).alias("v"))
+    return df.select("o_orderkey", row_hash(df, ["o_orderkey", "v"]).alias("h"))
+
+
+@query("""WITH n AS (SELECT count(*) FILTER (WHERE o_orderkey % 8 IN (0, 2, 3, 6)) AS k FROM orders)
+SELECT k AS missing_count, k AS extra_count, CASE WHEN k = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM n""")
+def hash_diff_odd_doubles(spark, sf_dir):
+    """Each of four kinds of rows differs: 1e-8 from 3e-8, 1e40 from 2e40, NaN from NULL, and NULL from NaN."""
+    s = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(ODD).alias("v"))
+    kind = F.col("o_orderkey") % 8
+    t = s.withColumn("v", F.when(kind == 0, F.lit(3e-8)).when(kind == 2, F.lit(2e40)).when(kind == 6, F.lit(float("nan"))).when(kind != 3, F.col("v")))
+    return rows.hash_diff(s, t, ["o_orderkey", "v"])
+
+
 def _hash_diff(cols: list[str]) -> str:
     h = "md5(concat_ws('|', " + ", ".join(f"md5(upper(coalesce(CAST({c} AS VARCHAR), '')))" for c in cols) + "))"
     return f"""WITH {TGT}, s AS (SELECT DISTINCT {h} AS h FROM orders), t AS (SELECT DISTINCT {h} AS h FROM tgt),
@@ -252,6 +273,16 @@ def rowdiff_cells(spark, sf_dir):
     return rows.RowDiff(s, t, ["o_orderkey"], ["o_orderstatus", "o_totalprice"]).cells()
 
 
+@query(f"""WITH {TGT}, m AS (SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM tgt))
+SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM m ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""")
+def rowdiff_preview_ordered(spark, sf_dir):
+    """The first rows of a listing, by the dearest price: a preview is a report of so many rows."""
+    s, t = sides(spark, sf_dir)
+    diff = rows.RowDiff(s, t, ["o_orderkey"], ["o_orderstatus"], order=["o_totalprice desc"])
+    shown = [r["o_orderkey"] for r in diff.missing().limit(20).collect()]
+    return spark.createDataFrame(list(zip(shown, range(1, len(shown) + 1), strict=True)), "o_orderkey long, place long")
+
+
 @query(f"""WITH {TGT}, s AS (SELECT nullif(o_orderkey, 5) AS k, o_orderstatus AS v FROM orders), t AS (SELECT nullif(o_orderkey, 5) AS k, o_orderstatus AS v FROM tgt),
 j AS (SELECT s.k AS sk, t.k AS tk, s.v AS sv, t.v AS tv, s.v IS NOT NULL AS ins, t.v IS NOT NULL AS int FROM s FULL JOIN t ON s.k IS NOT DISTINCT FROM t.k)
 SELECT count(*) FILTER (WHERE NOT int) AS missing_count_on_target, count(*) FILTER (WHERE NOT ins) AS extra_count_on_target, count(*) FILTER (WHERE sv <> tv) AS mismatch_rows FROM j""")
@@ -301,28 +332,83 @@ def _verdict(spark: SparkSession, source, target, ok: bool) -> DataFrame:
     return spark.createDataFrame([(source, target, "PASS" if ok else "FAIL")], "source_value long, target_value long, status string")
 
 
-def _scalar(df: DataFrame, expr: str):
-    return df.selectExpr(expr).first()[0]
+TARGET_SQL = """SELECT o_orderkey FROM source_file WHERE o_orderkey % 97 <> 0 UNION ALL SELECT o_orderkey + 1000000 FROM source_file WHERE o_orderkey % 101 = 0"""
+
+
+def _orders_source(spark: SparkSession, sf_dir: str) -> Source:
+    return Source(spark, f"{sf_dir}/orders.parquet", "parquet")
+
+
+def _value(spark: SparkSession, sf_dir: str, sql: str):
+    return _orders_source(spark, sf_dir).sql(sql).first()[0]
 
 
 @query("SELECT count(*) FILTER (WHERE o_totalprice < 0) AS source_value, CAST(NULL AS BIGINT) AS target_value, CASE WHEN count(*) FILTER (WHERE o_totalprice < 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM orders")
 def custom_sql_single(spark, sf_dir):
-    n = _scalar(table(spark, sf_dir, "orders"), "count_if(o_totalprice < 0)")
+    n = _value(spark, sf_dir, "SELECT count(*) FROM source_file WHERE o_totalprice < 0")
     return _verdict(spark, n, None, custom_sql.single(n))
 
 
 @query(f"WITH {TGT} SELECT (SELECT count(*) FROM orders) AS source_value, (SELECT count(*) FROM tgt) AS target_value, CASE WHEN abs((SELECT count(*) FROM orders) - (SELECT count(*) FROM tgt)) * 100.0 / (SELECT count(*) FROM tgt) <= 1 THEN 'PASS' ELSE 'FAIL' END AS status")
 def custom_sql_dual(spark, sf_dir):
-    a, b = (_scalar(x, "count(1)") for x in sides(spark, sf_dir))
+    a, b = (_value(spark, sf_dir, q) for q in ("SELECT count(*) FROM source_file", f"SELECT count(*) FROM ({TARGET_SQL})"))
     return _verdict(spark, a, b, custom_sql.dual(a, b, tol_pct=1))
 
 
 @query(f"WITH {TGT} SELECT (SELECT max(o_orderkey) FROM orders) AS source_value, (SELECT max(o_orderkey) FROM tgt) AS target_value, CASE WHEN (SELECT max(o_orderkey) FROM orders) > (SELECT max(o_orderkey) FROM tgt) THEN 'PASS' ELSE 'FAIL' END AS status")
 def custom_sql_greater(spark, sf_dir):
-    a, b = (_scalar(x, "max(o_orderkey)") for x in sides(spark, sf_dir))
+    a, b = (_value(spark, sf_dir, q) for q in ("SELECT max(o_orderkey) FROM source_file", f"SELECT max(o_orderkey) FROM ({TARGET_SQL})"))
     return _verdict(spark, a, b, custom_sql.dual(a, b, mode="greater"))
 
 
+def _in_window(spark: SparkSession, sf_dir: str, partitions: Partitions) -> DataFrame:
+    """Events of a run's window, selected by a query template."""
+    at = lambda name: f"CAST(substring('{{{{ partition_{name}_iso }}}}', 1, 19) AS TIMESTAMP_NTZ)"
+    text = f"SELECT event_id, ts, user_id FROM source_file WHERE ts >= {at('start')} AND ts < {at('end')}"
+    found = loading.rendered(Query(query=text), {}, loading.window(partitions, AS_OF))
+    return Source(spark, f"{sf_dir}/events.parquet", "parquet").read(found)
+
+
+@query("SELECT event_id, ts, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-12 06:00:00'")
+def window_filter_range(spark, sf_dir):
+    return _in_window(spark, sf_dir, Partitions("range", start="2024-01-10", end="2024-01-12T06:00:00Z"))
+
+
+@query("SELECT event_id, ts, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-25' AND ts < TIMESTAMP '2024-02-01'")
+def window_filter_rolling(spark, sf_dir):
+    return _in_window(spark, sf_dir, Partitions("rolling_days", window=7))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> results.RunResult:
+    """A run of four checks of orders against its perturbed copy."""
+    from .plans import checks
+
+    wanted = [("row_count", {}), ("domain", {"column": "o_orderstatus", "allowed_values": ["F", "O", "P"]}), ("freshness", {"column": "o_orderdate", "max_lag_minutes": 1}), ("stats_compare", {})]
+    side = _orders_source(spark, sf_dir)
+    orders = TableConfig("orders", Query(), Query(query=TARGET_SQL))
+    return results.summed([checks.CHECKS[t](checks.Context(spark, orders, CheckConfig(t, o), side, side, variables={"run_timestamp": AS_OF})) for t, o in wanted])
+
+
+_STATUSES = f"""WITH {TGT}, c AS (
+  SELECT 0 AS i, 'row_count' AS check_type, CASE WHEN (SELECT count(*) FROM orders) = (SELECT count(*) FROM tgt) THEN 'PASS' ELSE 'FAIL' END AS status
+  UNION ALL SELECT 1, 'domain', CASE WHEN (SELECT count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O', 'P')) = 0 THEN 'PASS' ELSE 'FAIL' END
+  UNION ALL SELECT 2, 'freshness', CASE WHEN (SELECT max(o_orderdate) FROM orders) >= TIMESTAMP '2024-01-31 23:59:00' THEN 'PASS' ELSE 'FAIL' END
+  UNION ALL SELECT 3, 'stats_compare', 'SKIP')"""
+
+
+@query(f"""{_STATUSES} SELECT 'run' AS run_id, CASE WHEN bool_or(status = 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS overall_status, count(*) FILTER (WHERE status = 'PASS') AS pass_count,
+  count(*) FILTER (WHERE status = 'FAIL') AS fail_count, count(*) FILTER (WHERE status = 'SKIP') AS skip_count, CAST(1 AS BIGINT) AS table_count FROM c""")
+def run_summary(spark, sf_dir):
+    row = results.run_row(_checked(spark, sf_dir), run_id="run", env=None, run_label=None, started=AS_OF, finished=AS_OF)
+    return results.frame(spark, [row], results.RUNS_SCHEMA).select("run_id", "overall_status", "pass_count", "fail_count", "skip_count", "table_count")
+
+
+@query(f"{_STATUSES} SELECT 'run' AS run_id, 'orders' AS table_name, check_type, status, check_type AS method, check_type AS metric_name FROM c")
+def check_results_rows(spark, sf_dir):
+    found = [results.check_row(c, run_id="run", created=AS_OF) for c in _checked(spark, sf_dir).checks]
+    return results.frame(spark, found, results.CHECKS_SCHEMA).select("run_id", "table_name", "check_type", "status", "method", "metric_name")
+
+
 METRICS = [Metric("count", name="rows"), Metric("sum", "CAST(value AS DECIMAL(18,2))", "total"), Metric("distinct_count", "user_id"), Metric("min", "value"), Metric("max", "value")]
 
 
@@ -380,10 +466,15 @@ def stats_compare_adaptive(spark, sf_dir):
   CASE WHEN age_days >= 15 AND pct_diff >= 0.2 THEN 'CRITICAL' WHEN abs(diff) < 2 THEN 'INFO' ELSE 'WARNING' END AS severity, CASE WHEN age_days >= 180 THEN 'HIGH' WHEN age_days >= 60 THEN 'MEDIUM' ELSE 'LOW' END AS severity_level
 FROM d WHERE NOT coalesce(abs(diff) < 1e-12, false)""")
 def stats_severity(spark, sf_dir):
-    rules = [SeverityRule("CRITICAL", age_days_older_than=15, pct_diff_gte=0.2), SeverityRule("INFO", abs_diff_lt=2)]
+    rules = [SeverityRule("CRITICAL", older_than_days=15, tolerance_pct_exceeded_gte=0.2), SeverityRule("INFO", tolerance_abs_exceeded_lt=2)]
     return _compared(spark, sf_dir, severity=rules).where("not pass").select("metric_name", "period_key", "reason", "severity", "severity_level")
 
 
+@query(f"{COMPARED} SELECT metric_name, period_key, diff FROM d WHERE NOT coalesce(abs(diff) < 1e-12, false) ORDER BY diff IS NULL DESC, abs(diff) DESC, metric_name, period_key LIMIT 10")
+def stats_worst(spark, sf_dir):
+    return stats.worst(_compared(spark, sf_dir)).select("metric_name", "period_key", "diff")
+
+
 @query("SELECT * FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) WHERE event_type <> 'error'")
 def cdc_latest(spark, sf_dir):
     return latest_per_key(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type = 'error'")

@@ -7,10 +7,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import compare, periods
-from plumbline.functions.hashing import HashPolicy, row_hash
-from plumbline.functions.severity import AdaptiveRule, SeverityRule, adaptive_columns, adaptive_tolerances, determine, highest, severity_column
+from plumbline.functions.hashing import HashPolicy, row_hash, token
+from plumbline.functions.severity import AdaptiveRule, SeverityRule, adaptive_columns, determine, highest, severity_column
 
 NOW = datetime(2024, 2, 1)
 
@@ -76,7 +77,7 @@ def test_values_of_custom_sql():
 
 
 def test_severity(spark):
-    rules = [SeverityRule("CRITICAL", age_days_older_than=30, pct_diff_gte=5), SeverityRule("INFO", pct_diff_lt=1), SeverityRule("WARNING", reason="missing_target")]
+    rules = [SeverityRule("CRITICAL", older_than_days=30, tolerance_pct_exceeded_gte=5), SeverityRule("INFO", tolerance_pct_exceeded_lt=1), SeverityRule("WARNING", reason="missing_target")]
     for context, want in (({"age_days": 30, "pct_diff": 5.0}, "CRITICAL"), ({"age_days": 1, "pct_diff": 0.5}, "INFO"), ({"pct_diff": 3.0}, "WARNING"), ({}, "WARNING")):
         assert determine(context, rules) == want
         cols = {k: F.lit(context.get(k)).cast("double") for k in ("age_days", "pct_diff", "abs_diff")} | {"reason": F.lit(context.get("reason")).cast("string")}
@@ -88,11 +89,11 @@ def test_severity(spark):
 def test_adaptive_tolerances(spark):
     rules = [AdaptiveRule("last_hours", hours=48, tolerance_pct=10), AdaptiveRule("older_than_days", days=30, tolerance_abs=1, tolerance_pct=0.1)]
     for hours, want in ((1, (5.0, 10.0)), (48, (5.0, 10.0)), (49, (5.0, 2.0)), (24 * 30, (1, 0.1)), (-5, (5.0, 10.0))):
-        got = adaptive_tolerances(period_start=NOW - timedelta(hours=hours), run_timestamp=NOW, base_abs=5.0, base_pct=2.0, rules=rules)
-        assert got == want
         a, p = adaptive_columns(F.lit(hours * 3600.0), 5.0, 2.0, rules)
         assert (value(spark, a), value(spark, p)) == want
-    assert adaptive_tolerances(period_start=None, run_timestamp=NOW, base_abs=5.0, base_pct=2.0, rules=rules) == (5.0, 2.0)
+    a, p = adaptive_columns(F.lit(None).cast("double"), 5.0, None, rules)
+    assert (value(spark, a), value(spark, p)) == (5.0, None)
+    assert [value(spark, c) for c in adaptive_columns(F.lit(1.0), 5.0, 2.0, [])] == [5.0, 2.0]
     with pytest.raises(ValueError):
         AdaptiveRule("last_hours", days=2)
 
@@ -120,3 +121,16 @@ def test_hashes(spark, algorithm, case):
         tokens = [fold("<Null>" if v is None else f"{v:.6f}" if isinstance(v, float) else str(v)) for v in r]
         joined = "|".join(md5(t) for t in tokens) if algorithm == "double_md5" else "|".join(tokens)
         assert h == (hashlib.sha256(joined.encode()).hexdigest() if algorithm == "sha256_row" else md5(joined))
+
+
+def test_texts_of_doubles(spark):
+    """Unequal doubles have unequal texts, whatever their size."""
+    import math
+
+    values = [1e-8, 2e-7, 1.5e-8, 0.1, 0.1234567, 0.1234568, 1e40, 2e40, 123456.75, float("nan"), float("inf"), -float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(token(F.col("v"), T.DoubleType(), HashPolicy(null_token="<null>", case="none"))).collect()]
+    assert len(set(got)) == len(values) and got[0] == "1e-8" and got[3] == "0.100000" and got[6] == "1e40" and got[-1] == "<null>"
+    assert all(math.isnan(v) or float(t) == v for v, t in zip(values[:-1], got, strict=False))
+    narrow = spark.createDataFrame([(0.1,)], "v float").select(token(F.col("v"), T.FloatType(), HashPolicy())).first()[0]
+    assert narrow == "0.100000"
