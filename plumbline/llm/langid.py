@@ -20,8 +20,10 @@ from . import common
 
 ORDERS = 3
 BITS = 14
-#: Languages that a model may have; the matrix's size is bounded by it.
-MOST_LANGUAGES = 512
+#: Most cells of the matrix; with so many languages that it would be larger, n-grams share fewer buckets.
+MOST_CELLS = 1 << 24
+#: Numbers that a part of a batch is scored by at a time.
+AT_ONCE = 1 << 21
 UNDETERMINED = "und"
 #: Code points that a text is cut into for counting; bounds the memory of very long texts.
 CHUNK = 1 << 20
@@ -64,13 +66,32 @@ class Model:
         self.prior = np.log(documents / documents.sum()) if len(languages) else np.zeros(0)
         self.matrix = np.log((counts + smoothing) / (counts.sum(axis=1, keepdims=True) + smoothing * counts.shape[1])).T.copy() if len(languages) else np.zeros((1, 0))
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not has_letter(text):
-            return UNDETERMINED, 0.0
-        used, n = bucket_counts(text, int(np.log2(len(self.matrix))))
-        logs = self.prior + n @ self.matrix[used]
-        best = int(np.argmax(logs))
-        return self.languages[best], float(1.0 / np.exp(logs - logs[best]).sum())
+    def logs(self, texts: list[str]) -> np.ndarray:
+        """Joint log-probabilities (texts x languages): the batch's sparse counts times the matrix, in parts of bounded size."""
+        bits = int(np.log2(len(self.matrix)))
+        counted = [bucket_counts(t, bits) for t in texts]
+        out, first, size = np.empty((len(texts), len(self.languages))), 0, 0
+        for i, (used, _) in enumerate(counted):
+            size += len(used) * len(self.languages)
+            if size >= AT_ONCE or i == len(counted) - 1:
+                part = counted[first : i + 1]
+                starts = np.cumsum([0, *(len(u) for u, _ in part[:-1])])
+                products = self.matrix[np.concatenate([u for u, _ in part])] * np.concatenate([n for _, n in part])[:, None]
+                out[first : i + 1] = self.prior + np.add.reduceat(products, starts, axis=0)
+                first, size = i + 1, 0
+        return out
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The most probable language of each text and its posterior probability."""
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        able = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
+        if able:
+            logs = self.logs([texts[i] for i in able])
+            best = logs.argmax(axis=1)
+            sure = 1.0 / np.exp(logs - logs[np.arange(len(able)), best][:, None]).sum(axis=1)
+            for i, b, s in zip(able, best.tolist(), sure.tolist(), strict=True):
+                out[i] = (self.languages[b], s)
+        return out
 
 
 def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", bits: int = BITS, smoothing: float = 0.5) -> Model:
@@ -101,18 +122,23 @@ def train(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", bi
 
     narrow = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     summed = narrow.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    packed = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("counts"))  # at most 2**bits + 1 a language
-    rows = sorted(packed.limit(MOST_LANGUAGES + 1).collect(), key=lambda r: r["lang"])
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts, documents = np.zeros((len(rows), size)), np.zeros(len(rows))
-    for i, row in enumerate(rows):
-        for bucket, n in row["counts"]:
-            if bucket < 0:
-                documents[i] = n
-            else:
-                counts[i, bucket] = n
-    return Model([r["lang"] for r in rows], documents, counts, smoothing)
+    summed = common.stored(summed)
+    many = summed.where("bucket < 0").count()
+    fold = 0
+    while fold < bits and many << (bits - fold) > MOST_CELLS:
+        fold += 1
+    bucket = F.when(F.col("bucket") < 0, F.col("bucket")).otherwise(F.shiftright("bucket", fold))
+    got = summed.groupBy("lang", bucket.cast("int").alias("bucket")).agg(F.sum("n").alias("n")).toArrow()  # at most MOST_CELLS rows, and one a language
+    names = np.array(got["lang"].to_pylist(), dtype=object)
+    languages = sorted(set(names.tolist()))
+    place = {lang: i for i, lang in enumerate(languages)}
+    row = np.array([place[n] for n in names], dtype=np.int64)
+    bucket, n = got["bucket"].to_numpy(), got["n"].to_numpy()
+    counts, documents = np.zeros((len(languages), size >> fold)), np.zeros(len(languages))
+    whole = bucket < 0
+    documents[row[whole]] = n[whole]
+    counts[row[~whole], bucket[~whole]] = n[~whole]
+    return Model(languages, documents, counts, smoothing)
 
 
 def identify(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", held_out: Column | None = None, keep: list[str] | None = None) -> DataFrame:
@@ -134,7 +160,7 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang",
 
     def run(batches):
         for batch in batches:
-            found = [shared.value.predict(text) for text in batch.column(2).to_pylist()]
+            found = shared.value.predict(batch.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), *batch.columns[3:]], names=names)
 
     types = {f.name: f.dataType.simpleString() for f in narrow.schema}
