@@ -61,6 +61,9 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     or shuffle_key are replaced.
     """
     docs = docs.drop("copy", "shuffle_key")
+    names = docs.columns
+    at = lambda c: f"c{[x.lower() for x in names].index(c.lower())}"
+    docs, id_col, source_col, text_col = docs.toDF(*(f"c{i}" for i in range(len(names)))), at(id_col), at(source_col), at(text_col)
     size = F.coalesce(F.length(F.col(text_col)), F.lit(0)).cast("long")
     rate = rates(docs, source_col=source_col, size_col=size, weights=weights, temperature=temperature, total=total)
     rate = rate.withColumn("steps", F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP)).cast("int"))
@@ -72,7 +75,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     n = F.aggregate(draws, F.lit(0).cast("long"), lambda a, b: a + b)
     copies = with_rate.withColumn("__n", n).where("__n > 0").withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy")))
-    return copies.select(*docs.columns, "copy", key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    out = copies.select(*docs.columns, "copy", key.alias("shuffle_key")).toDF(*names, "copy", "shuffle_key")
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
