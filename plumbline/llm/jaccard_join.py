@@ -8,9 +8,13 @@ groups that share a prefix shingle and pass the length and position filters.  Gr
 which are verified on the whole sets.
 
 Links only matter for the components, so candidates come in two rounds.  In the first, each of a shingle's groups is
-paired with the smallest of them and the next smaller one alone, which joins near copies, however many, in a number of
-pairs in proportion to their number, and then with the one that shares most.  In the second, only units that are still in different components are paired.  No pair between components is
-left out, so the components are those of all links.
+paired with three of them alone: the smallest, the next smaller one and the one that shares most.  That joins near copies,
+however many, in a number of pairs in proportion to their number.  In the last, the groups that are still in different
+components are paired, filtered as groups, and only then expanded to their members.  No pair between components is left
+out, so the components are those of all links.
+
+Each set carries the parities of its members by hash bucket.  Buckets of unlike parity are a lower bound of how many
+members two sets do not share, so that pairs are dropped within the joins that would make them, which loses no link.
 """
 
 from __future__ import annotations
@@ -25,53 +29,67 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from . import common
 from .shingling import shingle_set
 
-#: log2 of the number of counters for shingles.
-SKETCH_BITS = 18
-#: Buckets of the bound on intersections, and the largest count in one; a count at the largest bounds nothing.
-SPREAD, MOST_SPREAD = 256, 32_767
+#: log2 of the number of counters for shingles: as many counters as documents, within these bounds (4 MB of classes at most).
+SKETCH_BITS, MOST_SKETCH_BITS = 18, 22
+#: Buckets of the bound on what two sets do not share, one bit each; 64-bit words of them, and of their fold in the join of
+#: groups, whose generated code has to stay small enough to be compiled.
+PARITIES = 2048
+WORDS, FOLDED = PARITIES // 64, 8
 #: A shingle that more documents hold than this is dealt to several tasks in the first round.
 SPLIT = 200_000
 
 
-def shingle_classes(docs: DataFrame, text_col: str, k: int, bits: int = SKETCH_BITS) -> tuple[np.ndarray, np.ndarray]:
+def sketch_bits(docs: DataFrame) -> int:
+    return max(SKETCH_BITS, min(MOST_SKETCH_BITS, docs.count().bit_length()))
+
+
+def shingle_classes(docs: DataFrame, text_col: str, k: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of all documents' shingles by hash bucket, and the buckets' classes: 0 for those with counts to be expected
     by chance, then a class for each doubling.  One row of counts a bucket, whatever the corpus."""
 
     def run(batches):
         counts = np.zeros(1 << bits, dtype=np.int64)
+        held: list[np.ndarray] = []
+        n = 0
         for batch in batches:
-            found = [shingle_set(text, k) for text in batch.column(0).to_pylist()]
-            if found:
-                counts += np.bincount((np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            for text in batch.column(0).to_pylist():
+                held.append((shingle_set(text, k) >> np.uint64(64 - bits)).astype(np.int64))
+                n += len(held[-1])
+                if n >= 1 << bits:
+                    counts += np.bincount(np.concatenate(held), minlength=1 << bits)
+                    held, n = [], 0
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=1 << bits)
         used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(counts[used])], names=["bucket", "n"])
+        for at in range(0, len(used), 1 << 18):
+            some = used[at : at + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], names=["bucket", "n"])
 
     rows = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    got = rows.toArrow()  # at most 2 ** bits rows
     counts = np.zeros(1 << bits, dtype=np.int64)
-    for row in rows.collect():  # at most 2 ** bits rows
-        counts[row["bucket"]] = row["n"]
+    counts[got["bucket"].to_numpy()] = got["n"].to_numpy()
     usual = float(np.median(counts))
     excess = counts - usual - 6 * np.sqrt(usual + 1)
     return counts, np.where(excess > 0, 1 + np.log2(np.maximum(excess, 1)).astype(np.int64), 0).astype(np.uint8)
 
 
-def spread(found: np.ndarray) -> np.ndarray:
-    """How many of a set's members fall in each of SPREAD hash buckets, up to what 16 bits hold.
-
-    Two sets have no more members in common than the sum of the smaller counts (of any bound above it, if one is cut off).
-    """
-    return np.minimum(np.bincount(((found >> np.uint64(8)) % np.uint64(SPREAD)).astype(np.int64), minlength=SPREAD), MOST_SPREAD).astype(np.int16)
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's members falls in each of PARITIES hash buckets, as 64-bit words."""
+    odd = np.bincount(((found >> np.uint64(8)) % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, share: tuple[int, int], bits: int = SKETCH_BITS) -> DataFrame:
-    """doc_id, n, fp (of the set), gid (of prefix and size), spread (members by hash bucket), prefix, salts.
+def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, share: tuple[int, int]) -> DataFrame:
+    """doc_id, n, fp (of the set), gid (of prefix and size), parity (of members by hash bucket), prefix, salts.
 
     prefix is empty but in the first row of a group within a task, so that copies cost nothing further.  salts has the
     task that a prefix shingle's group is dealt to, or -1 where the shingle is not dealt to several.
     """
     num, den = share
+    bits = sketch_bits(docs)
     counts, classes = shingle_classes(docs, text_col, k, bits)
-    shared = docs.sparkSession.sparkContext.broadcast((np.maximum(1, counts // SPLIT).astype(np.int64), classes))
+    shared = docs.sparkSession.sparkContext.broadcast((np.maximum(1, counts // SPLIT).astype(np.int32), classes))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -93,12 +111,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, k: int, share: tuple
                 gid = xxhash.xxh3_64_intdigest(prefix.tobytes(), n & 0xFFFFFFFF)
                 new = gid not in seen
                 seen.add(gid)
-                rows.append((n, xxhash.xxh3_128_digest(found.tobytes()), gid - (1 << 64) if gid >> 63 else gid, spread(found), prefix if new else [], np.where(split[bucket[order]] > 1, (gid >> 2) % split[bucket[order]], -1) if new else []))
+                rows.append((n, xxhash.xxh3_128_digest(found.tobytes()), gid - (1 << 64) if gid >> 63 else gid, parities(found), prefix if new else [], np.where(split[bucket[order]] > 1, (gid >> 2) % split[bucket[order]].astype(np.int64), -1) if new else []))
             cols = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n", "fp", "gid", "spread", "prefix", "salts"])
+            types = [pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n", "fp", "gid", "parity", "prefix", "salts"])
 
-    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n long, fp binary, gid long, spread array<smallint>, prefix array<long>, salts array<long>")
+    return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, n long, fp binary, gid long, parity array<long>, prefix array<long>, salts array<long>")
 
 
 def passes(n1, n2, p1, p2, share: tuple[int, int]):
@@ -108,11 +126,19 @@ def passes(n1, n2, p1, p2, share: tuple[int, int]):
     return (F.least(n1, n2) * den >= F.greatest(n1, n2) * num) & (most * (num + den) >= (n1 + n2) * num)
 
 
+def may_link(a: str, b: str, share: tuple[int, int], words: int = WORDS):
+    """Whether sets of aliases a and b, by size and parities (words p0, p1, ...), can have enough members in common."""
+    num, den = share
+    unlike = " + ".join(f"bit_count({a}.p{i} ^ {b}.p{i})" for i in range(words))
+    return F.expr(f"({a}.n + {b}.n - ({unlike})) * {num + den} >= ({a}.n + {b}.n) * {2 * num}")
+
+
 def components(links: DataFrame) -> DataFrame:
     """vertex, root of every vertex of the links (a, b): vertices of a component have one root.
 
-    Each round sends every vertex to its smallest neighbour and contracts the links; rounds grow with the logarithm of a
-    component's size.  Each round is written to the shared folder.
+    Each round sends every vertex to its smallest neighbour and contracts the links.  Vertices are fingerprints here, so
+    their order is random and rounds grow with the logarithm of a component's size; a long chain whose vertices lie in
+    order would shrink by one a round.  Each round is written to the shared folder.
     """
     links = common.stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None
@@ -139,33 +165,33 @@ class Join:
         self.signed = common.stored(signatures(docs, id_col, text_col, k, share))
         some = self.signed.where("n > 0")
         self.units = common.stored(some.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min("gid").alias("gid"), F.min("n").alias("n")))
-        self.compared = None
 
     def shared_postings(self) -> DataFrame:
-        """token, gid, n, pos of prefix shingles that two groups or more share, with the smallest group (pivot) and the next smaller one (prev)."""
+        """token, gid, n, pos of prefix shingles that two groups or more share, with the smallest group (pivot), the next
+        smaller one (prev) and how many there are (groups), in each of the tasks that a shingle is dealt to."""
         exploded = self.signed.where("size(prefix) > 0").select("gid", "n", F.posexplode(F.arrays_zip("prefix", "salts")).alias("pos", "x"))
         postings = exploded.select(F.col("x.prefix").alias("token"), F.col("x.salts").alias("salt"), "gid", "n", F.col("pos").cast("long").alias("pos"))
         order = Window.partitionBy("token", "salt").orderBy("n", "gid")
         this = F.struct("gid", "n", "pos")
-        near = postings.select("*", F.first(this).over(order).alias("pivot"), F.lag(this).over(order).alias("prev"), F.lead("gid").over(order).alias("next"))
+        near = postings.select("*", F.first(this).over(order).alias("pivot"), F.lag(this).over(order).alias("prev"), F.lead("gid").over(order).alias("next"), F.count("*").over(Window.partitionBy("token", "salt")).alias("groups"))
         # a group of a token dealt to several tasks may be alone in any of them, the first too, and is kept
         return common.stored(near.where("gid <> pivot.gid or next <> gid or salt >= 0").drop("next", "salt"))
 
+    def parity_of(self, wanted: DataFrame) -> DataFrame:
+        """fp, n and parities of the sets whose fp is wanted; a column a word, which joins compare fastest."""
+        rows = self.signed.where("n > 0").select("fp", "n", *[F.col("parity")[i].alias(f"p{i}") for i in range(WORDS)])
+        return common.stored(rows.join(common.small_side(wanted, 64), "fp", "left_semi").dropDuplicates(["fp"]))
+
     def possible(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose sets can have enough members in common, by the sums of their smaller bucket counts."""
-        num, den = self.share
-        spreads = self.signed.where("n > 0").select("fp", "n", "spread")
+        """The pairs whose sets can have enough members in common, by their parities."""
         wanted = common.stored(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct())
-        spreads = common.stored(spreads.join(common.small_side(wanted, 64), "fp", "left_semi").dropDuplicates(["fp"]))
-        both = pairs.join(spreads.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("spread").alias("sa")), "a").join(spreads.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("spread").alias("sb")), "b")
-        most = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda x, y: x + y)
-        cut = F.exists("sa", lambda x: x == MOST_SPREAD) | F.exists("sb", lambda x: x == MOST_SPREAD)
-        return both.where((most * (num + den) >= (F.col("na") + F.col("nb")) * num) | cut).select("a", "b")
+        sets = self.parity_of(wanted)
+        both = pairs.alias("p").join(sets.alias("x"), F.col("p.a") == F.col("x.fp")).join(sets.alias("y"), F.col("p.b") == F.col("y.fp"))
+        return both.where(may_link("x", "y", self.share)).select("p.a", "p.b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of sets, by fp, whose similarity reaches the threshold."""
+        """The pairs (a, b) of sets, by fp, whose similarity reaches the threshold.  pairs: written, and possible()."""
         num, den = self.share
-        pairs = common.stored(self.possible(pairs))
         wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
         ids = common.stored(self.units.join(wanted, "fp", "left_semi").select(F.col("rep").alias("__rep")).distinct())
         docs = self.docs.select(F.col(self.id_col).alias("doc_id"), F.col(self.text_col).cast("string").alias("text"))
@@ -180,62 +206,67 @@ class Join:
         sets = common.stored(docs.mapInArrow(run, "fp binary, members array<long>"))
         both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("fp").alias("b"), F.col("members").alias("mb")), "b")
         same = F.size(F.array_intersect("ma", "mb"))
-        return common.stored(both.where(same * (num + den) >= (F.size("ma") + F.size("mb")) * num).select("a", "b").distinct())
+        return common.stored(both.where(same * (num + den) >= (F.size("ma") + F.size("mb")) * num).select("a", "b"))
+
+    def hubs(self, shared: DataFrame) -> DataFrame:
+        """g1, g2: each shingle's groups with its most connected group.
+
+        The original of many near copies shares its whole prefix with them, while each copy's begins with what is its own;
+        so the original has the most groups to its shingles.  Pairs are in proportion to the shared shingles.  The hubs are
+        written before they are joined by token, so that a shingle that very many hold can be split in the join.
+        """
+        rows = shared.select("token", "gid", "n", "pos", "groups")
+        weight = common.stored(rows.groupBy("gid").agg(F.sum("groups").alias("weight")))
+        weighed = rows.join(common.small_side(weight, 64), "gid")
+        hubs = common.stored(weighed.groupBy("token").agg(F.max(F.struct("weight", "gid", "n", "pos")).alias("hub")))
+        near = rows.join(hubs, "token").where((F.col("gid") != F.col("hub.gid")) & passes(F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos"), self.share))
+        return near.select(F.col("gid").alias("g1"), F.col("hub.gid").alias("g2"))
 
     def first_round(self, shared: DataFrame) -> DataFrame:
         close = lambda x: (F.col("gid") != F.col(f"{x}.gid")) & passes(F.col("n"), F.col(f"{x}.n"), F.col("pos"), F.col(f"{x}.pos"), self.share)
         both = F.array_compact(F.array(*[F.when(close(x), F.col(f"{x}.gid")) for x in ("pivot", "prev")]))
-        pairs = shared.select(F.col("gid").alias("g1"), F.explode(both).alias("g2")).distinct()
+        pairs = shared.select(F.col("gid").alias("g1"), F.explode(both).alias("g2")).union(self.hubs(shared)).distinct()
         heads = self.units.groupBy("gid").agg(F.min("fp").alias("head"), F.count("*").alias("members"))
         across = pairs.join(heads.select(F.col("gid").alias("g1"), F.col("head").alias("a")), "g1").join(heads.select(F.col("gid").alias("g2"), F.col("head").alias("b")), "g2").select("a", "b")
         within = self.units.join(heads.where("members > 1"), "gid").where("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
         return across.union(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def hub_round(self, shared: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs of each shingle's groups with its most connected group, where they are in different components.
+    def last_round(self, shared: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+        """Pairs of units that share a prefix shingle or a group, are in different components and weren't compared.
 
-        The original of many near copies shares its whole prefix with them, while each copy's begins with what is its own;
-        so the original has the most groups to its shingles.  Pairs are in proportion to the shared shingles.
+        Groups are paired and filtered first, by size, position, components and, where a group is one set, parities; what
+        is left is expanded to the groups' members, which are filtered by components and parities.
         """
-        rows = shared.select("token", "gid", "n", "pos").distinct()
-        sizes = rows.groupBy("token").agg(F.count("*").alias("groups"))
-        joined = common.stored(rows.join(sizes, "token").where("groups > 1"))
-        weight = joined.groupBy("gid").agg(F.sum("groups").alias("weight"))
-        weighed = joined.join(common.small_side(weight, 64), "gid")
-        hubs = weighed.groupBy("token").agg(F.max(F.struct("weight", "gid", "n", "pos")).alias("hub"))
-        heads = self.units.groupBy("gid").agg(F.min("fp").alias("head"))
-        heads = heads.join(common.small_side(roots.select(F.col("vertex").alias("head"), "root"), 128), "head", "left").select("gid", "head", F.coalesce("root", "head").alias("root"))
-        heads = common.stored(heads)
-        near = joined.join(hubs, "token").where((F.col("gid") != F.col("hub.gid")) & passes(F.col("n"), F.col("hub.n"), F.col("pos"), F.col("hub.pos"), self.share))
-        pairs = near.select(F.col("gid").alias("g1"), F.col("hub.gid").alias("g2")).distinct()
-        pairs = pairs.join(heads.select(F.col("gid").alias("g1"), F.col("head").alias("a"), F.col("root").alias("ra")), "g1").join(heads.select(F.col("gid").alias("g2"), F.col("head").alias("b"), F.col("root").alias("rb")), "g2").where("ra <> rb")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-
-    def second_round(self, shared: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs of units that share a prefix shingle or a group, are in different components and weren't compared."""
         named = self.units.select("fp", "gid").join(common.small_side(roots.select(F.col("vertex").alias("fp"), "root"), 128), "fp", "left").select("fp", "gid", F.coalesce("root", "fp").alias("root"))
-        within = named.groupBy("gid").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("gid")
-        by_group = named.join(within, "gid", "left_semi").select(F.col("gid").alias("token"), F.lit(0).alias("n"), F.lit(0).alias("pos"), "fp", "root", F.lit(True).alias("grouped"))
-        by_token = shared.select("token", "gid", "n", "pos").distinct().join(named, "gid")
-        mixed = by_token.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("token")
-        by_token = by_token.join(mixed, "token", "left_semi").select("token", "n", "pos", "fp", "root", F.lit(False).alias("grouped"))
-        rows = common.stored(by_token.union(by_group))
-        a, b = rows.alias("a"), rows.alias("b")
-        close = F.col("a.grouped") | passes(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), self.share)
-        found = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.grouped") == F.col("b.grouped")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & close)
-        return found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
+        label = F.xxhash64("root")
+        groups = common.stored(named.groupBy("gid").agg(F.min(label).alias("least"), F.max(label).alias("most"), F.count("*").alias("members")))
+        rows = shared.select("token", "gid", "n", "pos").join(common.small_side(groups, 64), "gid")
+        mixed = common.stored(rows.groupBy("token").agg(F.min("least").alias("x"), F.max("most").alias("y")).where("x <> y").select("token"))
+        rows = common.stored(rows.join(common.small_side(mixed, 32), "token", "left_semi"))
+        several = groups.where("least <> most").select("gid")
+        members = common.stored(named.join(rows.select("gid").union(several).distinct(), "gid", "left_semi"))
+        members = common.stored(members.join(self.parity_of(members.select("fp")), "fp"))
+        folds = [F.expr(" ^ ".join(f"p{i}" for i in range(at, WORDS, FOLDED))).alias(f"p{at}") for at in range(FOLDED)]
+        rows = common.stored(rows.join(members.join(groups.where("members = 1").select("gid"), "gid", "left_semi").select("gid", *folds), "gid", "left"))
+        a, b, x, y = rows.alias("a"), rows.alias("b"), members.alias("x"), members.alias("y")
+        apart = F.expr("a.least <> b.least or a.most <> b.most or a.least <> a.most")
+        close = passes(F.col("a.n"), F.col("b.n"), F.col("a.pos"), F.col("b.pos"), self.share) & (F.expr("a.p0 is null or b.p0 is null") | may_link("a", "b", self.share, FOLDED))
+        pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.gid") < F.col("b.gid")) & apart & close).select(F.col("a.gid").alias("g1"), F.col("b.gid").alias("g2")).distinct()
+        pairs = common.stored(pairs)
+        members_link = (F.col("x.root") != F.col("y.root")) & may_link("x", "y", self.share)
+        across = pairs.join(x, F.col("g1") == F.col("x.gid")).join(y, (F.col("g2") == F.col("y.gid")) & members_link)
+        within = members.join(several, "gid", "left_semi")
+        within = within.alias("x").join(within.alias("y"), (F.col("x.gid") == F.col("y.gid")) & (F.col("x.fp") < F.col("y.fp")) & members_link)
+        found = across.select("x.fp", F.col("y.fp").alias("other")).union(within.select("x.fp", F.col("y.fp").alias("other")))
+        return found.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
 
     def run(self) -> DataFrame:
         shared = self.shared_postings()
         pairs = common.stored(self.first_round(shared))
-        links = self.verified(pairs)
+        links = self.verified(common.stored(self.possible(pairs)))
         roots = components(links)
-        hubs = common.stored(self.hub_round(shared, roots, pairs))
-        found = self.verified(hubs)
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = components(links)
-        more = self.verified(self.second_round(shared, roots, pairs.union(hubs)))
+        rest = common.stored(self.last_round(shared, roots, pairs))
+        more = self.verified(rest) if not rest.isEmpty() else rest
         if not more.isEmpty():
             roots = components(links.union(more))
         named = self.units.join(common.small_side(roots.select(F.col("vertex").alias("fp"), "root"), 128), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
@@ -265,6 +296,9 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     Of several rows with that id in a component one stays, in each component, whatever null or repeated ids others have.
     Documents without shingles all stay.
     """
+    names = docs.columns
+    docs = docs.toDF(*(f"c{i}" for i in range(len(names))))  # the columns' own names may be any
+    id_col, text_col = (f"c{[x.lower() for x in names].index(c.lower())}" for c in (id_col, text_col))
     found = link(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, share=share).where("n_shingles > 0")
     found = common.stored(found.select("doc_id", "component_id", "fp", "root"))
     heads = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root")
@@ -279,7 +313,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     kept = texts.join(common.small_side(common.stored(once), 64), same(id_col, "__id")).drop("__id").union(blank)
     picked = common.stored(heads.join(several, same("__id", "__many"), "left_semi"))
     if picked.isEmpty():
-        return kept
+        return kept.toDF(*names)
 
     def run(batches):
         for batch in batches:
@@ -289,7 +323,7 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     unclear = texts.join(several, same(id_col, "__many"), "left_semi").withColumn("__text", F.col(text_col).cast("string"))
     unclear = unclear.mapInArrow(run, StructType([*docs.schema.fields, StructField("__set", BinaryType())]))
     unclear = unclear.join(common.small_side(picked, 64), same(id_col, "__id") & (F.col("__set") == F.col("__fp")))
-    return kept.union(unclear.dropDuplicates([id_col, "__set"]).drop("__id", "__fp", "__set"))
+    return kept.union(unclear.dropDuplicates([id_col, "__set"]).drop("__id", "__fp", "__set")).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

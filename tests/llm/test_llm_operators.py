@@ -31,7 +31,7 @@ def docs(spark):
     """Columns that the operators don't read carry names that they use themselves."""
     rng = random.Random(1)
     texts = [prose(rng, rng.randint(1, 120)) for _ in range(40)]
-    texts += [None, "", "   \n\t ", "word", "a  b\tc\n\nd", "ünï çödé 𝄞 text", "<|endoftext|> x", "x" * 3000, " ".join(["very"] * 5000), prose(rng, 3000)]
+    texts += [None, "", "   \n\t ", "word", "a  b\tc\n\nd", "ünï çödé 𝄞 text", "<|endoftext|> x", "one<|endoftext|><|endoftext|>  two <|ENDOFTEXT|>", "x" * 3000, " ".join(["very"] * 5000), prose(rng, 3000)]
     texts += texts[:6] + [texts[3]] * 5
     rows = [(i, t, ("en", "fr", None)[i % 3], f"s{i % 3 if i % 2 else 0}" if i % 7 else None, 0.5, "k", 1, 2) for i, t in enumerate(texts)]
     rows += [(None, texts[0], None, None, 0.5, "k", 1, 2), (5, texts[5], "fr", "s1", 0.5, "k", 1, 2)]
@@ -46,7 +46,7 @@ def none(spark):
 def test_packing(docs, none):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(common.tokenizer_path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
+    assert t.encode("<|endoftext|> x", add_special_tokens=False).ids == [50256, 2124]  # added tokens in a text are tokens
     want = Counter((r["doc_id"], tuple(t.encode(r["text"] or "", add_special_tokens=False).ids + [0])) for r in docs.collect())
     window = 64
     pieces = packing.pack(docs, window=window).collect()
@@ -105,6 +105,17 @@ def test_license_scan(spark, docs, none):
     assert (got[3]["n_base"], got[3]["first_word"], got[3]["last_word"], got[3]["base_labels"], got[3]["score"]) == (3, 0, 6, "gpl,mit", 1.0)
     assert got[4]["n_words"] == 0 and got[4]["first_word"] is None and got[5]["n_base"] == 0
     assert (got[6]["n_base"], got[6]["last_word"]) == (2, 2) and got[7]["first_word"] == 1
+    # whole bodies, with a tenth of their distinct words changed, in any case and layout
+    bodies = [k for k in license_scan.TEMPLATES if k.endswith("-body")]
+    edited = []
+    for k in bodies:
+        text = license_scan.TEMPLATES[k].upper()
+        times = Counter(license_scan.words(text))
+        once = [license_scan.words(w)[0] for w in text.split() if len(license_scan.words(w)) == 1 and times[license_scan.words(w)[0]] == 1]
+        gone = set(rng.sample(once, int(0.09 * len(set(license_scan.words(text))))))
+        edited.append(prose(rng, 30) + "\n* " + "\n* ".join("changed" if set(license_scan.words(w)) & gone else w for w in text.split()) + " " + prose(rng, 30))
+    found = license_scan.scan(spark.createDataFrame(list(enumerate(edited)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert all(k in r["labels"].split(",") and 0.9 <= max(b["containment"] for b in r["blocks"] if b["label"] == k) < 1 for k, r in zip(bodies, found, strict=True))
     assert license_scan.scan(docs).count() == docs.count() and license_scan.scan(none).count() == 0
 
 
@@ -156,6 +167,31 @@ def test_pii(spark, docs, none):
     assert pii.redact(docs).columns == docs.columns
 
 
+def shingle_sets(texts, k):
+    words = [lower(t).encode().split() for t in texts]
+    return [frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []) for w in words]
+
+
+def plain_components(ids, texts, k, num, den):
+    """doc_id: (n_shingles, component_id), from all pairs."""
+    sets = shingle_sets(texts, k)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    smallest: dict[int, int] = {}
+    for i in range(len(texts)):
+        smallest[find(i)] = min(smallest.get(find(i), 1 << 60), ids[i])
+    return {ids[i]: (len(sets[i]), smallest[find(i)]) for i in range(len(texts))}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard_join(spark, seed):
     """Chains and clusters of edited texts, a passage that many share, exact copies, short texts."""
@@ -173,30 +209,41 @@ def test_jaccard_join(spark, seed):
             texts.append(" ".join(words) + (" " + passage if rng.random() < 0.3 else ""))
     texts += texts[-3:]
     ids = rng.sample(range(1000), len(texts))
-    k, (num, den) = 3, (70, 100)
-    sets = []
-    for t in texts:
-        w = lower(t).encode().split()
-        sets.append(frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []))
-    root = list(range(len(texts)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            if sets[i] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j]):
-                root[find(i)] = find(j)
-    smallest: dict[int, int] = {}
-    for i in range(len(texts)):
-        smallest[find(i)] = min(smallest.get(find(i), 1 << 60), ids[i])
+    want = plain_components(ids, texts, 3, 70, 100)
     df = spark.createDataFrame([(a, b, 7) for a, b in zip(ids, texts, strict=True)], "doc_id long, text string, n long")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(df, shingle_words=k, share=(num, den)).collect()}
-    assert got == {ids[i]: (len(sets[i]), smallest[find(i)]) for i in range(len(texts))}
-    kept = sorted(r["doc_id"] for r in jaccard_join.one_of_each(df, shingle_words=k, share=(num, den)).collect())
-    assert kept == sorted({smallest[find(i)] for i in range(len(texts))})
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(df, shingle_words=3, share=(70, 100)).collect()}
+    assert got == want
+    kept = sorted(r["doc_id"] for r in jaccard_join.one_of_each(df, shingle_words=3, share=(70, 100)).collect())
+    assert kept == sorted({c for _, c in want.values()})
+
+
+@pytest.mark.parametrize(("k", "num"), [(5, 80), (4, 85)])
+def test_jaccard_join_of_one_large_group(spark, k, num):
+    """Many near copies of one text around the threshold, some linked to the original and some to nothing; and no further
+    pairs are made of those that cannot link."""
+    rng = random.Random(num)
+    original = prose(rng, 120).split()
+    texts = [" ".join(original)]
+    for _ in range(220):
+        words = list(original)
+        for _ in range(rng.randint(1, 7)):
+            words[rng.randrange(len(words))] = "".join(rng.choice("bcdfg") for _ in range(7))
+        texts.append(" ".join(words))
+    texts += [prose(rng, rng.randint(5, 80)) for _ in range(60)]
+    ids = rng.sample(range(5000), len(texts))
+    want = plain_components(ids, texts, k, num, 100)
+    assert 20 < len({c for _, c in want.values()}) - 60 < 210
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link(df, shingle_words=k, share=(num, 100)).collect()} == want
+
+
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (1, 40, 900, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.append(a[: n // 2], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)))
+        unlike = int(np.bitwise_count((jaccard_join.parities(a) ^ jaccard_join.parities(b)).view(np.uint64)).sum())
+        assert unlike <= len(np.setxor1d(a, b)) and (n == 5000 or unlike > 0.6 * len(np.setxor1d(a, b)))
 
 
 def test_jaccard_join_of_split_shingles(spark, monkeypatch):
@@ -218,6 +265,8 @@ def test_jaccard_join_edges(spark, docs, none):
     assert jaccard_join.link(none).count() == 0 and jaccard_join.one_of_each(none).columns == none.columns
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (2, ""), (2, ""), (None, None)], "doc_id long, text string")
     assert jaccard_join.one_of_each(twice).count() == 4  # of equal rows with words one stays; texts without words all stay
+    clash = twice.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(("__id", "__rows", "__many", "__fp", "__set", "c0", "root", "fp"))])
+    assert jaccard_join.one_of_each(clash).columns == clash.columns and jaccard_join.one_of_each(clash).count() == 4
 
 
 def test_one_of_each_with_null_and_repeated_ids(spark):
@@ -301,6 +350,29 @@ def test_language_id(spark, docs, none):
     assert (whole[0] == pieces[0]).all() and (whole[1] == pieces[1]).all()
 
 
+def test_language_posteriors(spark, monkeypatch):
+    """Log-probabilities of a batch against naive Bayes by plain counters of the same buckets; a bounded matrix folds them."""
+    rng = random.Random(9)
+    kinds = {"xx": "an the or ing tion".split(), "yy": "zu über ß und ach".split(), "zz": "an zu the und la".split()}
+    rows = [(prose(rng, rng.randint(1, 30), kinds[k]), k) for k in list(kinds) * 20]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    texts = ["the und ing", "x", "ß ß", "tion " * 50]
+    for most, bits in ((langid.MOST_CELLS, 14), (3 << 6, 6)):
+        monkeypatch.setattr(langid, "MOST_CELLS", most)
+        monkeypatch.setattr(langid, "AT_ONCE", 40)
+        model = langid.train(df)
+        assert model.matrix.shape == (1 << bits, 3)
+        buckets = lambda t: Counter({int(b) >> 14 - bits: 0 for b in langid.bucket_counts(t)[0]}) + sum((Counter({int(b) >> 14 - bits: int(n)}) for b, n in zip(*langid.bucket_counts(t), strict=True)), Counter())  # noqa: B023, E731
+        sums = {k: sum((buckets(t) for t, lang in rows if lang == k), Counter()) for k in kinds}
+        for text, logs in zip(texts, model.logs(texts), strict=True):
+            want = [math.log(20 / 60) + sum(n * math.log((sums[k][b] + 0.5) / (sums[k].total() + 0.5 * (1 << bits))) for b, n in buckets(text).items()) for k in sorted(kinds)]
+            assert np.allclose(logs, want)
+        for (lang, score), logs in zip(model.predict([*texts, None])[:4], model.logs(texts), strict=True):
+            p = np.exp(logs - logs.max())
+            assert lang == sorted(kinds)[int(p.argmax())] and abs(score - p.max() / p.sum()) < 1e-9
+    assert model.predict([None, "1 2"]) == [("und", 0.0)] * 2 and model.predict([]) == []
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((900, 16)) * rng.uniform(0.5, 2, (900, 1))
@@ -327,6 +399,27 @@ def test_neighbours(spark):
     assert ann.search(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_collisions_are_counted():
+    """The bit sets' counts are those of a plain count of windows, and candidates are the rows that reach the threshold."""
+    rng = np.random.default_rng(4)
+    sets = rng.integers(0, 1 << 63, (37, 2, 5)).astype(np.uint64)
+    bits = np.unpackbits(sets.view(np.uint8), axis=2, bitorder="little").sum(axis=0)
+    digits = ann.added(iter(sets))
+    got = sum(np.unpackbits(d.view(np.uint8), axis=1, bitorder="little").astype(int) << i for i, d in enumerate(digits))
+    assert (got == bits).all()
+    for least in (1, 17, 18, 37, 64):
+        assert (np.unpackbits(ann.reaching(digits, least).view(np.uint8), axis=1, bitorder="little") == (bits >= least)).all()
+    x = rng.standard_normal((700, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shard = ann.Shard(x)
+    values = np.concatenate([x, np.zeros((700, 1))], axis=1).astype(np.float32) @ shard.lines
+    for q, (found, half) in zip(x[:90], shard._widen(x[:90], 3), strict=True):
+        far = np.abs(values - q.astype(np.float32) @ shard.lines[:-1])
+        plain = lambda h: set(np.flatnonzero((far <= h).sum(axis=1) >= np.ceil(ann.THRESHOLD * shard.m)))
+        assert plain(half - 1.51 * ann.GRID) <= set(found) <= plain(half + 1.51 * ann.GRID) and len(found) >= min(700, 30 + 140)
+    assert [len(f) for f in ann.Shard(x[:3]).candidates(x[:5], 20)] == [3] * 5  # fewer rows than wanted: all
+
+
 def test_lm_scoring(spark, docs, none):
     held = common.crc_fold("doc_id", 7) == 2
     few, lm_scoring.FREQUENT_WORDS, steps, lm_scoring.LEAST_STEPS = lm_scoring.FREQUENT_WORDS, 40, lm_scoring.LEAST_STEPS, 3
@@ -433,6 +526,8 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(docs).columns == [c for c in docs.columns if c != "copy"] + ["copy", "shuffle_key"]
     assert mixing.mix(docs, weights={"s1": 2, "s2": 0}).where("source = 's2' or source is null").count() == 0
     assert mixing.mix(none).count() == 0
+    clash = plain.select("*", *[F.lit(i).alias(c) for i, c in enumerate(("__source", "__rate", "__steps", "__n", "c0", "rate"))])
+    assert mixing.mix(clash).columns == [*clash.columns, "copy", "shuffle_key"] and {r["__n"] for r in mixing.mix(clash).collect()} == {3}
 
 
 def test_poisson(spark):
@@ -462,6 +557,53 @@ def test_kneser_ney(spark, docs, none):
     assert kn_quality.classify(docs, trusted.where("false")).where("not kept and n_tokens > 1").count() == 0
 
 
+def test_kneser_ney_against_plain_counts(spark):
+    """Perplexities by the formulas of interpolated modified Kneser-Ney over dictionaries of words."""
+    rng = random.Random(13)
+    vocabulary = [prose(rng, 1) for _ in range(25)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 25))) for _ in range(60)]
+    model = kn_quality.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    cut = lambda t: ["<a>", "<a>", *lower(t).split(), "<z>"]
+    tri = Counter(tuple(w[i : i + 3]) for w in map(cut, texts) for i in range(len(w) - 2))
+    bi = Counter(k[1:] for k in tri)
+    uni = Counter(k[1:] for k in bi)
+
+    def level(grams):
+        n = [0, *(max(1, sum(c == i for c in grams.values())) for i in (1, 2, 3, 4))]
+        y = n[1] / (n[1] + 2 * n[2])
+        cut_by = [min(max(v, 0.05), i - 0.05) for i, v in ((1, 1 - 2 * y * n[2] / n[1]), (2, 2 - 3 * y * n[3] / n[2]), (3, 3 - 4 * y * n[4] / n[3]))]
+        total, taken = Counter(), Counter()
+        for k, c in grams.items():
+            total[k[:-1]] += c
+            taken[k[:-1]] += cut_by[min(c, 3) - 1]
+
+        def p(gram, lower_p):
+            if not total[gram[:-1]]:
+                return lower_p
+            c = grams[gram]
+            return (c - cut_by[min(c, 3) - 1] if c else 0) / total[gram[:-1]] + taken[gram[:-1]] / total[gram[:-1]] * lower_p
+
+        return p
+
+    p3, p2, p1 = level(tri), level(bi), level(uni)
+    tests = [*texts[:5], "never heard " + texts[0], "", " ".join(vocabulary)]
+    logs, sizes = model.log_probabilities(tests)
+    for t, got, n in zip(tests, logs, sizes, strict=True):
+        w = cut(t)
+        want = sum(math.log10(p3(tuple(w[i : i + 3]), p2(tuple(w[i + 1 : i + 3]), p1((w[i + 2],), 1 / (len(uni) + 1))))) for i in range(len(w) - 2))
+        assert n == len(w) - 2 and abs(got - want) < 1e-4 * n
+
+
+def test_one_long_trusted_text_does_not_crowd_out_the_rest(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 4000 if i % 2 else 40), "xx") for i in range(60)] + [(100, "qwz " * 40, "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in kn_quality.classify(df, df.where("doc_id < 60").select("doc_id"), train_characters=3000).collect()}
+    assert got[100]["perplexity"] > 1 and not got[100]["kept"]
+    with pytest.warns(UserWarning, match="no trusted text"):
+        assert kn_quality.classify(df, df.where("false").select("doc_id")).where("kept").count() == len(rows)
+
+
 def test_kneser_ney_rejects_noise(spark):
     rng = random.Random(12)
     rows = [(i, prose(rng, 60), "xx") for i in range(240)] + [(1000 + i, " ".join("".join(rng.choice("qwzxk") for _ in range(6)) for _ in range(60)), "xx") for i in range(20)]
