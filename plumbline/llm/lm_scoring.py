@@ -1,11 +1,12 @@
 """Language-model scores: a causal self-attention model over subword ids, trained in numpy, beside a word unigram base.
 
-One pass over all training documents counts words (by 64-bit hash) and subword ids and cuts every document
-into training windows.  Subword ids fall into classes of equal mass; the model gives a token's class from the tokens
-before it, and the counts give the token within its class, so that the probabilities of all ids add up to 1.  The model is
-trained by rounds of local training in each task over its windows and averaging of the weights; each round takes its
-share of the windows, so that all rounds together are one pass over all of them.  What returns to the driver is one set
-of weights.
+Every text is cut into words (64-bit hashes) and subword ids once; all later passes read those.  Subword ids fall into
+classes of equal mass.  A token's log-odds over the classes are the sum of what the attention model makes of the tokens
+before it and of a prior, the classes counted after the buckets of the last two ids; counts after the bucket of the last id
+give the token within its class.  The probabilities of all ids add up to 1.  Words, ids and pairs are counted over all
+training documents, in tables of a fixed size whatever the corpus.  The model is trained by rounds of local training in
+each task over its windows and averaging of the weights; each round takes its share of the windows, so that all rounds
+together are one pass over all of them.  What returns to the driver is one set of weights and the tables.
 
 Scoring reads whole texts in blocks.  A block of tokens sees itself causally and the whole block before it: windows
 overlap by half, and each token is scored once, in batches of blocks with one masked attention.
@@ -24,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,103 +41,132 @@ MOST_HELD = 4_000_000
 #: Tokens of a block; a token sees its block and the one before.
 BLOCK = 16
 WIDTH, CLASSES, BUCKETS, SHARED = 16, 64, 1024, 64
+#: Buckets of the ids before a token, for the counted pairs.
+PREVIOUS = 512
+#: Weights, in tokens, of the coarser distribution: of an id within its class, of a class after one id and after two.
+WITHIN_WEIGHT, ONE_WEIGHT, TWO_WEIGHT = 4, 8, 16
+#: Parts in which the counts of pairs are added up.
+PARTS = 64
 ROUNDS, BATCH, STEP = 3, 64, 5e-3
 #: A task's training in a round goes over its windows once, or again and again up to so many steps.
 LEAST_STEPS = 150
 #: Windows that a task holds, and brings into random order, at a time.
 MIXED = 1 << 14
 #: Tokens that are scored at a time; what they need fits a core's cache.
-AT_ONCE = 1 << 13
+AT_ONCE = 1 << 11
 END_OF_TEXT = 50256
 VOCABULARY = 50257
 #: The end of a text, as a word.
 END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 
-WORD, TOKEN, WINDOW = 0, 1, 2
+WORD, TOKEN = 0, 1
+SPAN = 2 * BLOCK
 
 
 def subwords(text: str | None, path: str) -> np.ndarray:
     """The subword ids of the text with A-Z lower-cased, between two end-of-text ids."""
     lowered = (text or "").encode().translate(common.LOWER_TABLE).decode()
-    ids = array("i", (END_OF_TEXT,))
+    ids = array("H", (END_OF_TEXT,))
     ids.extend(encoder(path)(lowered))
     ids.append(END_OF_TEXT)
-    return np.frombuffer(ids, dtype=np.int32)
+    return np.frombuffer(ids, dtype=np.uint16)
 
 
 def signed(values: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
 
 
-def windows_of(ids: np.ndarray) -> np.ndarray:
-    """The windows (n x 2 * BLOCK + 1 ids, -1 beyond the text's end) whose targets are all of a text's ids but the first."""
-    span = 2 * BLOCK
-    n = -(-(len(ids) - 1) // span)
-    padded = np.full(n * span + 1, -1, dtype=np.int32)
-    padded[: len(ids)] = ids
-    return padded[np.arange(n)[:, None] * span + np.arange(span + 1)]
+def cut(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, held_out, turn (the round of a text's first window), words (hashes, the end last) and ids (16 bits each).
 
+    docs: doc_id, held_out, text.
+    """
+
+    def run(batches):
+        for batch in batches:
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            words = [np.append(word_hashes(text), END_WORD) for text in texts]
+            ends = np.cumsum([0, *map(len, words)])
+            if ends[-1] >= 1 << 31:
+                raise ValueError("a batch of texts has more than 2^31 words: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+            flat_words = signed(np.concatenate(words)) if words else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([xxhash.xxh3_64_intdigest(str(d)) % ROUNDS for d in doc_ids], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat_words)), pa.array([subwords(text, path).tobytes() for text in texts], pa.binary()),
+            ], names=["doc_id", "held_out", "turn", "words", "ids"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, turn int, words array<long>, ids binary")
 
-def gather(docs: DataFrame, path: str) -> DataFrame:
-    """kind, key, n, ids: partial counts of words and subword ids, and all training windows (key: the round that takes it).
 
-    docs: doc_id as text, and text.  A document's windows are dealt to the rounds in turn.
+def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of texts, one text after another and an end before the first, and where each text's first target lies.
+
+    As every text ends with an end, the two ids before any target are always the two places before it.
     """
+    ids = np.frombuffer(np.uint16(END_OF_TEXT).tobytes() + b"".join(column.to_pylist()), dtype=np.uint16)
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+    return ids, np.cumsum(sizes) - sizes + 2
+
+
+def stretches(ids: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' targets in stretches of a length: text, number within it, place of the first target, how many targets."""
+    n = np.append(first[1:], len(ids) + 1) - 1 - first
+    many = -(-n // length)
+    text = np.repeat(np.arange(len(first)), many)
+    j = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    return text, j, first[text] + j * length, np.minimum(length, n[text] - j * length)
+
+
+def spread(ids: np.ndarray, place: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Of each stretch the two ids before it and its targets, -1 beyond them."""
+    at = np.arange(-2, length)
+    out = ids[np.minimum(place[:, None] + at, len(ids) - 1)].astype(np.int32)
+    out[at >= sizes[:, None]] = -1
+    return out
+
+
+def gather(texts: DataFrame) -> DataFrame:
+    """kind, key, n: partial counts of words and subword ids.  texts: words, ids."""
 
     def run(batches):
         words: list[np.ndarray] = []
         held = 0
         tokens = np.zeros(VOCABULARY, dtype=np.int64)
 
-        def rows(kind, keys, n, ids=None):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int8)), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(ids if ids is not None else [None] * len(keys), pa.binary())], names=["kind", "key", "n", "ids"])
+        def rows(kind, keys, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, dtype=np.int8)), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], names=["kind", "key", "n"])
 
         def flush():
-            keys, n = np.unique(np.concatenate(words), return_counts=True)
+            keys = np.sort(np.concatenate(words))
             words.clear()
-            return rows(WORD, signed(keys), n)
-
-        def windows(cut, turns):
-            cut, turns = np.concatenate(cut), np.concatenate(turns)
-            for at in range(0, len(cut), MIXED):
-                some = cut[at : at + MIXED]
-                yield rows(WINDOW, turns[at : at + MIXED], np.ones(len(some), np.int64), [w.tobytes() for w in some])
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+            return rows(WORD, keys[starts], np.diff(np.append(starts, len(keys))))
 
         for batch in batches:
-            cut: list[np.ndarray] = []
-            turns: list[np.ndarray] = []
-            waiting = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.append(np.append(word_hashes(text), END_WORD))
-                held += len(words[-1])
-                ids = subwords(text, path)
-                tokens += np.bincount(ids[1:], minlength=VOCABULARY)
-                cut.append(windows_of(ids))
-                turns.append((np.arange(len(cut[-1])) + xxhash.xxh3_64_intdigest(str(doc_id)) % ROUNDS) % ROUNDS)
-                waiting += len(cut[-1])
-                if waiting >= MIXED:
-                    yield from windows(cut, turns)
-                    cut, turns, waiting = [], [], 0
-                if held > MOST_HELD:
-                    yield flush()
-                    held = 0
-            if cut:
-                yield from windows(cut, turns)
+            words.append(batch.column(0).flatten().to_numpy())
+            held += len(words[-1])
+            ids, first = joined(batch.column(1))
+            tokens += np.bincount(ids, minlength=VOCABULARY)
+            tokens[END_OF_TEXT] -= len(first) + 1  # those that begin a text are no targets
+            if held > MOST_HELD:
+                yield flush()
+                held = 0
         if words:
             yield flush()
         used = np.flatnonzero(tokens)
         yield rows(TOKEN, used, tokens[used])
 
-    return docs.mapInArrow(run, "kind tinyint, key long, n long, ids binary")
+    return texts.mapInArrow(run, "kind tinyint, key long, n long")
 
 
 @dataclass
 class Lexicon:
-    """Of each subword id: its embedding bucket, its class, and the log of its probability within the class."""
+    """Of each subword id: its embedding bucket, its bucket as an earlier id, its class, and its share of the class."""
 
     bucket: np.ndarray
+    previous: np.ndarray
     class_of: np.ndarray
-    log_within: np.ndarray
+    share: np.ndarray
 
 
 def lexicon(counts: np.ndarray) -> Lexicon:
@@ -143,12 +174,92 @@ def lexicon(counts: np.ndarray) -> Lexicon:
     rank = np.empty(len(counts), dtype=np.int64)
     rank[order] = np.arange(len(counts))
     mass = np.cumsum(counts[order]) - counts[order]
-    class_of = np.empty(len(counts), dtype=np.int64)
+    class_of = np.empty(len(counts), dtype=np.int32)
     class_of[order] = np.minimum(CLASSES - 1, mass * CLASSES // max(1, counts.sum()))
-    own = BUCKETS - SHARED
+
+    def buckets(many):
+        own = many - SHARED
+        return np.where(rank < own, rank, own + np.arange(len(counts)) % SHARED).astype(np.int32)
+
     smooth = counts + 0.5
     total = np.bincount(class_of, smooth, minlength=CLASSES)
-    return Lexicon(np.where(rank < own, rank, own + np.arange(len(counts)) % SHARED).astype(np.int32), class_of, np.log(smooth / total[class_of]))
+    return Lexicon(buckets(BUCKETS), buckets(PREVIOUS), class_of, smooth / total[class_of])
+
+
+@dataclass
+class Pairs:
+    """classes: log-odds of the classes after the buckets of two ids; within: the log of an id's share of its class after one."""
+
+    classes: np.ndarray
+    within: np.ndarray
+
+
+def add_pairs(of_class: np.ndarray, of_id: np.ndarray, ids: np.ndarray, first: np.ndarray, words: Lexicon) -> None:
+    """Counts classes after two ids and ids after one, over the targets of texts as joined() gives them."""
+    target = np.ones(len(ids), dtype=bool)
+    target[0] = False
+    target[first - 1] = False
+    at = np.flatnonzero(target)
+    for lo in range(0, len(at), 1 << 18):
+        part = at[lo : lo + (1 << 18)]
+        y, one = ids[part], words.previous[ids[part - 1]]
+        np.add.at(of_class, (one * PREVIOUS + words.previous[ids[part - 2]]) * CLASSES + words.class_of[y], np.int32(1))
+        np.add.at(of_id, one * VOCABULARY + y, np.int32(1))
+
+
+def pairs(of_class: np.ndarray, of_id: np.ndarray, words: Lexicon) -> Pairs:
+    """of_class: counts (PREVIOUS x PREVIOUS x CLASSES); of_id: counts (PREVIOUS x VOCABULARY)."""
+    classes = np.empty((PREVIOUS * PREVIOUS, CLASSES), dtype=np.float32)
+    within = np.empty((PREVIOUS, VOCABULARY), dtype=np.float32)
+    after_one = of_class.reshape(PREVIOUS, PREVIOUS, CLASSES).sum(axis=1).astype(np.float64)
+    whole = after_one.sum(axis=0) + 0.5
+    coarse = (after_one + ONE_WEIGHT * whole / whole.sum()) / (after_one.sum(axis=1, keepdims=True) + ONE_WEIGHT)
+    for b in range(PREVIOUS):  # a row at a time, in little memory
+        two = of_class.reshape(PREVIOUS, PREVIOUS, CLASSES)[b].astype(np.float64)
+        classes[b * PREVIOUS : (b + 1) * PREVIOUS] = np.log((two + TWO_WEIGHT * coarse[b]) / (two.sum(axis=1, keepdims=True) + TWO_WEIGHT))
+        within[b] = np.log((of_id.reshape(PREVIOUS, VOCABULARY)[b] + WITHIN_WEIGHT * words.share) / (after_one[b][words.class_of] + WITHIN_WEIGHT))
+    return Pairs(classes, within)
+
+
+def count_pairs(texts: DataFrame, words: Lexicon) -> Pairs:
+    """Tasks count in tables of a fixed size, which are added up in parts.  texts: ids."""
+    sizes = (PREVIOUS * PREVIOUS * CLASSES, PREVIOUS * VOCABULARY)
+    bounds = [np.linspace(0, n, PARTS + 1).astype(np.int64) for n in sizes]
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        tables = [np.zeros(n, dtype=np.int32) for n in sizes]
+        any_ = False
+        for batch in batches:
+            if batch.num_rows:
+                add_pairs(*tables, *joined(batch.column(0)), shared.value)
+                any_ = True
+        for kind in range(2 if any_ else 0):
+            for part in range(PARTS):
+                values = tables[kind][bounds[kind][part] : bounds[kind][part + 1]]
+                packed = pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["kind", "part", "n"])
+
+    def unpacked(packed, kind, part, dtype):
+        size = int(bounds[kind][part + 1] - bounds[kind][part])
+        return np.frombuffer(pa.decompress(packed, size * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype=dtype)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = key = None
+        for batch in batches:
+            for kind, part, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = (kind, part)
+                values = unpacked(packed, kind, part, np.int32)
+                total = values.astype(np.int64) if total is None else total + values
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([pa.compress(total.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["kind", "part", "n"])
+
+    schema = "kind int, part int, n binary"
+    tables = [np.zeros(n, dtype=np.int64 if n < 1 << 20 else np.float32) for n in sizes]
+    for row in texts.mapInArrow(run, schema).groupBy("kind", "part").applyInArrow(add, schema).toArrow().to_pylist():  # 2 * PARTS rows
+        kind, part = row["kind"], row["part"]
+        tables[kind][bounds[kind][part] : bounds[kind][part + 1]] = unpacked(bytes(row["n"]), kind, part, np.int64)
+    return pairs(*tables, words)
 
 
 SHAPES = {"embed": (BUCKETS, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "near": (2 * BLOCK,), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
@@ -157,8 +268,9 @@ BACK = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
 
 
 def fresh(seed: int = 3) -> dict[str, np.ndarray]:
+    """Weights to begin with, with which the classes have their prior."""
     rng = np.random.default_rng(seed)
-    return {k: (np.zeros(s) if k in ("near", "bias") else rng.standard_normal(s) / math.sqrt(s[-1] if k == "embed" else s[0])).astype(np.float32) for k, s in SHAPES.items()}
+    return {k: (np.zeros(s) if k in ("near", "out", "bias") else rng.standard_normal(s) / math.sqrt(s[-1] if k == "embed" else s[0])).astype(np.float32) for k, s in SHAPES.items()}
 
 
 def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
@@ -173,98 +285,88 @@ def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def before(x: np.ndarray, follows: np.ndarray) -> np.ndarray:
-    """Of each block the block before it, 0 where a text begins."""
-    out = np.zeros_like(x)
-    out[1:] = x[:-1]
-    out[~follows] = 0
-    return out
-
-
-def forward(w: dict[str, np.ndarray], buckets: np.ndarray, follows: np.ndarray) -> dict[str, np.ndarray]:
-    """Class log-probabilities for each position of each block (m x BLOCK); follows: the block continues the one before."""
-    x = w["embed"][buckets]
-    q, k, v = x @ w["q"], x @ w["k"], x @ w["v"]
-    k2, v2 = np.concatenate([before(k, follows), k], axis=1), np.concatenate([before(v, follows), v], axis=1)
-    s = q @ k2.transpose(0, 2, 1)
-    s *= np.float32(1 / math.sqrt(WIDTH))
-    s += np.where(BACK >= 0, w["near"][np.maximum(BACK, 0)], np.float32(-1e9))
-    s[~follows, :, :BLOCK] = -1e9
-    s -= s.max(axis=2, keepdims=True)
-    p = np.exp(s, out=s)
-    p /= p.sum(axis=2, keepdims=True)
-    a = p @ v2
-    h = np.tanh(x + a @ w["o"])
-    z = h @ w["out"]
-    z += w["bias"]
-    z -= z.max(axis=2, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-    return {"x": x, "q": q, "k2": k2, "v2": v2, "p": p, "a": a, "h": h, "logp": z}
-
+def forward(w: dict[str, np.ndarray], buckets: np.ndarray, follows: np.ndarray, prior: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray]:
+    """logp, the log-probabilities of the given classes (m x BLOCK), and what their gradients need.
 
-def class_logs(w: dict[str, np.ndarray], buckets: np.ndarray, follows: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """forward()'s log-probabilities of the given classes alone, with fewer passes over memory."""
-    m = len(buckets)
-    x = w["embed"][buckets].reshape(m * BLOCK, WIDTH)
-    qkv = (x @ np.concatenate([w["q"] * np.float32(1 / math.sqrt(WIDTH)), w["k"], w["v"]], axis=1)).reshape(m, BLOCK, 3 * WIDTH)
-    kv2 = np.empty((m, 2 * BLOCK, 2 * WIDTH), dtype=np.float32)
+    buckets: m x BLOCK; follows: the block continues the one before; prior: log-odds (m * BLOCK x CLASSES).
+    p: the attention before it is divided by its sums, r: one over these; e: exponentials of the log-odds.
+    """
+    m, kind = len(buckets), w["out"].dtype
+    x = w["embed"][buckets.ravel()]
+    scale = kind.type(1 / math.sqrt(WIDTH))
+    qkv = (x @ np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)).reshape(m, BLOCK, 3 * WIDTH)
+    q = qkv[:, :, :WIDTH]
+    kv2 = np.empty((m, 2 * BLOCK, 2 * WIDTH), dtype=kind)
     kv2[:, BLOCK:] = qkv[:, :, WIDTH:]
     kv2[1:, :BLOCK] = qkv[:-1, :, WIDTH:]
-    kv2[:1, :BLOCK] = 0
-    s = qkv[:, :, :WIDTH] @ kv2[:, :, :WIDTH].transpose(0, 2, 1)
-    s += np.where(BACK >= 0, w["near"][np.maximum(BACK, 0)], np.float32(-1e9))
-    s[~follows, :, :BLOCK] = -1e9
-    q, k = qkv[:, :, :WIDTH], qkv[:, :, WIDTH : 2 * WIDTH]
+    kv2[~follows, :BLOCK] = 0
+    p = q @ kv2[:, :, :WIDTH].transpose(0, 2, 1)
+    p += np.where(BACK >= 0, w["near"][np.maximum(BACK, 0)], kind.type(-1e9))
+    p[~follows, :, :BLOCK] = -1e9
+    k = qkv[:, :, WIDTH : 2 * WIDTH]
     most = math.sqrt(float(np.einsum("msd,msd->ms", q, q).max(initial=0)) * float(np.einsum("msd,msd->ms", k, k).max(initial=0))) + float(np.abs(w["near"]).max())
     if most > 60:  # else no score can overflow, nor can all of a row's vanish
-        s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    a = s @ kv2[:, :, WIDTH:]
-    a /= s.sum(axis=2, keepdims=True)
-    h = a.reshape(m * BLOCK, WIDTH) @ w["o"]
+        p -= p.max(axis=2, keepdims=True)
+    np.exp(p, out=p)
+    r = (1 / (p.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, dtype=kind)))[:, None]
+    a = (p @ kv2[:, :, WIDTH:]).reshape(-1, WIDTH)
+    a *= r
+    h = a @ w["o"]
     h += x
     np.tanh(h, out=h)
     z = h @ w["out"]
     z += w["bias"]
-    own = z[np.arange(len(z)), classes.ravel()]
-    top = z.max()  # tanh bounds z, so one shift for all is safe
-    np.exp(z - top, out=z)
-    return (own - top - np.log(z.sum(axis=1))).reshape(m, BLOCK)
+    z += prior
+    if float((np.abs(w["out"]).sum(axis=0) + np.abs(w["bias"])).max()) > 60:
+        z -= z.max(axis=1, keepdims=True)
+    own = z.ravel()[np.arange(classes.size) * CLASSES + classes.ravel()]
+    np.exp(z, out=z)
+    total = z @ np.ones(CLASSES, dtype=kind)
+    return {"x": x, "q": q, "kv2": kv2, "p": p, "r": r, "a": a, "h": h, "e": z, "total": total, "logp": (own - np.log(total)).reshape(classes.shape)}
 
 
 def backward(w: dict[str, np.ndarray], f: dict[str, np.ndarray], buckets: np.ndarray, follows: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
     """Gradients of the mean cross entropy over the counted positions."""
-    dz = np.exp(f["logp"])
-    i, j = np.indices(targets.shape)
-    dz[i, j, targets] -= 1
-    dz *= (counted / max(1, counted.sum())).astype(np.float32)[:, :, None]
-    flat_ = lambda x: x.reshape(-1, x.shape[-1])
-    g = {"out": flat_(f["h"]).T @ flat_(dz), "bias": dz.sum(axis=(0, 1))}
-    d = (dz @ w["out"].T) * (1 - f["h"] ** 2)
-    g["o"] = flat_(f["a"]).T @ flat_(d)
+    m, kind = len(buckets), w["out"].dtype
+    weight = (counted.ravel() / max(1, counted.sum())).astype(kind)
+    dz = f["e"]  # overwritten
+    dz *= (weight / f["total"])[:, None]
+    dz.ravel()[np.arange(targets.size) * CLASSES + targets.ravel()] -= weight
+    g = {"out": f["h"].T @ dz, "bias": np.ones(len(dz), dtype=kind) @ dz}
+    d = dz @ w["out"].T
+    d *= 1 - f["h"] ** 2
+    g["o"] = f["a"].T @ d
     da = d @ w["o"].T
-    dp, dv2 = da @ f["v2"].transpose(0, 2, 1), f["p"].transpose(0, 2, 1) @ da
-    ds = f["p"] * (dp - (dp * f["p"]).sum(axis=2, keepdims=True))
+    da *= f["r"]
+    own = np.einsum("ij,ij->i", da, f["a"]).reshape(m, BLOCK, 1)
+    da = da.reshape(m, BLOCK, WIDTH)
+    ds = da @ f["kv2"][:, :, WIDTH:].transpose(0, 2, 1)
+    ds -= own
+    ds *= f["p"]
     g["near"] = np.bincount(np.maximum(BACK, 0).ravel(), np.where(BACK >= 0, ds.sum(axis=0), 0).ravel(), minlength=2 * BLOCK)
-    ds = ds / np.float32(math.sqrt(WIDTH))
-    dq, dk2 = ds @ f["k2"], ds.transpose(0, 2, 1) @ f["q"]
-
-    def back(d2: np.ndarray) -> np.ndarray:
-        own, earlier = d2[:, BLOCK:].copy(), d2[:, :BLOCK] * follows[:, None, None]
-        own[:-1] += earlier[1:]
-        return own
-
-    dx = d.copy()
-    for name, grad in (("q", dq), ("k", back(dk2)), ("v", back(dv2))):
-        g[name] = flat_(f["x"]).T @ flat_(grad)
-        dx += grad @ w[name].T
+    dqkv = np.empty((m, BLOCK, 3 * WIDTH), dtype=kind)
+    np.matmul(ds, f["kv2"][:, :, :WIDTH], out=dqkv[:, :, :WIDTH])
+    dqkv[:, :, :WIDTH] *= kind.type(1 / math.sqrt(WIDTH))
+    for lo, d2 in ((WIDTH, ds.transpose(0, 2, 1) @ f["q"]), (2 * WIDTH, f["p"].transpose(0, 2, 1) @ da)):  # q is scaled already
+        dqkv[:, :, lo : lo + WIDTH] = d2[:, BLOCK:]
+        dqkv[:-1, :, lo : lo + WIDTH] += d2[1:, :BLOCK] * follows[1:, None, None]
+    dqkv = dqkv.reshape(-1, 3 * WIDTH)
+    both = f["x"].T @ dqkv
+    g["q"], g["k"], g["v"] = both[:, :WIDTH], both[:, WIDTH : 2 * WIDTH], both[:, 2 * WIDTH :]
+    d += dqkv @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
     cells = buckets.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
-    g["embed"] = np.bincount(cells.ravel(), dx.ravel(), minlength=BUCKETS * WIDTH).reshape(BUCKETS, WIDTH)
+    g["embed"] = np.zeros((BUCKETS, WIDTH), dtype=kind)
+    np.add.at(g["embed"].ravel(), cells.ravel(), d.ravel())
     return g
 
 
-def local_training(w: dict[str, np.ndarray], parts: Iterable[np.ndarray], words: Lexicon, seed: int) -> tuple[dict[str, np.ndarray], int]:
-    """Adam over parts of the windows (n x 2 * BLOCK + 1 ids, -1 beyond a text's end), and how many windows there were.
+def prior_of(words: Lexicon, classes: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """The prior's log-odds after the ids one and, before it, two."""
+    return np.take(classes, words.previous[one].ravel() * PREVIOUS + words.previous[two].ravel(), axis=0)
+
+
+def local_training(w: dict[str, np.ndarray], parts: Iterable[np.ndarray], words: Lexicon, classes: np.ndarray, seed: int) -> tuple[dict[str, np.ndarray], int]:
+    """Adam over parts of the windows (n x SPAN + 2 ids, -1 beyond a text's end), and how many windows there were.
 
     Every window is trained on; only windows for less than LEAST_STEPS are held and gone over again.
     """
@@ -278,12 +380,13 @@ def local_training(w: dict[str, np.ndarray], parts: Iterable[np.ndarray], words:
         order = rng.permutation(len(windows))
         for at in range(0, len(order), BATCH):
             ids = windows[order[at : at + BATCH]]
-            counted = (ids[:, 1:] >= 0).reshape(-1, BLOCK)
+            counted = (ids[:, 2:] >= 0).reshape(-1, BLOCK)
             safe = np.maximum(ids, 0)
-            buckets = words.bucket[safe[:, :-1]].reshape(-1, BLOCK)
-            targets = words.class_of[safe[:, 1:]].reshape(-1, BLOCK)
+            buckets = words.bucket[safe[:, 1:-1]].reshape(-1, BLOCK)
+            targets = words.class_of[safe[:, 2:]].reshape(-1, BLOCK)
             follows = np.arange(len(buckets)) % 2 == 1
-            g = backward(w, forward(w, buckets, follows), buckets, follows, targets, counted)
+            f = forward(w, buckets, follows, prior_of(words, classes, safe[:, 1:-1], safe[:, :-2]), targets)
+            g = backward(w, f, buckets, follows, targets, counted)
             t += 1
             for k in w:
                 m[k] += 0.1 * (g[k] - m[k])
@@ -302,35 +405,42 @@ def local_training(w: dict[str, np.ndarray], parts: Iterable[np.ndarray], words:
     return w, n
 
 
-def mixed_parts(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """The windows of the batches, about MIXED at a time."""
+def mixed_parts(batches: Iterable[pa.RecordBatch], turn: int) -> Iterator[np.ndarray]:
+    """A round's windows of the batches (turn, ids), about MIXED at a time."""
     held, n = [], 0
     for batch in batches:
-        if batch.num_rows:
-            held.append(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int32).reshape(-1, 2 * BLOCK + 1))
-            n += batch.num_rows
-        if n >= MIXED:
-            yield np.concatenate(held)
-            held, n = [], 0
+        if not batch.num_rows:
+            continue
+        ids, first = joined(batch.column(1))
+        text, j, place, sizes = stretches(ids, first, SPAN)
+        ours = np.flatnonzero((j + batch.column(0).to_numpy()[text]) % ROUNDS == turn)
+        for lo in range(0, len(ours), MIXED):
+            some = ours[lo : lo + MIXED]
+            held.append(spread(ids, place[some], sizes[some], SPAN))
+            n += len(some)
+            if n >= MIXED:
+                yield np.concatenate(held)
+                held, n = [], 0
     if held:
         yield np.concatenate(held)
 
 
-def train(windows: DataFrame, words: Lexicon) -> dict[str, np.ndarray]:
-    """Rounds of local training and averaging, weighted by windows.  windows: key (the round that takes it) and ids."""
+def train(texts: DataFrame, words: Lexicon, classes: np.ndarray) -> dict[str, np.ndarray]:
+    """Rounds of local training and averaging, weighted by windows.  texts: turn and ids."""
     w = fresh()
-    spark = windows.sparkSession
+    context = texts.sparkSession.sparkContext
+    fixed = context.broadcast((words, classes))
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((w, words, turn))
+        shared = context.broadcast((w, turn))
 
         def run(batches):
-            start, lexicon_, turn_ = shared.value
-            trained, n = local_training(start, mixed_parts(batches), lexicon_, turn_)
+            start, turn_ = shared.value
+            trained, n = local_training(start, mixed_parts(batches, turn_), *fixed.value, turn_)
             if n:
                 values = flat(trained).astype(np.float64) * n
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), float(n)))], names=["i", "wx", "weight"])
 
-        summed = windows.where(F.col("key") == turn).select("ids").mapInArrow(run, "i int, wx double, weight double").groupBy("i").agg((F.sum("wx") / F.sum("weight")).alias("x"))
+        summed = texts.mapInArrow(run, "i int, wx double, weight double").groupBy("i").agg((F.sum("wx") / F.sum("weight")).alias("x"))
         got = summed.toArrow()  # one row a weight
         if not got.num_rows:  # few windows: none for this round
             continue
@@ -341,49 +451,26 @@ def train(windows: DataFrame, words: Lexicon) -> dict[str, np.ndarray]:
 
 
 class Scorer:
-    def __init__(self, weights: dict[str, np.ndarray], words: Lexicon, path: str):
-        self.w, self.words, self.path = weights, words, path
-
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        """log10 probabilities of whole texts."""
-        out = np.zeros(len(texts))
-        held: list[tuple[int, np.ndarray]] = []
-        tokens = 0
-        for i, text in enumerate(texts):
-            ids = subwords(text, self.path)
-            held.append((i, ids))
-            tokens += len(ids)
-            if tokens >= AT_ONCE:
-                self._score(held, out)
-                held, tokens = [], 0
-        if held:
-            self._score(held, out)
-        return out / math.log(10)
-
-    def _score(self, held: list[tuple[int, np.ndarray]], out: np.ndarray) -> None:
-        sizes = [-(-(len(ids) - 1) // BLOCK) for _, ids in held]
-        inputs = np.zeros((sum(sizes), BLOCK), dtype=np.int32)
-        targets = np.full((sum(sizes), BLOCK), -1, dtype=np.int32)
-        follows = np.ones(len(inputs), dtype=bool)
-        at = 0
-        for (_, ids), size in zip(held, sizes, strict=True):
-            n = len(ids) - 1
-            inputs[at : at + size].reshape(-1)[:n] = ids[:-1]
-            targets[at : at + size].reshape(-1)[:n] = ids[1:]
-            follows[at] = False
-            at += size
-        owner = np.repeat([i for i, _ in held], sizes)
+    def __init__(self, weights: dict[str, np.ndarray], words: Lexicon, counted: Pairs):
+        self.w, self.words, self.counted = weights, words, counted
+
+    def __call__(self, column: pa.Array) -> np.ndarray:
+        """log10 probabilities of whole texts, given as their ids."""
+        ids, first = joined(column)
+        text, j, place, sizes = stretches(ids, first, BLOCK)
+        out = np.zeros(len(first))
         step = AT_ONCE // BLOCK
-        lo = 0
-        while lo < len(inputs):  # a very long text goes on from the block before the cut
-            a, b = max(0, lo - 1), min(len(inputs), lo + step)
-            flags = follows[a:b].copy()
-            flags[0] = False
-            y = targets[lo:b]
-            safe = np.maximum(targets[a:b], 0)
-            value = class_logs(self.w, self.words.bucket[inputs[a:b]], flags, self.words.class_of[safe])[lo - a :] + self.words.log_within[safe[lo - a :]]
-            out += np.bincount(owner[lo:b], np.where(y >= 0, value, 0.0).sum(axis=1), minlength=len(out))
-            lo = b
+        for lo in range(0, len(text), step):  # a text goes on from the block before the cut
+            a, b = max(0, lo - 1), min(len(text), lo + step)
+            block = spread(ids, place[a:b], sizes[a:b], BLOCK)
+            y, safe = block[lo - a :, 2:], np.maximum(block, 0)
+            follows = j[a:b] > 0
+            follows[0] = False
+            one = safe[:, 1:-1]
+            f = forward(self.w, self.words.bucket[one], follows, prior_of(self.words, self.counted.classes, one, safe[:, :-2]), self.words.class_of[safe[:, 2:]])
+            value = f["logp"][lo - a :] + self.counted.within[self.words.previous[one[lo - a :]], safe[lo - a :, 2:]]
+            out += np.bincount(text[lo:b], np.where(y >= 0, value, 0.0).sum(axis=1), minlength=len(out))
+        return out / math.log(10)
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, tokenizer: str | None = None) -> DataFrame:
@@ -402,14 +489,17 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     common.small_batches(spark)
     held = held_out if held_out is not None else F.lit(False)
     narrow = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    seen = common.stored(gather(narrow.where(~F.col("held_out")).select(F.col("doc_id").cast("string"), "text"), path))
-    counts = common.stored(seen.where(F.col("kind") == WORD).groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")))
+    texts = common.stored(cut(narrow, path))
+    learned = texts.where(~F.col("held_out"))
+    seen = common.stored(gather(learned.select("words", "ids")).groupBy("kind", "key").agg(F.sum("n").alias("n")))
+    counts = seen.where(F.col("kind") == WORD).select(F.col("key").alias("word"), F.col("n").alias("c"))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     tokens = np.zeros(VOCABULARY, dtype=np.int64)
-    for row in seen.where(F.col("kind") == TOKEN).groupBy("key").agg(F.sum("n").alias("n")).collect():  # at most VOCABULARY rows
+    for row in seen.where(F.col("kind") == TOKEN).collect():  # at most VOCABULARY rows
         tokens[row["key"]] = row["n"]
     words = lexicon(tokens)
-    weights = train(seen.where(F.col("kind") == WINDOW).select("key", "ids"), words)
+    counted = count_pairs(learned.select("ids"), words)
+    weights = train(learned.select("turn", "ids"), words, counted.classes)
 
     # the most frequent words: from the smallest count on that leaves no more than FREQUENT_WORDS
     by_size = counts.groupBy(F.floor(F.log2("c") * 16).alias("size")).agg(F.count("*").alias("words"), F.min("c").alias("least"))
@@ -422,7 +512,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     frequent = counts.where(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()
     keys = frequent["word"].to_numpy()
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], frequent["c"].to_numpy()[order], Scorer(weights, words, path)))
+    shared = spark.sparkContext.broadcast((keys[order], frequent["c"].to_numpy()[order], Scorer(weights, words, counted)))
 
     def run(batches):
         from pyspark import TaskContext
@@ -431,23 +521,27 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
         logs = np.log10(known + 1.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            cols: list[list] = [[] for _ in range(6)]
-            for text in texts:
-                found, times = np.unique(signed(np.append(word_hashes(text), END_WORD)), return_counts=True)
-                at = np.minimum(np.searchsorted(keys, found), max(0, len(keys) - 1))
-                hit = keys[at] == found if len(keys) else np.zeros(len(found), dtype=bool)
-                for col, value in zip(cols, (row, int(times.sum()), int(times[hit].sum()), float((times[hit] * logs[at[hit]]).sum()) if hit.any() else 0.0, found[~hit], times[~hit]), strict=True):
-                    col.append(value)
-                row += 1
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array(scorer(texts))], names=["doc_id", "held_out", "row", "n_tokens", "known", "logs", "rare", "times", "score"])
+            found, sizes = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy()
+            ends = np.cumsum(np.append(0, sizes))
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+                hit = keys[at] == found
+                log = np.where(hit, logs[at], 0.0)
+            else:
+                hit, log = np.zeros(len(found), dtype=bool), np.zeros(len(found))
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            rare_ends = np.append(0, np.cumsum(~hit))[ends]
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns[:2], pa.array(row + np.arange(len(sizes))), pa.array(sizes, pa.int64()), pa.array(np.bincount(owner, hit, minlength=len(sizes)).astype(np.int64)),
+                pa.array(np.bincount(owner, log, minlength=len(sizes))), pa.ListArray.from_arrays(pa.array(rare_ends, pa.int32()), pa.array(found[~hit])), pa.array(scorer(batch.column(3))),
+            ], names=["doc_id", "held_out", "row", "n_tokens", "known", "logs", "rare", "score"])
+            row += len(sizes)
 
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    scored = common.stored(narrow.mapInArrow(run, f"doc_id {id_type}, held_out boolean, row long, n_tokens long, known long, logs double, rare array<long>, times array<long>, score double"))
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
+    scored = common.stored(texts.select("doc_id", "held_out", "words", "ids").mapInArrow(run, f"doc_id {id_type}, held_out boolean, row long, n_tokens long, known long, logs double, rare array<long>, score double"))
+    rare = scored.select("row", F.explode("rare").alias("word"))
     fewer = counts.where(F.col("c") < least) if least is not None else counts
-    more = rare.join(fewer, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
+    more = rare.join(fewer, "word").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_logs"))
     logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
     return scored.drop("rare", "times").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

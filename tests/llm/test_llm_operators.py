@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -444,10 +445,11 @@ def test_attention_model():
     w = {k: rng.standard_normal(s) * 0.5 for k, s in lm_scoring.SHAPES.items()}
     b = lm_scoring.BLOCK
     x, y = rng.integers(0, lm_scoring.BUCKETS, (6, b)), rng.integers(0, lm_scoring.CLASSES, (6, b))
+    prior = rng.standard_normal((6 * b, lm_scoring.CLASSES))
     follows = np.array([False, True, True, False, True, True])
     counted = rng.random((6, b)) < 0.9
-    loss = lambda: -(np.take_along_axis(lm_scoring.forward(w, x, follows)["logp"], y[:, :, None], 2)[:, :, 0] * counted).sum() / counted.sum()
-    g = lm_scoring.backward(w, lm_scoring.forward(w, x, follows), x, follows, y, counted)
+    loss = lambda: -(lm_scoring.forward(w, x, follows, prior, y)["logp"] * counted).sum() / counted.sum()
+    g = lm_scoring.backward(w, lm_scoring.forward(w, x, follows, prior, y), x, follows, y, counted)
     for k in w:
         at = np.unravel_index(np.argmax(np.abs(g[k])), g[k].shape)
         up, e = w[k].copy(), 1e-5
@@ -456,61 +458,114 @@ def test_attention_model():
         w[k][at] -= 2 * e
         assert abs((high - loss()) / (2 * e) - g[k][at]) < 1e-5 * max(1, abs(g[k][at]))
         w[k] = up
-    w32 = {k: v.astype(np.float32) for k, v in w.items()}
-    full = np.take_along_axis(lm_scoring.forward(w32, x, follows)["logp"], y[:, :, None], 2)[:, :, 0]
-    assert np.abs(full - lm_scoring.class_logs(w32, x, follows, y)).max() < 1e-3
+    # position by position, written out
+    want = np.zeros((6, b))
+    for i in range(6):
+        for t in range(b):
+            seen = [(i, u) for u in range(t + 1)] + ([(i - 1, u) for u in range(b)] if follows[i] else [])
+            e = w["embed"][x[i, t]]
+            s = np.array([e @ w["q"] @ (w["embed"][x[u]] @ w["k"]) / math.sqrt(lm_scoring.WIDTH) + w["near"][(i - u[0]) * b + t - u[1]] for u in seen])
+            p = np.exp(s - s.max())
+            h = np.tanh(e + (p / p.sum()) @ np.stack([w["embed"][x[u]] @ w["v"] for u in seen]) @ w["o"])
+            z = h @ w["out"] + w["bias"] + prior[i * b + t]
+            want[i, t] = z[y[i, t]] - z.max() - np.log(np.exp(z - z.max()).sum())
+    assert np.allclose(lm_scoring.forward(w, x, follows, prior, y)["logp"], want)
+    big = {k: v * 12 for k, v in w.items()}  # scores and log-odds that would overflow without a shift
+    assert np.isfinite(lm_scoring.forward({k: v.astype(np.float32) for k, v in big.items()}, x, follows, prior.astype(np.float32), y)["p"]).all()
     # causal, and blind beyond the block before
     z = x.copy()
     z[2, 5:] = 0
     z[3:] = 0
-    assert np.allclose(lm_scoring.forward(w, z, follows)["logp"][2, :5], lm_scoring.forward(w, x, follows)["logp"][2, :5])
-    # classes and shares add up to 1
-    lex = lm_scoring.lexicon(rng.integers(0, 50, lm_scoring.VOCABULARY))
-    assert np.allclose(np.bincount(lex.class_of, np.exp(lex.log_within)), 1)
+    assert np.allclose(lm_scoring.forward(w, z, follows, prior, y)["logp"][2, :5], lm_scoring.forward(w, x, follows, prior, y)["logp"][2, :5])
 
 
-def test_all_windows_are_trained_on(spark, docs, none, monkeypatch):
-    """Every subword id of every training document is the target of one window, and each window is trained on once."""
+def lm_texts(rng: random.Random, n: int) -> list[str]:
+    """Texts of words in a fixed order, more or less, so that what comes before a word tells it."""
+    words = [f"w{i}x" for i in range(60)]
+    return [" ".join(words[(at + i) % 60] if rng.random() < 0.9 else rng.choice(words) for i in range(rng.randint(3, 90))) for at in (rng.randrange(60) for _ in range(n))]
+
+
+def lm_parts(texts):
     path = common.tokenizer_path("byte_bpe_50k.tiktoken")
-    narrow = docs.select(F.col("doc_id").cast("string"), "text")
-    seen = lm_scoring.gather(narrow, path).cache()
-    cut = seen.where(F.col("kind") == lm_scoring.WINDOW).collect()
-    want = Counter()
-    for r in docs.collect():
-        want.update(lm_scoring.subwords(r["text"], path)[1:].tolist())
-    got = Counter()
-    for r in cut:
-        got.update(i for i in np.frombuffer(r["ids"], np.int32)[1:].tolist() if i >= 0)
-    assert got == want and {r["key"] for r in cut} == set(range(lm_scoring.ROUNDS))
-    words = lm_scoring.lexicon(np.bincount(list(want.elements()), minlength=lm_scoring.VOCABULARY))
-    all_windows = np.stack([np.frombuffer(r["ids"], np.int32) for r in cut])
+    column = pa.array([lm_scoring.subwords(t, path).tobytes() for t in texts], pa.binary())
+    ids, first = lm_scoring.joined(column)
+    counts = Counter(i for t in texts for i in lm_scoring.subwords(t, path)[1:].tolist())
+    words = lm_scoring.lexicon(np.bincount(list(counts.elements()), minlength=lm_scoring.VOCABULARY))
+    tables = np.zeros(lm_scoring.PREVIOUS**2 * lm_scoring.CLASSES, np.int32), np.zeros(lm_scoring.PREVIOUS * lm_scoring.VOCABULARY, np.int32)
+    lm_scoring.add_pairs(*tables, ids, first, words)
+    return path, column, counts, words, tables
+
+
+def test_counted_pairs(spark):
+    texts = [*lm_texts(random.Random(3), 40), None, "", "x"]
+    path, column, counts, words, (of_class, of_id) = lm_parts(texts)
+    want_class, want_id = Counter(), Counter()
+    for t in texts:
+        ids = [lm_scoring.END_OF_TEXT, *lm_scoring.subwords(t, path).tolist()]
+        for two, one, y in zip(ids, ids[1:], ids[2:]):
+            want_class[words.previous[one], words.previous[two], words.class_of[y]] += 1
+            want_id[words.previous[one], y] += 1
+    at = np.unravel_index(np.flatnonzero(of_class), (lm_scoring.PREVIOUS, lm_scoring.PREVIOUS, lm_scoring.CLASSES))
+    assert dict(zip(zip(*(i.tolist() for i in at)), of_class[of_class > 0].tolist())) == dict(want_class)
+    at = np.unravel_index(np.flatnonzero(of_id), (lm_scoring.PREVIOUS, lm_scoring.VOCABULARY))
+    assert dict(zip(zip(*(i.tolist() for i in at)), of_id[of_id > 0].tolist())) == dict(want_id)
+    pairs = lm_scoring.pairs(of_class, of_id, words)
+    assert np.allclose(np.exp(pairs.classes[::97]).sum(axis=1), 1, atol=1e-4)  # both add up to 1
+    assert all(np.allclose(np.bincount(words.class_of, np.exp(row), minlength=64)[np.unique(words.class_of)], 1, atol=1e-4) for row in pairs.within[::51])
+    docs = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").repartition(5)
+    stored = lm_scoring.cut(docs, path).cache()
+    spread = lm_scoring.count_pairs(stored.select("ids"), words)
+    assert np.array_equal(spread.classes, pairs.classes) and np.allclose(spread.within, pairs.within)
+    seen = lm_scoring.gather(stored.select("words", "ids")).groupBy("kind").agg(F.sum("n").alias("n"))
+    assert {r["kind"]: r["n"] for r in seen.collect()} == {lm_scoring.WORD: sum(len((t or "").split()) + 1 for t in texts), lm_scoring.TOKEN: counts.total()}
+
+
+def test_all_windows_are_trained_on(spark, monkeypatch):
+    """Every subword id of every training document is the target of one window, and each window is trained on once."""
+    texts = [*lm_texts(random.Random(4), 40), None, ""]
+    path, column, want, words, tables = lm_parts(texts)
+    classes = lm_scoring.pairs(*tables, words).classes
+    batch = pa.RecordBatch.from_arrays([pa.array([i % 3 for i in range(len(texts))], pa.int32()), column], names=["turn", "ids"])
+    rounds = [list(lm_scoring.mixed_parts([batch, batch.slice(0, 0)], turn)) for turn in range(lm_scoring.ROUNDS)]
+    windows = np.concatenate([w for part in rounds for w in part])
+    assert all(rounds) and Counter(i for i in windows[:, 2:].ravel().tolist() if i >= 0) == want
     monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 0)
     steps = []
     backward = lm_scoring.backward
     monkeypatch.setattr(lm_scoring, "backward", lambda *a: steps.append(int(a[5].sum())) or backward(*a))
-    _, n = lm_scoring.local_training(lm_scoring.fresh(), np.array_split(all_windows, 5), words, 1)
-    assert n == len(cut) and sum(steps) == want.total()
+    _, n = lm_scoring.local_training(lm_scoring.fresh(), np.array_split(windows, 5), words, classes, 1)
+    assert n == len(windows) and sum(steps) == want.total()
     # one short text has one window, which reaches the model whatever its id
     monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 3)
     for i in range(2):
-        one = spark.createDataFrame([(str(i), "a b c")], "doc_id string, text string")
-        window = lm_scoring.gather(one, path).where(F.col("kind") == lm_scoring.WINDOW).select("key", "ids")
-        assert not np.array_equal(lm_scoring.train(window, words)["bias"], lm_scoring.fresh()["bias"])
-
-
-def test_scores_of_long_texts():
-    rng = random.Random(10)
-    path = common.tokenizer_path("byte_bpe_50k.tiktoken")
-    text = prose(rng, 800)
-    ids = lm_scoring.subwords(text, path)
-    lex = lm_scoring.lexicon(np.bincount(ids[1:], minlength=lm_scoring.VOCABULARY))
-    scorer = lm_scoring.Scorer(lm_scoring.fresh(), lex, path)
-    whole = scorer([text, None, "x"])
-    old, lm_scoring.AT_ONCE = lm_scoring.AT_ONCE, 5 * lm_scoring.BLOCK
-    try:
-        assert np.allclose(scorer([text, None, "x"]), whole, rtol=1e-4)
-    finally:
-        lm_scoring.AT_ONCE = old
+        one = lm_scoring.cut(spark.createDataFrame([(i, False, "a b c")], "doc_id long, held_out boolean, text string"), path)
+        assert not np.array_equal(lm_scoring.train(one.select("turn", "ids"), words, classes)["bias"], lm_scoring.fresh()["bias"])
+
+
+def test_scores_of_whole_texts(monkeypatch):
+    """Against one forward pass over each text, whatever is scored at a time."""
+    texts = [prose(random.Random(10), 800), None, "x", *lm_texts(random.Random(5), 9), ""]
+    path, column, _, words, tables = lm_parts(texts)
+    counted, rng = lm_scoring.pairs(*tables, words), np.random.default_rng(1)
+    w = {k: v + rng.standard_normal(v.shape).astype(np.float32) * np.float32(0.1) for k, v in lm_scoring.fresh().items()}
+    want = []
+    for t in texts:
+        ids = np.concatenate([[lm_scoring.END_OF_TEXT], lm_scoring.subwords(t, path)]).astype(int)
+        n = len(ids) - 2
+        padded = np.append(ids, np.zeros(-n % lm_scoring.BLOCK, int))
+        one, two, y = padded[1:-1], padded[:-2], padded[2:]
+        block = lambda v: v.reshape(-1, lm_scoring.BLOCK)
+        f = lm_scoring.forward(w, words.bucket[block(one)], np.arange(len(block(y))) > 0, lm_scoring.prior_of(words, counted.classes, one, two), words.class_of[block(y)])
+        want.append((f["logp"].ravel() + counted.within[words.previous[one], y])[:n].sum() / math.log(10))
+    for at_once in (lm_scoring.AT_ONCE, 5 * lm_scoring.BLOCK, lm_scoring.BLOCK):
+        monkeypatch.setattr(lm_scoring, "AT_ONCE", at_once)
+        assert np.allclose(lm_scoring.Scorer(w, words, counted)(column), want, rtol=1e-4)
+
+
+def test_model_beats_the_base_on_held_out_texts(spark):
+    docs = spark.createDataFrame(list(enumerate(lm_texts(random.Random(6), 400))), "doc_id long, text string")
+    got = lm_scoring.score(docs, held_out=common.crc_fold("doc_id", 7) == 2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
 
 
 def test_mixing(spark, docs, none):
