@@ -22,11 +22,13 @@ import math
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ WIDTH, CLASSES, BUCKETS, SHARED = 16, 64, 1024, 64
 PREVIOUS = 512
 #: Weights, in tokens, of the coarser distribution: of an id within its class, of a class after one id and after two.
 WITHIN_WEIGHT, ONE_WEIGHT, TWO_WEIGHT = 4, 8, 16
-#: Parts in which the counts of pairs are added up.
+#: Parts in which the counts of pairs are added up; they divide PREVIOUS.
 PARTS = 64
 ROUNDS, BATCH, STEP = 3, 64, 5e-3
 #: A task's training in a round goes over its windows once, or again and again up to so many steps.
@@ -61,6 +63,8 @@ END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 
 WORD, TOKEN = 0, 1
 SPAN = 2 * BLOCK
+#: Sizes of the tables of pairs: classes after two buckets, ids after one.
+TABLES = (PREVIOUS * PREVIOUS * CLASSES, PREVIOUS * VOCABULARY)
 
 
 def subwords(text: str | None, path: str) -> np.ndarray:
@@ -161,12 +165,13 @@ def gather(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Lexicon:
-    """Of each subword id: its embedding bucket, its bucket as an earlier id, its class, and its share of the class."""
+    """Of each subword id: its embedding bucket, its bucket as an earlier id, its class, and its share of the class; mass: classes' counts."""
 
     bucket: np.ndarray
     previous: np.ndarray
     class_of: np.ndarray
     share: np.ndarray
+    mass: np.ndarray
 
 
 def lexicon(counts: np.ndarray) -> Lexicon:
@@ -183,15 +188,56 @@ def lexicon(counts: np.ndarray) -> Lexicon:
 
     smooth = counts + 0.5
     total = np.bincount(class_of, smooth, minlength=CLASSES)
-    return Lexicon(buckets(BUCKETS), buckets(PREVIOUS), class_of, smooth / total[class_of])
+    return Lexicon(buckets(BUCKETS), buckets(PREVIOUS), class_of, smooth / total[class_of], total)
 
 
 @dataclass
 class Pairs:
-    """classes: log-odds of the classes after the buckets of two ids; within: the log of an id's share of its class after one."""
+    """The counted pairs, packed: each task that needs a table unpacks it once in its process, PREVIOUS / PARTS rows at a time."""
 
-    classes: np.ndarray
-    within: np.ndarray
+    words: Lexicon
+    packed: dict[tuple[int, int], bytes]
+
+    def __getstate__(self):
+        return {"words": self.words, "packed": self.packed}
+
+    def _counts(self, kind: int, part: int) -> np.ndarray:
+        size = TABLES[kind] // PARTS
+        packed = self.packed.get((kind, part))
+        return np.zeros(size, np.int64) if packed is None else unpack(packed, size, np.int64)
+
+    @cached_property
+    def classes(self) -> np.ndarray:
+        """Log-odds of the classes after the buckets of two ids (PREVIOUS * PREVIOUS x CLASSES)."""
+        rows = PREVIOUS // PARTS
+        out = np.empty((PARTS, rows, PREVIOUS, CLASSES), dtype=np.float32)
+        whole = self.words.mass + 0.5  # no class is impossible, not even one without ids
+        whole /= whole.sum()
+        for part in range(PARTS):
+            two = self._counts(0, part).reshape(rows, PREVIOUS, CLASSES)
+            one = two.sum(axis=1, keepdims=True)
+            coarse = (one + ONE_WEIGHT * whole) / (one.sum(axis=2, keepdims=True) + ONE_WEIGHT)
+            out[part] = np.log((two + TWO_WEIGHT * coarse) / (two.sum(axis=2, keepdims=True) + TWO_WEIGHT))
+        return out.reshape(-1, CLASSES)
+
+    @cached_property
+    def within(self) -> np.ndarray:
+        """The log of an id's share of its class after the bucket of one id (PREVIOUS x VOCABULARY)."""
+        rows = PREVIOUS // PARTS
+        out = np.empty((PREVIOUS, VOCABULARY), dtype=np.float32)
+        for part in range(PARTS):
+            for i, n in enumerate(self._counts(1, part).reshape(rows, VOCABULARY)):
+                of_class = np.bincount(self.words.class_of, n, minlength=CLASSES)
+                out[part * rows + i] = np.log((n + WITHIN_WEIGHT * self.words.share) / (of_class[self.words.class_of] + WITHIN_WEIGHT))
+        return out
+
+
+def pack(counts: np.ndarray) -> bytes:
+    return pa.compress(counts.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(packed: bytes, size: int, dtype) -> np.ndarray:
+    return np.frombuffer(pa.decompress(packed, size * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype=dtype)
 
 
 def add_pairs(of_class: np.ndarray, of_id: np.ndarray, ids: np.ndarray, first: np.ndarray, words: Lexicon) -> None:
@@ -207,59 +253,36 @@ def add_pairs(of_class: np.ndarray, of_id: np.ndarray, ids: np.ndarray, first: n
         np.add.at(of_id, one * VOCABULARY + y, np.int32(1))
 
 
-def pairs(of_class: np.ndarray, of_id: np.ndarray, words: Lexicon) -> Pairs:
-    """of_class: counts (PREVIOUS x PREVIOUS x CLASSES); of_id: counts (PREVIOUS x VOCABULARY)."""
-    classes = np.empty((PREVIOUS * PREVIOUS, CLASSES), dtype=np.float32)
-    within = np.empty((PREVIOUS, VOCABULARY), dtype=np.float32)
-    after_one = of_class.reshape(PREVIOUS, PREVIOUS, CLASSES).sum(axis=1).astype(np.float64)
-    whole = after_one.sum(axis=0) + 0.5
-    coarse = (after_one + ONE_WEIGHT * whole / whole.sum()) / (after_one.sum(axis=1, keepdims=True) + ONE_WEIGHT)
-    for b in range(PREVIOUS):  # a row at a time, in little memory
-        two = of_class.reshape(PREVIOUS, PREVIOUS, CLASSES)[b].astype(np.float64)
-        classes[b * PREVIOUS : (b + 1) * PREVIOUS] = np.log((two + TWO_WEIGHT * coarse[b]) / (two.sum(axis=1, keepdims=True) + TWO_WEIGHT))
-        within[b] = np.log((of_id.reshape(PREVIOUS, VOCABULARY)[b] + WITHIN_WEIGHT * words.share) / (after_one[b][words.class_of] + WITHIN_WEIGHT))
-    return Pairs(classes, within)
-
-
 def count_pairs(texts: DataFrame, words: Lexicon) -> Pairs:
     """Tasks count in tables of a fixed size, which are added up in parts.  texts: ids."""
-    sizes = (PREVIOUS * PREVIOUS * CLASSES, PREVIOUS * VOCABULARY)
-    bounds = [np.linspace(0, n, PARTS + 1).astype(np.int64) for n in sizes]
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
+    def rows(kind: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([pack(counts)], pa.binary())], names=["kind", "part", "n"])
+
     def run(batches):
-        tables = [np.zeros(n, dtype=np.int32) for n in sizes]
-        any_ = False
+        tables = None
         for batch in batches:
             if batch.num_rows:
+                tables = tables or [np.zeros(n, dtype=np.int32) for n in TABLES]
                 add_pairs(*tables, *joined(batch.column(0)), shared.value)
-                any_ = True
-        for kind in range(2 if any_ else 0):
-            for part in range(PARTS):
-                values = tables[kind][bounds[kind][part] : bounds[kind][part + 1]]
-                packed = pa.compress(values.tobytes(), codec="zstd", asbytes=True)
-                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["kind", "part", "n"])
-
-    def unpacked(packed, kind, part, dtype):
-        size = int(bounds[kind][part + 1] - bounds[kind][part])
-        return np.frombuffer(pa.decompress(packed, size * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype=dtype)
+        for kind, table in enumerate(tables or []):
+            for part, counts in enumerate(np.split(table, PARTS)):
+                if counts.any():
+                    yield rows(kind, part, counts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = key = None
+        kind = part = total = None
         for batch in batches:
             for kind, part, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                key = (kind, part)
-                values = unpacked(packed, kind, part, np.int32)
-                total = values.astype(np.int64) if total is None else total + values
-        if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([pa.compress(total.tobytes(), codec="zstd", asbytes=True)], pa.binary())], names=["kind", "part", "n"])
+                counts = unpack(packed, TABLES[kind] // PARTS, np.int32)
+                total = counts.astype(np.int64) if total is None else total + counts
+        if total is not None:
+            yield rows(kind, part, total)
 
     schema = "kind int, part int, n binary"
-    tables = [np.zeros(n, dtype=np.int64 if n < 1 << 20 else np.float32) for n in sizes]
-    for row in texts.mapInArrow(run, schema).groupBy("kind", "part").applyInArrow(add, schema).toArrow().to_pylist():  # 2 * PARTS rows
-        kind, part = row["kind"], row["part"]
-        tables[kind][bounds[kind][part] : bounds[kind][part + 1]] = unpacked(bytes(row["n"]), kind, part, np.int64)
-    return pairs(*tables, words)
+    got = texts.mapInArrow(run, schema).groupBy("kind", "part").applyInArrow(add, schema).toArrow()  # at most 2 * PARTS rows
+    return Pairs(words, {(r["kind"], r["part"]): r["n"] for r in got.to_pylist()})
 
 
 SHAPES = {"embed": (BUCKETS, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "near": (2 * BLOCK,), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
@@ -425,17 +448,16 @@ def mixed_parts(batches: Iterable[pa.RecordBatch], turn: int) -> Iterator[np.nda
         yield np.concatenate(held)
 
 
-def train(texts: DataFrame, words: Lexicon, classes: np.ndarray) -> dict[str, np.ndarray]:
+def train(texts: DataFrame, fixed: Broadcast[Pairs]) -> dict[str, np.ndarray]:
     """Rounds of local training and averaging, weighted by windows.  texts: turn and ids."""
     w = fresh()
     context = texts.sparkSession.sparkContext
-    fixed = context.broadcast((words, classes))
     for turn in range(ROUNDS):
         shared = context.broadcast((w, turn))
 
         def run(batches):
             start, turn_ = shared.value
-            trained, n = local_training(start, mixed_parts(batches, turn_), *fixed.value, turn_)
+            trained, n = local_training(start, mixed_parts(batches, turn_), fixed.value.words, fixed.value.classes, turn_)
             if n:
                 values = flat(trained).astype(np.float64) * n
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values), pa.array(np.full(len(values), float(n)))], names=["i", "wx", "weight"])
@@ -451,8 +473,8 @@ def train(texts: DataFrame, words: Lexicon, classes: np.ndarray) -> dict[str, np
 
 
 class Scorer:
-    def __init__(self, weights: dict[str, np.ndarray], words: Lexicon, counted: Pairs):
-        self.w, self.words, self.counted = weights, words, counted
+    def __init__(self, weights: dict[str, np.ndarray], counted: Pairs):
+        self.w, self.words, self.counted = weights, counted.words, counted
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         """log10 probabilities of whole texts, given as their ids."""
@@ -497,9 +519,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     tokens = np.zeros(VOCABULARY, dtype=np.int64)
     for row in seen.where(F.col("kind") == TOKEN).collect():  # at most VOCABULARY rows
         tokens[row["key"]] = row["n"]
-    words = lexicon(tokens)
-    counted = count_pairs(learned.select("ids"), words)
-    weights = train(learned.select("turn", "ids"), words, counted.classes)
+    counted = spark.sparkContext.broadcast(count_pairs(learned.select("ids"), lexicon(tokens)))
+    weights = train(learned.select("turn", "ids"), counted)
 
     # the most frequent words: from the smallest count on that leaves no more than FREQUENT_WORDS
     by_size = counts.groupBy(F.floor(F.log2("c") * 16).alias("size")).agg(F.count("*").alias("words"), F.min("c").alias("least"))
@@ -512,12 +533,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     frequent = counts.where(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()
     keys = frequent["word"].to_numpy()
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], frequent["c"].to_numpy()[order], Scorer(weights, words, counted)))
+    shared = spark.sparkContext.broadcast((keys[order], frequent["c"].to_numpy()[order], weights))
 
     def run(batches):
         from pyspark import TaskContext
 
-        keys, known, scorer = shared.value
+        keys, known, weights_ = shared.value
+        scorer = Scorer(weights_, counted.value)
         logs = np.log10(known + 1.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:

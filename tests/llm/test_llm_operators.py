@@ -491,14 +491,16 @@ def lm_parts(texts):
     ids, first = lm_scoring.joined(column)
     counts = Counter(i for t in texts for i in lm_scoring.subwords(t, path)[1:].tolist())
     words = lm_scoring.lexicon(np.bincount(list(counts.elements()), minlength=lm_scoring.VOCABULARY))
-    tables = np.zeros(lm_scoring.PREVIOUS**2 * lm_scoring.CLASSES, np.int32), np.zeros(lm_scoring.PREVIOUS * lm_scoring.VOCABULARY, np.int32)
+    tables = [np.zeros(n, np.int32) for n in lm_scoring.TABLES]
     lm_scoring.add_pairs(*tables, ids, first, words)
-    return path, column, counts, words, tables
+    packed = {(k, i): lm_scoring.pack(part.astype(np.int64)) for k, t in enumerate(tables) for i, part in enumerate(np.split(t, lm_scoring.PARTS)) if part.any()}
+    return path, column, counts, lm_scoring.Pairs(words, packed), tables
 
 
 def test_counted_pairs(spark):
     texts = [*lm_texts(random.Random(3), 40), None, "", "x"]
-    path, column, counts, words, (of_class, of_id) = lm_parts(texts)
+    path, column, counts, pairs, (of_class, of_id) = lm_parts(texts)
+    words = pairs.words
     want_class, want_id = Counter(), Counter()
     for t in texts:
         ids = [lm_scoring.END_OF_TEXT, *lm_scoring.subwords(t, path).tolist()]
@@ -509,13 +511,12 @@ def test_counted_pairs(spark):
     assert dict(zip(zip(*(i.tolist() for i in at)), of_class[of_class > 0].tolist())) == dict(want_class)
     at = np.unravel_index(np.flatnonzero(of_id), (lm_scoring.PREVIOUS, lm_scoring.VOCABULARY))
     assert dict(zip(zip(*(i.tolist() for i in at)), of_id[of_id > 0].tolist())) == dict(want_id)
-    pairs = lm_scoring.pairs(of_class, of_id, words)
     assert np.allclose(np.exp(pairs.classes[::97]).sum(axis=1), 1, atol=1e-4)  # both add up to 1
     assert all(np.allclose(np.bincount(words.class_of, np.exp(row), minlength=64)[np.unique(words.class_of)], 1, atol=1e-4) for row in pairs.within[::51])
     docs = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").repartition(5)
     stored = lm_scoring.cut(docs, path).cache()
     spread = lm_scoring.count_pairs(stored.select("ids"), words)
-    assert np.array_equal(spread.classes, pairs.classes) and np.allclose(spread.within, pairs.within)
+    assert np.array_equal(spread.classes, pairs.classes) and np.array_equal(spread.within, pairs.within)
     seen = lm_scoring.gather(stored.select("words", "ids")).groupBy("kind").agg(F.sum("n").alias("n"))
     assert {r["kind"]: r["n"] for r in seen.collect()} == {lm_scoring.WORD: sum(len((t or "").split()) + 1 for t in texts), lm_scoring.TOKEN: counts.total()}
 
@@ -523,8 +524,7 @@ def test_counted_pairs(spark):
 def test_all_windows_are_trained_on(spark, monkeypatch):
     """Every subword id of every training document is the target of one window, and each window is trained on once."""
     texts = [*lm_texts(random.Random(4), 40), None, ""]
-    path, column, want, words, tables = lm_parts(texts)
-    classes = lm_scoring.pairs(*tables, words).classes
+    path, column, want, pairs, _ = lm_parts(texts)
     batch = pa.RecordBatch.from_arrays([pa.array([i % 3 for i in range(len(texts))], pa.int32()), column], names=["turn", "ids"])
     rounds = [list(lm_scoring.mixed_parts([batch, batch.slice(0, 0)], turn)) for turn in range(lm_scoring.ROUNDS)]
     windows = np.concatenate([w for part in rounds for w in part])
@@ -533,20 +533,20 @@ def test_all_windows_are_trained_on(spark, monkeypatch):
     steps = []
     backward = lm_scoring.backward
     monkeypatch.setattr(lm_scoring, "backward", lambda *a: steps.append(int(a[5].sum())) or backward(*a))
-    _, n = lm_scoring.local_training(lm_scoring.fresh(), np.array_split(windows, 5), words, classes, 1)
+    _, n = lm_scoring.local_training(lm_scoring.fresh(), np.array_split(windows, 5), pairs.words, pairs.classes, 1)
     assert n == len(windows) and sum(steps) == want.total()
     # one short text has one window, which reaches the model whatever its id
     monkeypatch.setattr(lm_scoring, "LEAST_STEPS", 3)
     for i in range(2):
         one = lm_scoring.cut(spark.createDataFrame([(i, False, "a b c")], "doc_id long, held_out boolean, text string"), path)
-        assert not np.array_equal(lm_scoring.train(one.select("turn", "ids"), words, classes)["bias"], lm_scoring.fresh()["bias"])
+        assert not np.array_equal(lm_scoring.train(one.select("turn", "ids"), spark.sparkContext.broadcast(pairs))["bias"], lm_scoring.fresh()["bias"])
 
 
 def test_scores_of_whole_texts(monkeypatch):
     """Against one forward pass over each text, whatever is scored at a time."""
     texts = [prose(random.Random(10), 800), None, "x", *lm_texts(random.Random(5), 9), ""]
-    path, column, _, words, tables = lm_parts(texts)
-    counted, rng = lm_scoring.pairs(*tables, words), np.random.default_rng(1)
+    path, column, _, counted, _ = lm_parts(texts)
+    words, rng = counted.words, np.random.default_rng(1)
     w = {k: v + rng.standard_normal(v.shape).astype(np.float32) * np.float32(0.1) for k, v in lm_scoring.fresh().items()}
     want = []
     for t in texts:
@@ -559,7 +559,7 @@ def test_scores_of_whole_texts(monkeypatch):
         want.append((f["logp"].ravel() + counted.within[words.previous[one], y])[:n].sum() / math.log(10))
     for at_once in (lm_scoring.AT_ONCE, 5 * lm_scoring.BLOCK, lm_scoring.BLOCK):
         monkeypatch.setattr(lm_scoring, "AT_ONCE", at_once)
-        assert np.allclose(lm_scoring.Scorer(w, words, counted)(column), want, rtol=1e-4)
+        assert np.allclose(lm_scoring.Scorer(w, counted)(column), want, rtol=1e-4)
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
