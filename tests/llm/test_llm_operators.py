@@ -568,6 +568,13 @@ def test_model_beats_the_base_on_held_out_texts(spark):
     assert got[0] > got[1]
 
 
+def test_scores_with_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "a b"), (None, None), (3, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, held_out=F.lit(True)).collect()}
+    assert {i: (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for i, r in got.items()} == {1: (3, 0, 0, 0.0), None: (1, 0, 0, 0.0), 3: (1, 0, 0, 0.0)}
+    assert abs(got[3]["score"] + math.log10(lm_scoring.VOCABULARY)) < 1e-3 and got[None]["score"] == got[3]["score"] and got[1]["score"] < got[3]["score"]
+
+
 def test_mixing(spark, docs, none):
     from plumbline.llm.mixing import ORACLE_SQL
 
