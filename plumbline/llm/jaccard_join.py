@@ -19,6 +19,8 @@ members two sets do not share, so that pairs are dropped within the joins that w
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -190,7 +192,10 @@ class Join:
         return both.where(may_link("x", "y", self.share)).select("p.a", "p.b")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of sets, by fp, whose similarity reaches the threshold.  pairs: written, and possible()."""
+        """The pairs (a, b) of sets, by fp, whose similarity reaches the threshold.  pairs: written, and possible().
+
+        A set goes to its pairs as the text it comes from, compressed, which takes a third of the room of its members.
+        """
         num, den = self.share
         wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
         ids = common.stored(self.units.join(wanted, "fp", "left_semi").select(F.col("rep").alias("__rep")).distinct())
@@ -198,15 +203,28 @@ class Join:
         docs = docs.join(common.small_side(ids, 64), F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
         k = self.k
 
-        def run(batches):
+        def pack(batches):
             for batch in batches:
-                sets = [shingle_set(text, k) for text in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["fp", "members"])
+                texts = [text or "" for text in batch.column(1).to_pylist()]
+                fps = [xxhash.xxh3_128_digest(shingle_set(text, k).tobytes()) for text in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array([zlib.compress(text.encode(), 1) for text in texts], pa.binary())], names=["fp", "packed"])
 
-        sets = common.stored(docs.mapInArrow(run, "fp binary, members array<long>"))
-        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("members").alias("ma")), "a").join(sets.select(F.col("fp").alias("b"), F.col("members").alias("mb")), "b")
-        same = F.size(F.array_intersect("ma", "mb"))
-        return common.stored(both.where(same * (num + den) >= (F.size("ma") + F.size("mb")) * num).select("a", "b"))
+        def run(batches):
+            last, members = None, np.empty(0, np.uint64)
+            for batch in batches:
+                keep = []
+                for i, (b, pa_, pb) in enumerate(zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)):
+                    if b != last:  # the join sorts by b, so that most sets are made once a task
+                        last, members = b, shingle_set(zlib.decompress(pb).decode(), k)
+                    other = shingle_set(zlib.decompress(pa_).decode(), k)
+                    same = len(np.intersect1d(other, members, assume_unique=True))
+                    if same * (num + den) >= (len(other) + len(members)) * num:
+                        keep.append(i)
+                yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+        sets = common.stored(docs.mapInArrow(pack, "fp binary, packed binary"))
+        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("packed").alias("pa")), "a").join(sets.select(F.col("fp").alias("b"), F.col("packed").alias("pb")), "b")
+        return common.stored(both.select("a", "b", "pa", "pb").mapInArrow(run, "a binary, b binary"))
 
     def hubs(self, shared: DataFrame) -> DataFrame:
         """g1, g2: each shingle's groups with its most connected group.
