@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import ann, common, jaccard_join, kn_quality, langid, license_scan, lm_scoring, mixing, packing, pii, quality_rules
+from plumbline.llm import ann, common, jaccard_join, kn_quality, kn_shards, langid, license_scan, lm_scoring, mixing, packing, pii, quality_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, kind string, n long, copy int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -672,3 +672,38 @@ def test_kneser_ney_rejects_noise(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["kept"] for r in kn_quality.classify(df, df.where("doc_id < 200").select("doc_id")).collect()}
     assert sum(got[i] for i in range(200, 240)) >= 38 and not any(got[1000 + i] for i in range(20))
+
+
+@pytest.mark.parametrize("frequent", [1 << 21, 12, 0])
+def test_kneser_ney_in_parts(spark, docs, none, monkeypatch, frequent):
+    """Dealt out to parts, with common middle words in several of them and rare words joined, perplexities are those of the whole model."""
+    monkeypatch.setattr(kn_shards, "FREQUENT_WORDS", frequent)
+    monkeypatch.setattr(kn_shards, "ONE_WORD", 5)
+    monkeypatch.setattr(kn_shards, "MOST_HELD", 700)
+    rng = random.Random(15)
+    vocabulary = [prose(rng, 1) for _ in range(40)]
+    text = lambda n: " ".join(rng.choice(vocabulary[: rng.choice((2, 10, 40))]) for _ in range(n))
+    training = spark.createDataFrame([(text(rng.randint(0, 60)),) for _ in range(80)], "text string")
+    asked = docs.select("doc_id", "lang", "text").unionByName(spark.createDataFrame([(1000 + i, "xx", text(rng.randint(1, 90)) + " unheard of") for i in range(60)], "doc_id long, lang string, text string"))
+    rows = lambda df: sorted(((str(r["doc_id"]), str(r["lang"]), r["n_tokens"], r["perplexity"]) for r in df.collect()), key=str)
+    got, want = rows(kn_shards.score(asked, training, kn_shards.word_counts(training))), rows(kn_quality.score_by(asked, kn_quality.fit(training)))
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want], rtol=1e-4)
+    assert kn_shards.score(none.select("doc_id", "lang", "text"), training, kn_shards.word_counts(training)).count() == 0
+
+
+def test_all_trusted_documents_are_trained_on(spark, monkeypatch):
+    """The words of every trusted document, and of its whole text, are counted, not those of 3000 documents; the quantile is exact."""
+    rng = random.Random(16)
+    rows = [(i, prose(rng, 3) + f" only{i} " + prose(rng, 3), "xx") for i in range(8000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = []
+    real = kn_shards.word_counts
+    monkeypatch.setattr(kn_shards, "word_counts", lambda texts: seen.append({r[0] for r in texts.collect()}) or real(texts))
+    got = kn_quality.classify(df, df.select("doc_id"), quantile=0.9)
+    fold = {r[0]: r[1] for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(2))).collect()}
+    assert seen == [{t for i, t, _ in rows if not fold[i]}] and len(seen[0]) > 3500
+    others = sorted(r["perplexity"] for r in got.collect() if fold[r["doc_id"]])
+    assert {r["threshold"] for r in got.collect()} == {others[math.ceil(0.9 * len(others)) - 1]}
+    monkeypatch.setattr(kn_quality, "SENT_WORDS", 100)
+    parts = {r["doc_id"]: r["perplexity"] for r in kn_quality.classify(df, df.select("doc_id"), quantile=0.9).collect()}
+    assert all(abs(parts[r["doc_id"]] / r["perplexity"] - 1) < 1e-4 for r in got.collect())
