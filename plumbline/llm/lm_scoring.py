@@ -18,6 +18,7 @@ broadcast.
 
 from __future__ import annotations
 
+import ctypes
 import math
 from array import array
 from collections.abc import Iterable, Iterator
@@ -32,7 +33,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, packing, shingling
 from .packing import encoder
 from .shingling import word_hashes
 
@@ -58,6 +59,8 @@ MIXED = 1 << 14
 AT_ONCE = 1 << 11
 END_OF_TEXT = 50256
 VOCABULARY = 50257
+#: Bytes of an array from which its memory goes back to the system when it is freed, and of free memory that is kept.
+LARGE_ARRAY, KEPT_FREE = 4 << 20, 16 << 20
 #: The end of a text, as a word.
 END_WORD = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 
@@ -65,6 +68,25 @@ WORD, TOKEN = 0, 1
 SPAN = 2 * BLOCK
 #: Sizes of the tables of pairs: classes after two buckets, ids after one.
 TABLES = (PREVIOUS * PREVIOUS * CLASSES, PREVIOUS * VOCABULARY)
+#: Cells of the second table that are listed, at most; with more, all of it is held.
+MOST_CELLS = TABLES[1] // 8
+
+
+def settle() -> None:
+    """Frees what cutting left in this process, and has arrays of a batch use the same memory again.
+
+    glibc's own thresholds give it back after every array of some 100 kB: getting it anew takes longer than the arithmetic.
+    """
+    shingling._words.clear()
+    packing._encoders.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, LARGE_ARRAY)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, KEPT_FREE)  # M_TRIM_THRESHOLD
+        libc.malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def subwords(text: str | None, path: str) -> np.ndarray:
@@ -133,6 +155,7 @@ def gather(texts: DataFrame) -> DataFrame:
     """kind, key, n: partial counts of words and subword ids.  texts: words, ids."""
 
     def run(batches):
+        settle()
         words: list[np.ndarray] = []
         held = 0
         tokens = np.zeros(VOCABULARY, dtype=np.int64)
@@ -231,6 +254,37 @@ class Pairs:
                 out[part * rows + i] = np.log((n + WITHIN_WEIGHT * self.words.share) / (of_class[self.words.class_of] + WITHIN_WEIGHT))
         return out
 
+    @cached_property
+    def _cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Of within, the cells with a count and their values; what the others add up from, by id and by bucket and class. None: too many."""
+        rows = PREVIOUS // PARTS
+        keys, values, of_class, held = [], [], np.zeros((PREVIOUS, CLASSES)), 0
+        for part in range(PARTS):
+            counts = self._counts(1, part)
+            at = np.flatnonzero(counts)
+            held += len(at)
+            if held > MOST_CELLS:
+                return None
+            i, y, n = at // VOCABULARY + part * rows, at % VOCABULARY, counts[at]
+            np.add.at(of_class, (i, self.words.class_of[y]), n)
+            keys.append((i * VOCABULARY + y).astype(np.int32))
+            values.append(np.log((n + WITHIN_WEIGHT * self.words.share[y]) / (of_class[i, self.words.class_of[y]] + WITHIN_WEIGHT)).astype(np.float32))
+        by_id, by_class = np.log(WITHIN_WEIGHT * self.words.share), -np.log(of_class + WITHIN_WEIGHT)
+        return np.concatenate(keys), np.concatenate(values), by_id.astype(np.float32), by_class.astype(np.float32)
+
+    def within_of(self, previous: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """within[previous, ids], from the cells with a count where these are few."""
+        if self._cells is None:
+            return self.within[previous, ids]
+        keys, values, by_id, by_class = self._cells
+        out = by_id[ids] + by_class[previous, self.words.class_of[ids]]
+        if len(keys):
+            wanted = (previous * VOCABULARY + ids).astype(np.int32)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = keys[at] == wanted
+            out[hit] = values[at[hit]]
+        return out
+
 
 def pack(counts: np.ndarray) -> bytes:
     return pa.compress(counts.tobytes(), codec="zstd", asbytes=True)
@@ -240,8 +294,8 @@ def unpack(packed: bytes, size: int, dtype) -> np.ndarray:
     return np.frombuffer(pa.decompress(packed, size * np.dtype(dtype).itemsize, codec="zstd", asbytes=True), dtype=dtype)
 
 
-def add_pairs(of_class: np.ndarray, of_id: np.ndarray, ids: np.ndarray, first: np.ndarray, words: Lexicon) -> None:
-    """Counts classes after two ids and ids after one, over the targets of texts as joined() gives them."""
+def pair_places(ids: np.ndarray, first: np.ndarray, words: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places in the two tables: of classes after two ids and of ids after one, over the targets of texts as joined() gives them."""
     target = np.ones(len(ids), dtype=bool)
     target[0] = False
     target[first - 1] = False
@@ -249,8 +303,61 @@ def add_pairs(of_class: np.ndarray, of_id: np.ndarray, ids: np.ndarray, first: n
     for lo in range(0, len(at), 1 << 18):
         part = at[lo : lo + (1 << 18)]
         y, one = ids[part], words.previous[ids[part - 1]]
-        np.add.at(of_class, (one * PREVIOUS + words.previous[ids[part - 2]]) * CLASSES + words.class_of[y], np.int32(1))
-        np.add.at(of_id, one * VOCABULARY + y, np.int32(1))
+        yield (one * PREVIOUS + words.previous[ids[part - 2]]) * CLASSES + words.class_of[y], one * VOCABULARY + y
+
+
+def add_pairs(of_class: np.ndarray, of_id: np.ndarray, ids: np.ndarray, first: np.ndarray, words: Lexicon) -> None:
+    """Counts classes after two ids and ids after one in whole tables."""
+    for classes, cells in pair_places(ids, first, words):
+        np.add.at(of_class, classes, np.int32(1))
+        np.add.at(of_id, cells, np.int32(1))
+
+
+class Cells:
+    """Counts by place in the second table: the places with a count, or the whole table once they are more than MOST_CELLS."""
+
+    def __init__(self):
+        self.table: np.ndarray | None = None
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, places: np.ndarray) -> None:
+        if self.table is not None:
+            np.add.at(self.table, places, np.int32(1))
+            return
+        places = np.sort(places.astype(np.int32))
+        starts = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(places) else np.empty(0, np.int64)
+        self.held.append((places[starts], np.diff(np.append(starts, len(places))).astype(np.int32)))
+        self.size += len(starts)
+        if self.size > max(1 << 20, 2 * len(self.held[0][0])):
+            self._merge()
+
+    def _merge(self) -> None:
+        both = np.concatenate([(p.astype(np.int64) << 32) | n for p, n in self.held])
+        both.sort()
+        places, n = (both >> 32).astype(np.int32), (both & 0xFFFFFFFF).astype(np.int64)
+        starts = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(places) else np.empty(0, np.int64)
+        places, n = places[starts], np.add.reduceat(n, starts).astype(np.int32) if len(starts) else n.astype(np.int32)
+        self.held, self.size = [(places, n)], len(places)
+        if self.size > MOST_CELLS:
+            self.table = np.zeros(TABLES[1], dtype=np.int32)
+            self.table[places] = n
+            self.held = []
+
+    def parts(self) -> Iterator[np.ndarray]:
+        """The table in PARTS parts."""
+        if self.table is None and self.held:
+            self._merge()
+        size = TABLES[1] // PARTS
+        if self.table is not None:
+            yield from np.split(self.table, PARTS)
+            return
+        places, n = self.held[0] if self.held else (np.empty(0, np.int32), np.empty(0, np.int32))
+        cuts = np.searchsorted(places, np.arange(PARTS + 1) * size)
+        for part in range(PARTS):
+            out = np.zeros(size, dtype=np.int32)
+            out[places[cuts[part] : cuts[part + 1]] - part * size] = n[cuts[part] : cuts[part + 1]]
+            yield out
 
 
 def count_pairs(texts: DataFrame, words: Lexicon) -> Pairs:
@@ -261,15 +368,19 @@ def count_pairs(texts: DataFrame, words: Lexicon) -> Pairs:
         return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([pack(counts)], pa.binary())], names=["kind", "part", "n"])
 
     def run(batches):
-        tables = None
+        settle()
+        of_class, of_id = None, Cells()
         for batch in batches:
             if batch.num_rows:
-                tables = tables or [np.zeros(n, dtype=np.int32) for n in TABLES]
-                add_pairs(*tables, *joined(batch.column(0)), shared.value)
-        for kind, table in enumerate(tables or []):
-            for part, counts in enumerate(np.split(table, PARTS)):
-                if counts.any():
-                    yield rows(kind, part, counts)
+                of_class = np.zeros(TABLES[0], dtype=np.int32) if of_class is None else of_class
+                for classes, cells in pair_places(*joined(batch.column(0)), shared.value):
+                    np.add.at(of_class, classes, np.int32(1))
+                    of_id.add(cells)
+        if of_class is not None:
+            for kind, parts in enumerate((np.split(of_class, PARTS), of_id.parts())):
+                for part, counts in enumerate(parts):
+                    if counts.any():
+                        yield rows(kind, part, counts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = part = total = None
@@ -456,6 +567,7 @@ def train(texts: DataFrame, fixed: Broadcast[Pairs]) -> dict[str, np.ndarray]:
         shared = context.broadcast((w, turn))
 
         def run(batches):
+            settle()
             start, turn_ = shared.value
             trained, n = local_training(start, mixed_parts(batches, turn_), fixed.value.words, fixed.value.classes, turn_)
             if n:
@@ -490,7 +602,7 @@ class Scorer:
             follows[0] = False
             one = safe[:, 1:-1]
             f = forward(self.w, self.words.bucket[one], follows, prior_of(self.words, self.counted.classes, one, safe[:, :-2]), self.words.class_of[safe[:, 2:]])
-            value = f["logp"][lo - a :] + self.counted.within[self.words.previous[one[lo - a :]], safe[lo - a :, 2:]]
+            value = f["logp"][lo - a :] + self.counted.within_of(self.words.previous[one[lo - a :]], safe[lo - a :, 2:])
             out += np.bincount(text[lo:b], np.where(y >= 0, value, 0.0).sum(axis=1), minlength=len(out))
         return out / math.log(10)
 
@@ -538,6 +650,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     def run(batches):
         from pyspark import TaskContext
 
+        settle()
         keys, known, weights_ = shared.value
         scorer = Scorer(weights_, counted.value)
         logs = np.log10(known + 1.0)

@@ -562,6 +562,25 @@ def test_scores_of_whole_texts(monkeypatch):
         assert np.allclose(lm_scoring.Scorer(w, counted)(column), want, rtol=1e-4)
 
 
+@pytest.mark.parametrize("most", [lm_scoring.MOST_CELLS, 30])
+def test_counted_pairs_take_the_memory_of_cells_with_a_count(monkeypatch, most):
+    """Scores need no whole table of ids after buckets where few of its cells have a count."""
+    texts = [prose(random.Random(17), 400), *lm_texts(random.Random(18), 30)]
+    _, column, _, counted, (_, of_id) = lm_parts(texts)
+    monkeypatch.setattr(lm_scoring, "MOST_CELLS", most)
+    cells = lm_scoring.Cells()
+    places = np.repeat(np.arange(len(of_id)), of_id)
+    for some in np.array_split(np.random.default_rng(2).permutation(places), 7):
+        cells.add(some)
+        cells._merge() if cells.table is None else None
+    assert np.array_equal(np.concatenate(list(cells.parts())), of_id) and (cells.table is None) == (most > 30)
+    assert not any(part.any() for part in lm_scoring.Cells().parts())
+    lm_scoring.Scorer(lm_scoring.fresh(), counted)(column)
+    assert ("within" in vars(counted)) == (most == 30)
+    previous, ids = np.divmod(np.concatenate([np.flatnonzero(of_id), np.arange(0, len(of_id), 997)]), lm_scoring.VOCABULARY)
+    assert np.allclose(counted.within_of(previous, ids), counted.within[previous, ids], atol=1e-5)
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     docs = spark.createDataFrame(list(enumerate(lm_texts(random.Random(6), 400))), "doc_id long, text string")
     got = lm_scoring.score(docs, held_out=common.crc_fold("doc_id", 7) == 2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
