@@ -255,8 +255,8 @@ class Pairs:
         return out
 
     @cached_property
-    def _cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-        """Of within, the cells with a count and their values; what the others add up from, by id and by bucket and class. None: too many."""
+    def _cells(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """Of within, a bit for every cell with a count, how many come before each 64 bits, and their values; what the others add up from, by id and by bucket and class. None: too many."""
         rows = PREVIOUS // PARTS
         keys, values, of_class, held = [], [], np.zeros((PREVIOUS, CLASSES)), 0
         for part in range(PARTS):
@@ -267,23 +267,29 @@ class Pairs:
                 return None
             i, y, n = at // VOCABULARY + part * rows, at % VOCABULARY, counts[at]
             np.add.at(of_class, (i, self.words.class_of[y]), n)
-            keys.append((i * VOCABULARY + y).astype(np.int32))
+            keys.append(i * VOCABULARY + y)
             values.append(np.log((n + WITHIN_WEIGHT * self.words.share[y]) / (of_class[i, self.words.class_of[y]] + WITHIN_WEIGHT)).astype(np.float32))
         by_id, by_class = np.log(WITHIN_WEIGHT * self.words.share), -np.log(of_class + WITHIN_WEIGHT)
-        return np.concatenate(keys), np.concatenate(values), by_id.astype(np.float32), by_class.astype(np.float32)
+        bits = np.zeros(TABLES[1] // 64 + 1, dtype=np.uint64)
+        for at in keys:
+            np.bitwise_or.at(bits, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        ones = np.bitwise_count(bits).astype(np.int32)
+        return bits, np.cumsum(ones, dtype=np.int32) - ones, np.concatenate(values), by_id.astype(np.float32), by_class.ravel().astype(np.float32)
 
     def within_of(self, previous: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """within[previous, ids], from the cells with a count where these are few."""
         if self._cells is None:
             return self.within[previous, ids]
-        keys, values, by_id, by_class = self._cells
-        out = by_id[ids] + by_class[previous, self.words.class_of[ids]]
-        if len(keys):
-            wanted = (previous * VOCABULARY + ids).astype(np.int32)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = keys[at] == wanted
-            out[hit] = values[at[hit]]
-        return out
+        bits, before, values, by_id, by_class = self._cells
+        place = previous.ravel().astype(np.int64) * VOCABULARY + ids.ravel()
+        word, bit = bits[place >> 6], np.uint64(1) << (place & 63).astype(np.uint64)
+        hit = (word & bit) != 0
+        out = np.empty(len(place), dtype=np.float32)
+        out[hit] = values[before[place[hit] >> 6] + np.bitwise_count(word[hit] & (bit[hit] - np.uint64(1)))]
+        miss = np.flatnonzero(~hit)
+        y = ids.ravel()[miss]
+        out[miss] = by_id[y] + by_class[previous.ravel()[miss].astype(np.int64) * CLASSES + self.words.class_of[y]]
+        return out.reshape(ids.shape)
 
 
 def pack(counts: np.ndarray) -> bytes:
@@ -411,11 +417,11 @@ def flat(weights: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([weights[k].ravel() for k in SHAPES])
 
 
-def unflat(values: np.ndarray) -> dict[str, np.ndarray]:
+def unflat(values: np.ndarray, copy: bool = True) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k], at = values[at : at + n].reshape(s).astype(np.float32), at + n
+        out[k], at = values[at : at + n].reshape(s).astype(np.float32, copy=copy), at + n
     return out
 
 
@@ -481,9 +487,12 @@ def backward(w: dict[str, np.ndarray], f: dict[str, np.ndarray], buckets: np.nda
     dqkv = np.empty((m, BLOCK, 3 * WIDTH), dtype=kind)
     np.matmul(ds, f["kv2"][:, :, :WIDTH], out=dqkv[:, :, :WIDTH])
     dqkv[:, :, :WIDTH] *= kind.type(1 / math.sqrt(WIDTH))
-    for lo, d2 in ((WIDTH, ds.transpose(0, 2, 1) @ f["q"]), (2 * WIDTH, f["p"].transpose(0, 2, 1) @ da)):  # q is scaled already
-        dqkv[:, :, lo : lo + WIDTH] = d2[:, BLOCK:]
-        dqkv[:-1, :, lo : lo + WIDTH] += d2[1:, :BLOCK] * follows[1:, None, None]
+    dkv2 = np.empty((m, 2 * BLOCK, 2 * WIDTH), dtype=kind)
+    np.matmul(ds.transpose(0, 2, 1), f["q"], out=dkv2[:, :, :WIDTH])  # q is scaled already
+    np.matmul(f["p"].transpose(0, 2, 1), da, out=dkv2[:, :, WIDTH:])
+    dkv2[~follows, :BLOCK] = 0
+    dqkv[:, :, WIDTH:] = dkv2[:, BLOCK:]
+    dqkv[:-1, :, WIDTH:] += dkv2[1:, :BLOCK]
     dqkv = dqkv.reshape(-1, 3 * WIDTH)
     both = f["x"].T @ dqkv
     g["q"], g["k"], g["v"] = both[:, :WIDTH], both[:, WIDTH : 2 * WIDTH], both[:, 2 * WIDTH :]
@@ -505,8 +514,9 @@ def local_training(w: dict[str, np.ndarray], parts: Iterable[np.ndarray], words:
     Every window is trained on; only windows for less than LEAST_STEPS are held and gone over again.
     """
     rng = np.random.default_rng(seed)
-    w = {k: v.copy() for k, v in w.items()}
-    m, s = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}
+    values = flat(w)
+    w = unflat(values, copy=False)
+    m, s = np.zeros_like(values), np.zeros_like(values)
     t = n = 0
 
     def go_over(windows: np.ndarray) -> None:
@@ -522,10 +532,18 @@ def local_training(w: dict[str, np.ndarray], parts: Iterable[np.ndarray], words:
             f = forward(w, buckets, follows, prior_of(words, classes, safe[:, 1:-1], safe[:, :-2]), targets)
             g = backward(w, f, buckets, follows, targets, counted)
             t += 1
-            for k in w:
-                m[k] += 0.1 * (g[k] - m[k])
-                s[k] += 0.01 * (g[k] ** 2 - s[k])
-                w[k] -= (STEP * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            step = flat(g).astype(np.float32, copy=False)
+            m[:] += np.float32(0.1) * (step - m)
+            step *= step
+            step -= s
+            step *= np.float32(0.01)
+            s[:] += step
+            np.sqrt(s, out=step)
+            step *= np.float32(1 / math.sqrt(1 - 0.99**t))
+            step += np.float32(1e-8)
+            np.divide(m, step, out=step)
+            step *= np.float32(STEP / (1 - 0.9**t))
+            values[:] -= step
 
     few: list[np.ndarray] = []
     for windows in parts:
@@ -607,6 +625,30 @@ class Scorer:
         return out / math.log(10)
 
 
+class Places:
+    """Places of keys among sorted keys that are spread evenly, as hashes are: a table by their first bits leads to them."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.shift = 64 - max(1, int(len(keys)).bit_length())
+        edges = np.arange(1 << (64 - self.shift), dtype=np.int64) - (1 << (63 - self.shift))
+        self.start = np.append(np.searchsorted(keys >> self.shift, edges), len(keys)).astype(np.int32)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        """-1: not among them."""
+        out = np.full(len(wanted), -1, dtype=np.int32)
+        first = (wanted >> self.shift) + (1 << (63 - self.shift))
+        at, end = self.start[first], self.start[first + 1]
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], wanted[left]
+        while len(left):
+            hit = self.keys[at] == wanted
+            out[left[hit]] = at[hit]
+            on = ~hit & (at + 1 < end)
+            left, at, end, wanted = left[on], at[on] + 1, end[on], wanted[on]
+        return out
+
+
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, tokenizer: str | None = None) -> DataFrame:
     """Every document's log10 probabilities under the base and the model, learned from the documents not held out.
 
@@ -653,17 +695,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
         settle()
         keys, known, weights_ = shared.value
         scorer = Scorer(weights_, counted.value)
-        logs = np.log10(known + 1.0)
+        places, logs = Places(keys), np.append(np.log10(known + 1.0), 0.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             found, sizes = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy()
             ends = np.cumsum(np.append(0, sizes))
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
-                hit = keys[at] == found
-                log = np.where(hit, logs[at], 0.0)
-            else:
-                hit, log = np.zeros(len(found), dtype=bool), np.zeros(len(found))
+            at = places(found)
+            hit, log = at >= 0, logs[at]
             owner = np.repeat(np.arange(len(sizes)), sizes)
             rare_ends = np.append(0, np.cumsum(~hit))[ends]
             yield pa.RecordBatch.from_arrays([

@@ -581,6 +581,15 @@ def test_counted_pairs_take_the_memory_of_cells_with_a_count(monkeypatch, most):
     assert np.allclose(counted.within_of(previous, ids), counted.within[previous, ids], atol=1e-5)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_places_of_words(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.append(rng.integers(-(1 << 63), (1 << 63) - 1, n), np.array([5, 6, -(1 << 63), (1 << 63) - 1][:n], np.int64)))
+    wanted = rng.permutation(np.concatenate([keys, keys, rng.integers(-(1 << 63), (1 << 63) - 1, 500), [5, 6, 7, 0, -1, -(1 << 63), (1 << 63) - 1]]))
+    at = {k: i for i, k in enumerate(keys.tolist())}
+    assert lm_scoring.Places(keys)(wanted).tolist() == [at.get(k, -1) for k in wanted.tolist()]
+
+
 def test_model_beats_the_base_on_held_out_texts(spark):
     docs = spark.createDataFrame(list(enumerate(lm_texts(random.Random(6), 400))), "doc_id long, text string")
     got = lm_scoring.score(docs, held_out=common.crc_fold("doc_id", 7) == 2).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
