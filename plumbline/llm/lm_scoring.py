@@ -20,10 +20,12 @@ from __future__ import annotations
 
 import ctypes
 import math
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,10 @@ from .shingling import word_hashes
 
 #: Words whose counts are sent to every task, at most.
 FREQUENT_WORDS = 1 << 19
+#: Bytes of texts whose words are looked up at a time, about.
+LOOKED_UP_BYTES = 8 << 20
+#: Stand before a text's first word and at its end; texts with such characters are not cut word by word.
+FIRST, LAST = b"\t", b"\r"
 #: Words that a task holds before it counts them.
 MOST_HELD = 4_000_000
 #: Tokens of a block; a token sees its block and the one before.
@@ -55,8 +61,10 @@ ROUNDS, BATCH, STEP = 3, 64, 5e-3
 LEAST_STEPS = 150
 #: Windows that a task holds, and brings into random order, at a time.
 MIXED = 1 << 14
+#: Batches whose ids are looked up at a time.
+LOOKED_UP = 16
 #: Tokens that are scored at a time; what they need fits a core's cache.
-AT_ONCE = 1 << 11
+AT_ONCE = 1 << 12
 END_OF_TEXT = 50256
 VOCABULARY = 50257
 #: Bytes of an array from which its memory goes back to the system when it is freed, and of free memory that is kept.
@@ -78,6 +86,7 @@ def settle() -> None:
     glibc's own thresholds give it back after every array of some 100 kB: getting it anew takes longer than the arithmetic.
     """
     shingling._words.clear()
+    _words.clear()
     packing._encoders.clear()
     pa.default_memory_pool().release_unused()
     try:
@@ -98,30 +107,133 @@ def subwords(text: str | None, path: str) -> np.ndarray:
     return np.frombuffer(ids, dtype=np.uint16)
 
 
-def signed(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values, dtype=np.uint64).view(np.int64)
+class Words(dict):
+    """Numbers of words by what stands before them, and of each number the word's hash and its subword ids.
+
+    The split rule begins a new piece at a single space and at a single line feed, so where only these part a text's words,
+    its ids are those of its words one after another.  A key is the word after the space or the line feed before it, or
+    after FIRST at the beginning; LAST, alone, is the end of a text: its ids are that end and the beginning of the next.
+    """
+
+    def __init__(self, path: str):
+        self.path, self.encode = path, encoder(path)
+        self.runs = re.compile(r"\s\s")
+        self.line_feed = self.encode("\n")
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self[LAST] = 0
+        self.hashes, self.ids = np.array([END_WORD]), np.array([END_OF_TEXT, END_OF_TEXT], dtype=np.uint16)
+        self.start, self.size = np.zeros(1, np.int64), np.full(1, 2)
+
+    def plain(self, text: str | None) -> bytes | None:
+        """The text with A-Z lower-cased; None if other white space parts words, or its ids are not to be had word by word."""
+        if not text or not isinstance(self.encode, packing.Encoder) or len(self.line_feed) != 1 or text[0].isspace() or text[-1].isspace():
+            return None
+        low = text.encode().translate(common.LOWER_TABLE)
+        if b"\t" in low or b"\r" in low or b"\v" in low or b"\f" in low:
+            return None
+        if low.isascii():
+            return None if b"  " in low or b" \n" in low or b"\n " in low or b"\n\n" in low else low
+        return None if self.runs.search(text) else low
+
+    def learn(self, keys: list[bytes]) -> None:
+        """Hashes and ids of keys met for the first time, from one text of all of them, parted by line feeds."""
+        self.update(zip(keys, range(len(self), len(self) + len(keys)), strict=True))
+        words = [k[1:] for k in keys]
+        before = np.frombuffer(b"".join([k[:1] for k in keys]), dtype=np.uint8)
+        ids = np.array(self.encode(b"\n".join([k if k[0] == 32 else k[1:] for k in keys]).decode()), dtype=np.uint16)
+        ends = np.append(np.flatnonzero(ids == self.line_feed[0]), len(ids))
+        if len(ends) != len(words):
+            raise ValueError("the tokenizer does not part words at line feeds")
+        feed = before == 10  # the line feed that parts such a word from the one before is its first id; others go
+        kept = np.ones(len(ids) + 1, dtype=bool)
+        kept[0], kept[ends[:-1] + 1] = feed[0], feed[1:]
+        size = np.diff(ends, prepend=-1) - 1 + feed
+        self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
+        self.size = np.append(self.size, size)
+        self.ids = np.append(self.ids, np.append(np.uint16(self.line_feed[0]), ids)[kept])
+        self.hashes = np.append(self.hashes, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+
+    def numbers(self, low: list[bytes]) -> np.ndarray:
+        """Of the words of plain texts, one after another; each distinct key is looked up once."""
+        joined = b"".join(x for text in low for x in (FIRST, text, LAST))
+        at = np.frombuffer(joined, dtype=np.uint8)
+        starts = np.flatnonzero((at == 32) | (at == 10) | (at == FIRST[0]) | (at == LAST[0]))
+        offsets = np.append(starts, len(at)).astype(np.int32)
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined)]).dictionary_encode()
+        keys = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = np.fromiter(map(self.get, keys, repeat(-1)), np.int64, len(keys))
+        fresh = np.flatnonzero(found < 0)
+        if len(fresh):
+            found[fresh] = np.arange(len(self), len(self) + len(fresh))
+            self.learn([keys[i] for i in fresh.tolist()])
+        return found.take(coded.indices.to_numpy())
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """Of each text the hashes of its words, the end last, and its ids as subwords() gives them."""
+        words, ids, low, which = [b""] * len(texts), [b""] * len(texts), [], []
+
+        def flush():
+            number = self.numbers(low)
+            last = np.append(-1, np.flatnonzero(number == 0)) + 1
+            for lo in range(0, len(which), 32):  # arrays that fit a core's cache
+                edges = last[lo : lo + 33]
+                some = number[edges[0] : edges[-1]]
+                hashes, size = self.hashes.take(some).tobytes(), self.size.take(some)
+                ends = np.cumsum(size)
+                flat = np.full(ends[-1] + 1, END_OF_TEXT, dtype=np.uint16)
+                self.ids.take(np.repeat(self.start.take(some) - ends + size, size) + np.arange(ends[-1]), out=flat[1:], mode="clip")
+                flat, edges = flat.tobytes(), edges - edges[0]
+                cuts = np.append(0, ends)[edges].tolist()
+                for i, a, b, c, d in zip(which[lo : lo + 32], edges[:-1].tolist(), edges[1:].tolist(), cuts[:-1], cuts[1:], strict=True):
+                    words[i], ids[i] = hashes[8 * a : 8 * b], flat[2 * c : 2 * d]
+            low.clear()
+            which.clear()
+            if len(self) > shingling.MOST_WORDS:
+                self.reset()
+
+        held = 0
+        for i, text in enumerate(texts):
+            found = self.plain(text)
+            if found is None:
+                words[i], ids[i] = np.append(word_hashes(text), END_WORD).tobytes(), subwords(text, self.path).tobytes()
+                continue
+            low.append(found)
+            which.append(i)
+            held += len(found)
+            if held > LOOKED_UP_BYTES:
+                flush()
+                held = 0
+        if low:
+            flush()
+        return words, ids
+
+
+_words: dict[str, Words] = {}
 
 
 def cut(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, held_out, turn (the round of a text's first window), words (hashes, the end last) and ids (16 bits each).
+    """doc_id, held_out, turn (the round of a text's first window), words (hashes of 64 bits each, the end last) and ids (16 bits each).
 
     docs: doc_id, held_out, text.
     """
 
     def run(batches):
+        if path not in _words:
+            _words[path] = Words(path)
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            words = [np.append(word_hashes(text), END_WORD) for text in texts]
-            ends = np.cumsum([0, *map(len, words)])
-            if ends[-1] >= 1 << 31:
-                raise ValueError("a batch of texts has more than 2^31 words: lower spark.sql.execution.arrow.maxRecordsPerBatch")
-            flat_words = signed(np.concatenate(words)) if words else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1), pa.array([xxhash.xxh3_64_intdigest(str(d)) % ROUNDS for d in doc_ids], pa.int32()),
-                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat_words)), pa.array([subwords(text, path).tobytes() for text in texts], pa.binary()),
-            ], names=["doc_id", "held_out", "turn", "words", "ids"])
+            words, ids = _words[path](batch.column(2).to_pylist())
+            turns = [xxhash.xxh3_64_intdigest(str(d)) % ROUNDS for d in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(turns, pa.int32()), pa.array(words, pa.binary()), pa.array(ids, pa.binary())], names=["doc_id", "held_out", "turn", "words", "ids"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, turn int, words array<long>, ids binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, turn int, words binary, ids binary")
+
+
+def hashes_of(column: pa.Array) -> np.ndarray:
+    """All words' hashes, one text after another."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.int64)
 
 
 def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +282,7 @@ def gather(texts: DataFrame) -> DataFrame:
             return rows(WORD, keys[starts], np.diff(np.append(starts, len(keys))))
 
         for batch in batches:
-            words.append(batch.column(0).flatten().to_numpy())
+            words.append(hashes_of(batch.column(0)))
             held += len(words[-1])
             ids, first = joined(batch.column(1))
             tokens += np.bincount(ids, minlength=VOCABULARY)
@@ -280,16 +392,18 @@ class Pairs:
         """within[previous, ids], from the cells with a count where these are few."""
         if self._cells is None:
             return self.within[previous, ids]
+        shape = ids.shape
         bits, before, values, by_id, by_class = self._cells
-        place = previous.ravel().astype(np.int64) * VOCABULARY + ids.ravel()
-        word, bit = bits[place >> 6], np.uint64(1) << (place & 63).astype(np.uint64)
-        hit = (word & bit) != 0
-        out = np.empty(len(place), dtype=np.float32)
-        out[hit] = values[before[place[hit] >> 6] + np.bitwise_count(word[hit] & (bit[hit] - np.uint64(1)))]
+        previous, ids = previous.ravel().astype(np.int64, copy=False), ids.ravel()
+        place = previous * VOCABULARY + ids
+        word = place >> 6
+        up = bits.take(word) << (63 - (place & 63)).astype(np.uint64)  # the cell's bit at the top, those before it below
+        hit = up.view(np.int64) < 0
+        out = values.take(before.take(word) + np.bitwise_count(up) - 1, mode="clip") if len(values) else np.empty(len(place), np.float32)
         miss = np.flatnonzero(~hit)
-        y = ids.ravel()[miss]
-        out[miss] = by_id[y] + by_class[previous.ravel()[miss].astype(np.int64) * CLASSES + self.words.class_of[y]]
-        return out.reshape(ids.shape)
+        y = ids[miss]
+        out[miss] = by_id.take(y) + by_class.take(previous[miss] * CLASSES + self.words.class_of.take(y))
+        return out.reshape(shape)
 
 
 def pack(counts: np.ndarray) -> bytes:
@@ -370,8 +484,8 @@ def count_pairs(texts: DataFrame, words: Lexicon) -> Pairs:
     """Tasks count in tables of a fixed size, which are added up in parts.  texts: ids."""
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
-    def rows(kind: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([pack(counts)], pa.binary())], names=["kind", "part", "n"])
+    def rows(kind: int, part: int, cells: int, packed: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([cells], pa.int32()), pa.array([packed], pa.binary())], names=["kind", "part", "cells", "n"])
 
     def run(batches):
         settle()
@@ -385,26 +499,30 @@ def count_pairs(texts: DataFrame, words: Lexicon) -> Pairs:
         if of_class is not None:
             for kind, parts in enumerate((np.split(of_class, PARTS), of_id.parts())):
                 for part, counts in enumerate(parts):
-                    if counts.any():
-                        yield rows(kind, part, counts)
+                    at = np.flatnonzero(counts)  # only cells with a count are sent: steps to them, and counts
+                    if len(at):
+                        yield rows(kind, part, len(at), pack(np.concatenate([np.diff(at, prepend=0).astype(np.int32), counts[at]])))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = part = total = None
         for batch in batches:
-            for kind, part, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = unpack(packed, TABLES[kind] // PARTS, np.int32)
-                total = counts.astype(np.int64) if total is None else total + counts
+            for kind, part, cells, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                total = np.zeros(TABLES[kind] // PARTS, np.int64) if total is None else total
+                steps, counts = unpack(packed, 2 * cells, np.int32).reshape(2, -1)
+                total[np.cumsum(steps)] += counts
         if total is not None:
-            yield rows(kind, part, total)
+            yield rows(kind, part, 0, pack(total))
 
-    schema = "kind int, part int, n binary"
+    schema = "kind int, part int, cells int, n binary"
     got = texts.mapInArrow(run, schema).groupBy("kind", "part").applyInArrow(add, schema).toArrow()  # at most 2 * PARTS rows
     return Pairs(words, {(r["kind"], r["part"]): r["n"] for r in got.to_pylist()})
 
 
 SHAPES = {"embed": (BUCKETS, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "near": (2 * BLOCK,), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
-#: How far back each of a block's positions sees each of the two blocks' positions; negative: not at all.
-BACK = np.arange(BLOCK)[:, None] + BLOCK - np.arange(2 * BLOCK)[None, :]
+#: How far back each position of a block sees each of the two blocks' positions, and each position of a window all of it; SPAN: not at all.
+BACK = {n: np.where((back := np.arange(n)[:, None] + SPAN - n - np.arange(SPAN)) >= 0, back, SPAN) for n in (BLOCK, SPAN)}
+#: A bucket's cells in the flat embedding.
+CELLS = np.arange(BUCKETS * WIDTH).reshape(BUCKETS, WIDTH)
 
 
 def fresh(seed: int = 3) -> dict[str, np.ndarray]:
@@ -425,84 +543,113 @@ def unflat(values: np.ndarray, copy: bool = True) -> dict[str, np.ndarray]:
     return out
 
 
-def forward(w: dict[str, np.ndarray], buckets: np.ndarray, follows: np.ndarray, prior: np.ndarray, classes: np.ndarray) -> dict[str, np.ndarray]:
+def fixed(w: dict[str, np.ndarray], length: int) -> dict[str, np.ndarray]:
+    """What a forward pass needs of the weights, for runs of a length.
+
+    both: what takes embeddings to their queries of embeddings, and to what they add where they are attended to; back: what
+    is added to scores; shift, shift_out: scores or log-odds could overflow, or all of a row's vanish.
+    """
+    kind = w["out"].dtype
+    ask = w["q"] @ w["k"].T * kind.type(1 / math.sqrt(WIDTH))
+    longest = lambda rows: math.sqrt(((rows * rows) @ np.ones(WIDTH, dtype=kind)).max())
+    most = longest(w["embed"]) * longest(w["embed"] @ ask) + float(np.abs(w["near"]).max())
+    both = np.concatenate([ask, w["v"] @ w["o"]], axis=1)
+    return {
+        "both": both, "back": np.append(w["near"], kind.type(-1e9)).take(BACK[length]), "out": np.concatenate([w["out"], w["bias"][None]]),
+        "shift": not most <= 80, "shift_out": not float(np.abs(w["out"]).sum(axis=0).max() + np.abs(w["bias"]).max()) <= 60,
+    }
+
+
+def seen_of(rows: np.ndarray, at: int, n: int, length: int) -> np.ndarray:
+    """Columns of the SPAN rows that each of n runs of a length sees, without a copy: the first of a block's are the block before it."""
+    row, one = rows.strides
+    return np.ndarray((n, SPAN, WIDTH), rows.dtype, rows, at * one, (length * row, row, one))
+
+
+def forward(w: dict[str, np.ndarray], buckets: np.ndarray, follows: np.ndarray | None, prior: np.ndarray, classes: np.ndarray, ready: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
     """logp, the log-probabilities of the given classes (m x BLOCK), and what their gradients need.
 
-    buckets: m x BLOCK; follows: the block continues the one before; prior: log-odds (m * BLOCK x CLASSES).
-    p: the attention before it is divided by its sums, r: one over these; e: exponentials of the log-odds.
+    buckets: m x BLOCK; follows: the block continues the one before, the first none; None: every second one does, as in
+    windows, which are then attended to at once; prior: log-odds (m * BLOCK x CLASSES); ready: fixed() of the weights.
+    x, y: embeddings and their products with both, after a block of zeros unless in windows; p: the attention; h: the
+    hidden values and a one; e: exponentials of the log-odds.
     """
     m, kind = len(buckets), w["out"].dtype
-    x = w["embed"][buckets.ravel()]
-    scale = kind.type(1 / math.sqrt(WIDTH))
-    qkv = (x @ np.concatenate([w["q"] * scale, w["k"], w["v"]], axis=1)).reshape(m, BLOCK, 3 * WIDTH)
-    q = qkv[:, :, :WIDTH]
-    kv2 = np.empty((m, 2 * BLOCK, 2 * WIDTH), dtype=kind)
-    kv2[:, BLOCK:] = qkv[:, :, WIDTH:]
-    kv2[1:, :BLOCK] = qkv[:-1, :, WIDTH:]
-    kv2[~follows, :BLOCK] = 0
-    p = q @ kv2[:, :, :WIDTH].transpose(0, 2, 1)
-    p += np.where(BACK >= 0, w["near"][np.maximum(BACK, 0)], kind.type(-1e9))
-    p[~follows, :, :BLOCK] = -1e9
-    k = qkv[:, :, WIDTH : 2 * WIDTH]
-    most = math.sqrt(float(np.einsum("msd,msd->ms", q, q).max(initial=0)) * float(np.einsum("msd,msd->ms", k, k).max(initial=0))) + float(np.abs(w["near"]).max())
-    if most > 60:  # else no score can overflow, nor can all of a row's vanish
+    length, lead = (SPAN, 0) if follows is None else (BLOCK, BLOCK)
+    n = m * BLOCK // length
+    x = np.zeros((lead + m * BLOCK, WIDTH), dtype=kind)
+    np.take(w["embed"], buckets.ravel(), axis=0, out=x[lead:], mode="clip")
+    ready = ready or fixed(w, length)
+    y = x @ ready["both"]
+    p = y[lead:].reshape(n, length, 2 * WIDTH)[:, :, :WIDTH] @ seen_of(x, 0, n, length).transpose(0, 2, 1)
+    p += ready["back"]
+    if follows is not None:
+        p[~follows, :, :BLOCK] = -1e9
+    if ready["shift"]:
         p -= p.max(axis=2, keepdims=True)
     np.exp(p, out=p)
-    r = (1 / (p.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, dtype=kind)))[:, None]
-    a = (p @ kv2[:, :, WIDTH:]).reshape(-1, WIDTH)
-    a *= r
-    h = a @ w["o"]
-    h += x
-    np.tanh(h, out=h)
-    z = h @ w["out"]
-    z += w["bias"]
+    rows = p.reshape(-1, SPAN)
+    rows *= (1 / (rows @ np.ones(SPAN, dtype=kind)))[:, None]
+    a = (p @ seen_of(y, WIDTH, n, length)).reshape(-1, WIDTH)
+    h = np.ones((m * BLOCK, WIDTH + 1), dtype=kind)
+    hidden = a + x[lead:]
+    h[:, :WIDTH] = np.tanh(hidden, out=hidden)
+    z = h @ ready["out"]
     z += prior
-    if float((np.abs(w["out"]).sum(axis=0) + np.abs(w["bias"])).max()) > 60:
+    if ready["shift_out"]:
         z -= z.max(axis=1, keepdims=True)
-    own = z.ravel()[np.arange(classes.size) * CLASSES + classes.ravel()]
+    own = z.ravel().take(np.arange(0, z.size, CLASSES) + classes.ravel())
     np.exp(z, out=z)
     total = z @ np.ones(CLASSES, dtype=kind)
-    return {"x": x, "q": q, "kv2": kv2, "p": p, "r": r, "a": a, "h": h, "e": z, "total": total, "logp": (own - np.log(total)).reshape(classes.shape)}
+    return {"x": x, "y": y, "both": ready["both"], "p": p, "a": a, "hidden": hidden, "h": h, "e": z, "total": total, "logp": (own - np.log(total)).reshape(classes.shape)}
 
 
-def backward(w: dict[str, np.ndarray], f: dict[str, np.ndarray], buckets: np.ndarray, follows: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean cross entropy over the counted positions."""
+def backward(w: dict[str, np.ndarray], f: dict[str, np.ndarray], buckets: np.ndarray, follows: np.ndarray | None, targets: np.ndarray, counted: np.ndarray, into: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Gradients of the mean cross entropy over the counted positions; into: arrays that they are written to."""
     m, kind = len(buckets), w["out"].dtype
+    length, lead = (SPAN, 0) if follows is None else (BLOCK, BLOCK)
+    n = m * BLOCK // length
+    g = into or {k: np.empty(s, dtype=kind) for k, s in SHAPES.items()}
     weight = (counted.ravel() / max(1, counted.sum())).astype(kind)
     dz = f["e"]  # overwritten
     dz *= (weight / f["total"])[:, None]
-    dz.ravel()[np.arange(targets.size) * CLASSES + targets.ravel()] -= weight
-    g = {"out": f["h"].T @ dz, "bias": np.ones(len(dz), dtype=kind) @ dz}
+    dz.ravel()[np.arange(0, dz.size, CLASSES) + targets.ravel()] -= weight
+    out = f["h"].T @ dz
+    g["out"][:], g["bias"][:] = out[:-1], out[-1]
     d = dz @ w["out"].T
-    d *= 1 - f["h"] ** 2
-    g["o"] = f["a"].T @ d
-    da = d @ w["o"].T
-    da *= f["r"]
-    own = np.einsum("ij,ij->i", da, f["a"]).reshape(m, BLOCK, 1)
-    da = da.reshape(m, BLOCK, WIDTH)
-    ds = da @ f["kv2"][:, :, WIDTH:].transpose(0, 2, 1)
-    ds -= own
+    squares = f["hidden"] * f["hidden"]
+    d *= np.subtract(1, squares, out=squares)
+    da = d.reshape(n, length, WIDTH)
+    ds = da @ seen_of(f["y"], WIDTH, n, length).transpose(0, 2, 1)
+    ds -= ((d * f["a"]) @ np.ones(WIDTH, dtype=kind)).reshape(n, length, 1)
     ds *= f["p"]
-    g["near"] = np.bincount(np.maximum(BACK, 0).ravel(), np.where(BACK >= 0, ds.sum(axis=0), 0).ravel(), minlength=2 * BLOCK)
-    dqkv = np.empty((m, BLOCK, 3 * WIDTH), dtype=kind)
-    np.matmul(ds, f["kv2"][:, :, :WIDTH], out=dqkv[:, :, :WIDTH])
-    dqkv[:, :, :WIDTH] *= kind.type(1 / math.sqrt(WIDTH))
-    dkv2 = np.empty((m, 2 * BLOCK, 2 * WIDTH), dtype=kind)
-    np.matmul(ds.transpose(0, 2, 1), f["q"], out=dkv2[:, :, :WIDTH])  # q is scaled already
-    np.matmul(f["p"].transpose(0, 2, 1), da, out=dkv2[:, :, WIDTH:])
-    dkv2[~follows, :BLOCK] = 0
-    dqkv[:, :, WIDTH:] = dkv2[:, BLOCK:]
-    dqkv[:-1, :, WIDTH:] += dkv2[1:, :BLOCK]
-    dqkv = dqkv.reshape(-1, 3 * WIDTH)
-    both = f["x"].T @ dqkv
-    g["q"], g["k"], g["v"] = both[:, :WIDTH], both[:, WIDTH : 2 * WIDTH], both[:, 2 * WIDTH :]
-    d += dqkv @ np.concatenate([w["q"], w["k"], w["v"]], axis=1).T
-    cells = buckets.reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
-    g["embed"] = np.zeros((BUCKETS, WIDTH), dtype=kind)
-    np.add.at(g["embed"].ravel(), cells.ravel(), d.ravel())
+    g["near"][:] = np.bincount(BACK[length].ravel(), ds.sum(axis=0).ravel(), minlength=SPAN + 1)[:SPAN]
+    dy = np.empty((m * BLOCK, 2 * WIDTH), dtype=kind)
+    parts = dy.reshape(n, length, 2 * WIDTH)
+    np.matmul(ds, seen_of(f["x"], 0, n, length), out=parts[:, :, :WIDTH])
+    dx = ds.transpose(0, 2, 1) @ f["y"][lead:].reshape(n, length, 2 * WIDTH)[:, :, :WIDTH]
+    if follows is None:
+        np.matmul(f["p"].transpose(0, 2, 1), da, out=parts[:, :, WIDTH:])
+    else:
+        dv = f["p"].transpose(0, 2, 1) @ da
+        for seen in (dx, dv):
+            seen[:-1, BLOCK:] += seen[1:, :BLOCK]  # zero where the block does not follow
+        dx, parts[:, :, WIDTH:] = dx[:, BLOCK:], dv[:, BLOCK:]
+    both = f["x"][lead:].T @ dy
+    scaled = both[:, :WIDTH] * kind.type(1 / math.sqrt(WIDTH))
+    g["q"][:], g["k"][:], g["v"][:], g["o"][:] = scaled @ w["k"], scaled.T @ w["q"], both[:, WIDTH:] @ w["o"].T, w["v"].T @ both[:, WIDTH:]
+    d += dy @ f["both"].T
+    d += dx.reshape(d.shape)
+    g["embed"].fill(0)
+    np.add.at(g["embed"].reshape(-1), CELLS.take(buckets.ravel(), axis=0).ravel(), d.ravel())
     return g
 
 
+def rows_of(previous: np.ndarray) -> np.ndarray:
+    """Rows of the prior after each two neighbours of the buckets of earlier ids, one stretch a line."""
+    return (previous[:, 1:] * PREVIOUS + previous[:, :-1]).ravel()
+
+
 def prior_of(words: Lexicon, classes: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """The prior's log-odds after the ids one and, before it, two."""
     return np.take(classes, words.previous[one].ravel() * PREVIOUS + words.previous[two].ravel(), axis=0)
@@ -516,34 +663,36 @@ def local_training(w: dict[str, np.ndarray], parts: Iterable[np.ndarray], words:
     rng = np.random.default_rng(seed)
     values = flat(w)
     w = unflat(values, copy=False)
-    m, s = np.zeros_like(values), np.zeros_like(values)
+    m, s, step = np.zeros_like(values), np.zeros_like(values), np.empty_like(values)  # m and s: 10 and 100 times Adam's
+    g = unflat(step, copy=False)
     t = n = 0
 
     def go_over(windows: np.ndarray) -> None:
         nonlocal t
         order = rng.permutation(len(windows))
-        for at in range(0, len(order), BATCH):
-            ids = windows[order[at : at + BATCH]]
-            counted = (ids[:, 2:] >= 0).reshape(-1, BLOCK)
-            safe = np.maximum(ids, 0)
-            buckets = words.bucket[safe[:, 1:-1]].reshape(-1, BLOCK)
-            targets = words.class_of[safe[:, 2:]].reshape(-1, BLOCK)
-            follows = np.arange(len(buckets)) % 2 == 1
-            f = forward(w, buckets, follows, prior_of(words, classes, safe[:, 1:-1], safe[:, :-2]), targets)
-            g = backward(w, f, buckets, follows, targets, counted)
-            t += 1
-            step = flat(g).astype(np.float32, copy=False)
-            m[:] += np.float32(0.1) * (step - m)
-            step *= step
-            step -= s
-            step *= np.float32(0.01)
-            s[:] += step
-            np.sqrt(s, out=step)
-            step *= np.float32(1 / math.sqrt(1 - 0.99**t))
-            step += np.float32(1e-8)
-            np.divide(m, step, out=step)
-            step *= np.float32(STEP / (1 - 0.9**t))
-            values[:] -= step
+        for lo in range(0, len(order), LOOKED_UP * BATCH):
+            some = windows[order[lo : lo + LOOKED_UP * BATCH]]
+            safe = np.maximum(some, 0, dtype=np.intp)
+            buckets = words.bucket.take(safe[:, 1:-1]).astype(np.intp).reshape(-1, BLOCK)
+            targets = words.class_of.take(safe[:, 2:]).reshape(-1, BLOCK)
+            rows = rows_of(words.previous.take(safe[:, :-1]).astype(np.intp))
+            counted = (some[:, 2:] >= 0).reshape(-1, BLOCK)
+            for at in range(0, len(buckets), 2 * BATCH):
+                now = slice(at, at + 2 * BATCH)
+                f = forward(w, buckets[now], None, classes.take(rows[at * BLOCK : (at + 2 * BATCH) * BLOCK], axis=0), targets[now])
+                backward(w, f, buckets[now], None, targets[now], counted[now], g)
+                t += 1
+                m[:] *= np.float32(0.9)
+                m[:] += step
+                step[:] *= step
+                s[:] *= np.float32(0.99)
+                s[:] += step
+                np.sqrt(s, out=step)
+                unbiased = math.sqrt(1 - 0.99**t)
+                step[:] += np.float32(1e-7 * unbiased)
+                np.divide(m, step, out=step)
+                step[:] *= np.float32(STEP * unbiased / (1 - 0.9**t))
+                values[:] -= step
 
     few: list[np.ndarray] = []
     for windows in parts:
@@ -604,7 +753,7 @@ def train(texts: DataFrame, fixed: Broadcast[Pairs]) -> dict[str, np.ndarray]:
 
 class Scorer:
     def __init__(self, weights: dict[str, np.ndarray], counted: Pairs):
-        self.w, self.words, self.counted = weights, counted.words, counted
+        self.w, self.words, self.counted, self.ready = weights, counted.words, counted, fixed(weights, BLOCK)
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         """log10 probabilities of whole texts, given as their ids."""
@@ -614,14 +763,14 @@ class Scorer:
         step = AT_ONCE // BLOCK
         for lo in range(0, len(text), step):  # a text goes on from the block before the cut
             a, b = max(0, lo - 1), min(len(text), lo + step)
-            block = spread(ids, place[a:b], sizes[a:b], BLOCK)
-            y, safe = block[lo - a :, 2:], np.maximum(block, 0)
+            block = ids.take(place[a:b, None] + np.arange(-2, BLOCK), mode="clip").astype(np.intp)
+            previous = self.words.previous.take(block[:, :-1]).astype(np.intp)
             follows = j[a:b] > 0
             follows[0] = False
-            one = safe[:, 1:-1]
-            f = forward(self.w, self.words.bucket[one], follows, prior_of(self.words, self.counted.classes, one, safe[:, :-2]), self.words.class_of[safe[:, 2:]])
-            value = f["logp"][lo - a :] + self.counted.within_of(self.words.previous[one[lo - a :]], safe[lo - a :, 2:])
-            out += np.bincount(text[lo:b], np.where(y >= 0, value, 0.0).sum(axis=1), minlength=len(out))
+            f = forward(self.w, self.words.bucket.take(block[:, 1:-1]).astype(np.intp), follows, self.counted.classes.take(rows_of(previous), axis=0), self.words.class_of.take(block[:, 2:]), self.ready)
+            value = f["logp"][lo - a :] + self.counted.within_of(previous[lo - a :, 1:], block[lo - a :, 2:])
+            value *= np.arange(BLOCK) < sizes[lo:b, None]
+            out += np.bincount(text[lo:b], value.sum(axis=1), minlength=len(out))
         return out / math.log(10)
 
 
@@ -687,18 +836,20 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", he
     frequent = counts.where(F.col("c") >= (least if least is not None else 1 << 62)).toArrow()
     keys = frequent["word"].to_numpy()
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], frequent["c"].to_numpy()[order], weights))
+    shared = spark.sparkContext.broadcast((Places(keys[order]), frequent["c"].to_numpy()[order], weights))
 
     def run(batches):
         from pyspark import TaskContext
 
         settle()
-        keys, known, weights_ = shared.value
+        places, known, weights_ = shared.value
         scorer = Scorer(weights_, counted.value)
-        places, logs = Places(keys), np.append(np.log10(known + 1.0), 0.0)
+        logs = np.append(np.log10(known + 1.0), 0.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            found, sizes = batch.column(2).flatten().to_numpy(), batch.column(2).value_lengths().to_numpy()
+            found, sizes = hashes_of(batch.column(2)), pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) // 8
+            if len(found) >= 1 << 31:
+                raise ValueError("a batch of texts has more than 2^31 words: lower spark.sql.execution.arrow.maxRecordsPerBatch")
             ends = np.cumsum(np.append(0, sizes))
             at = places(found)
             hit, log = at >= 0, logs[at]

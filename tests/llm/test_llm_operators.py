@@ -603,6 +603,35 @@ def test_scores_with_nothing_to_learn_from(spark):
     assert abs(got[3]["score"] + math.log10(lm_scoring.VOCABULARY)) < 1e-3 and got[None]["score"] == got[3]["score"] and got[1]["score"] < got[3]["score"]
 
 
+def test_texts_are_cut_word_by_word(monkeypatch):
+    """Hashes and ids are those of texts cut one by one, and a word is encoded once, however often and wherever it stands."""
+    path = common.tokenizer_path("byte_bpe_50k.tiktoken")
+    plain = ["a", "a b", "a\nb", "It's DON'T 's 'S\n's", "<|endoftext|> \u00e9 \u00c9\n1234 12, ;;a\n;;b", "x\u00a0y z", "a" * 300, "\U0001f600\n\U0001f600 \U0001f600", "a\x1cb c", *lm_texts(random.Random(7), 20)]
+    odd = ["", None, " ", " a", "a ", "a  b", "a\n\nb", "\na\n", "a \n b", "a\n b", "a\tb\r\nc", "x\u2003 \u2003y", "\u3000z a\u3000", "x\vy\fz", "A\x85\x85B"]
+    texts = [*plain, *odd, *plain]
+    words = lm_scoring.Words(path)
+    want = [np.append(lm_scoring.word_hashes(t), lm_scoring.END_WORD).tobytes() for t in texts], [lm_scoring.subwords(t, path).tobytes() for t in texts]
+    assert words(texts) == want and all(words.plain(t) is None for t in odd) and all(words.plain(t) for t in plain)
+    encode, seen = lm_scoring.packing.Encoder.__call__, []
+    monkeypatch.setattr(lm_scoring.packing.Encoder, "__call__", lambda self, t: seen.append(t) or encode(self, t))
+    assert words(plain[::-1]) == tuple(w[: len(plain)][::-1] for w in want) and not seen
+    assert words(["a new\nword new new new\nword"])[1] and seen == [" new\nword"]
+    words.reset()
+    assert words(texts[::-1]) == tuple(w[::-1] for w in want)
+
+
+def test_windows_are_attended_to_at_once():
+    """As their blocks would be, in log-probabilities and gradients."""
+    rng = np.random.default_rng(12)
+    w = {k: rng.standard_normal(s) * 0.5 for k, s in lm_scoring.SHAPES.items()}
+    x, y = rng.integers(0, lm_scoring.BUCKETS, (8, lm_scoring.BLOCK)), rng.integers(0, lm_scoring.CLASSES, (8, lm_scoring.BLOCK))
+    prior, counted = rng.standard_normal((8 * lm_scoring.BLOCK, lm_scoring.CLASSES)), rng.random((8, lm_scoring.BLOCK)) < 0.9
+    blocks, windows = (lm_scoring.forward(w, x, follows, prior, y) for follows in (np.arange(8) % 2 == 1, None))
+    assert np.allclose(blocks["logp"], windows["logp"]) and np.isfinite(blocks["logp"]).all()
+    one, two = lm_scoring.backward(w, blocks, x, np.arange(8) % 2 == 1, y, counted), lm_scoring.backward(w, windows, x, None, y, counted)
+    assert all(np.allclose(one[k], two[k]) for k in lm_scoring.SHAPES)
+
+
 def test_mixing(spark, docs, none):
     from plumbline.llm.mixing import ORACLE_SQL
 
